@@ -31,12 +31,13 @@ def merge_upsert(
     reactivate: bool = False,
     order: list[str] | None = None,
     inserts: dict[str, Column] | None = None,
+    last: int | None = None,
 ) -> DataFrame:
     """Rows of `target` updated from `source`, plus the source rows without a partner.
 
     `when` limits updates to matched rows for which it holds, so that `modifiedDatetime` moves only on a change;
     without it every matched row is updated. New rows get generated keys in the order of `order` (default: the
-    merge keys) after the target's last one. `inserts` fills columns the source does not have.
+    merge keys) after `last`, by default the target's last one. `inserts` fills columns the source does not have.
     """
     names = schemas.columns(table)
     now = F.current_timestamp()
@@ -65,16 +66,23 @@ def merge_upsert(
     )
 
     fresh = source.join(target.select(keys), keys, "left_anti")
-    generated = schemas.GENERATED_KEYS.get(table)
-    if generated:
-        fresh = assign_keys(fresh, generated, order or keys, last_key(target, generated))
+    if last is None and table in schemas.GENERATED_KEYS:
+        last = last_key(target, schemas.GENERATED_KEYS[table])
+    return existing.unionByName(new_rows(table, fresh, order or keys, last, inserts))
+
+
+def new_rows(
+    table: str, rows: DataFrame, order: list[str], last: int | None, inserts: dict[str, Column] | None = None
+) -> DataFrame:
+    """Rows in the table's shape: generated keys after `last`, audit columns, defaults for columns not given."""
+    now = F.current_timestamp()
+    if table in schemas.GENERATED_KEYS:
+        rows = assign_keys(rows, schemas.GENERATED_KEYS[table], order, last)
     fill = {"createdDatetime": now, "modifiedDatetime": now, "isActive": F.lit(True), **(inserts or {})}
-    added = fresh.select(*[
-        (F.col(name) if name in fresh.columns else fill.get(name, F.lit(None))).alias(name) for name in names
+    return rows.select(*[
+        (F.col(f.name) if f.name in rows.columns else fill.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name)
+        for f in schemas.struct(schemas.TABLES[table])
     ])
-    types = schemas.struct(schemas.TABLES[table])
-    added = added.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in types])
-    return existing.unionByName(added)
 
 
 def insert_ignore(target: DataFrame, source: DataFrame, key: str) -> DataFrame:

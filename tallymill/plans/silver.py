@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schemas
 from ..functions.calendar import calendar_columns
@@ -15,10 +19,10 @@ from ..functions.text import (
 from ..operators.joins import lookup
 from ..operators.numbering import dedupe
 from ..operators.rules import classifying_rules, match_rules
-from ..operators.upsert import changed, insert_ignore, merge_upsert
+from ..operators.upsert import changed, insert_ignore, merge_upsert, new_rows
 from ..sources.files import Stage, account_columns
 from ..sources.seeds import INSTITUTION, seed_categories, seed_rule_rows
-from ..sources.store import Change, Store, fact_slice, materialise
+from ..sources.store import Change, Store, materialise
 
 AUTO_CATEGORY, AUTO_MERCHANT = "Auto Category Rule ", "Auto Merchant Rule "
 GRAIN = ["sourceFileHash", "sourceRowNumber"]
@@ -67,11 +71,14 @@ def prepare(unified: DataFrame) -> DataFrame:
 # ---- dimensions and rule maps ----------------------------------------------------------------------------------
 
 
-def load_bronze(table: str, target: DataFrame, staged: DataFrame) -> DataFrame:
+def bronze_columns(table: str) -> list[str]:
+    return ["sourceFileName", *(schemas.CHECKING_COLUMNS if "Checking" in table else schemas.CREDIT_COLUMNS)]
+
+
+def load_bronze(table: str, target: DataFrame, staged: DataFrame, last: int | None = None) -> DataFrame:
     """Every row seen again is updated, every new one added; the grain is (file hash, row number)."""
-    business = schemas.CHECKING_COLUMNS if "Checking" in table else schemas.CREDIT_COLUMNS
-    source = staged.select("sourceFileName", *GRAIN, *business)
-    return merge_upsert(table, target, source, GRAIN, ["sourceFileName", *business])
+    names = bronze_columns(table)
+    return merge_upsert(table, target, staged.select(*GRAIN, *names), GRAIN, names, last=last)
 
 
 def dim_source_file(target: DataFrame, metadata: DataFrame) -> DataFrame:
@@ -279,7 +286,6 @@ def fact_rows(prepared: DataFrame, metadata: DataFrame, tables: dict[str, DataFr
         "transactionType",
         F.coalesce("winner.transactionEventType", "outcome.event").alias("transactionEventType"),
         "transactionAmount",
-        "sourceFileHash",
     )
     return dedupe(facts, ["sourceRowIdentifier"], [F.col("sourceRowNumber")])
 
@@ -292,14 +298,36 @@ FACT_VALUES = [
 ]
 
 
-def merge_facts(target: DataFrame, rows: DataFrame) -> DataFrame:
+def merge_facts(target: DataFrame, rows: DataFrame, last: int | None = None) -> DataFrame:
     return merge_upsert(
         "factTransaction", target, rows, ["sourceRowIdentifier"], FACT_VALUES,
-        when=changed(FACT_VALUES, nullable=FACT_TEXTS),
+        when=changed(FACT_VALUES, nullable=FACT_TEXTS), last=last,
     )
 
 
-# ---- the load --------------------------------------------------------------------------------------------------
+def upsert_by_file(
+    change: Change, table: str, rows: DataFrame, by: str, known: DataFrame | None, order: list[str],
+    merge: Callable[[DataFrame, DataFrame, int], DataFrame],
+) -> None:
+    """Upsert rows whose grain lies within a file. Rows of files never seen are appended, untouched by any join;
+    rows of known files (`known` has their `by` values) are merged into the parts that hold those files, and only
+    these parts are rewritten."""
+    if known is not None:
+        parts = change.store.parts_with(table, by, known)
+        again = lookup(rows, known.select(by), [by], order, how="left_semi")
+        merged = merge(change.store.table(table, parts=parts), again, change.last_key(table))
+        change.replace(table, parts, merged)
+        rows = lookup(rows, known.select(by), [by], order, how="left_anti")
+        if rows.isEmpty():
+            return
+    change.append(table, new_rows(table, rows, order, change.last_key(table)))
+
+
+def together(spark: SparkSession, *jobs: Callable[[], object]) -> list:
+    """Run independent Spark jobs side by side, so that small ones do not leave the cluster idle."""
+    threaded = [inheritable_thread_target(spark)(job) for job in jobs]
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [running.result() for running in [pool.submit(job) for job in threaded]]
 
 
 def load(store: Store, stage: Stage, fresh: bool = False) -> dict[str, DataFrame]:
@@ -309,66 +337,87 @@ def load(store: Store, stage: Stage, fresh: bool = False) -> dict[str, DataFrame
     refresh); readers keep seeing the old tables until the commit.
     """
     change = store.begin()
-    empty = Store(store.spark, f"{store.root}/none")
-    current = empty if fresh else store
-    metadata = materialise(stage.metadata, "metadata")
-    checking, credit = materialise(stage.checking, "checking"), materialise(stage.credit, "credit")
-    tables = {}
-
-    def put(name: str, df: DataFrame) -> None:
-        tables[name] = change.put(name, df)
-
-    bronze_of = {"rawChaseCheckingTransaction": checking, "rawChaseCreditTransaction": credit}
-    for name, staged in bronze_of.items():
-        staged = dedupe(staged, GRAIN, [F.col("sourceFileName")])
-        put(name, load_bronze(name, current.table(name), staged))
-    put("dimSourceFile", dim_source_file(current.table("dimSourceFile"), metadata))
-    put("dimFinancialAccount", dim_account(current.table("dimFinancialAccount"), metadata))
-    put("dimSpendingCategory", insert_ignore(
-        current.table("dimSpendingCategory"), seed_categories(store.spark), "spendingCategoryKey"
-    ))
-    prepared = materialise(prepare(unify_sources(checking, credit)), "prepared")
-    _transform(change, current, prepared, metadata, tables, fresh, seed_rules=True)
+    current = Store(store.spark, f"{store.root}/none") if fresh else store
+    if fresh:
+        for table in schemas.TABLES:
+            change.entries += [(table, part, None, None) for part in store.parts(table)]
+    metadata, checking, credit = together(
+        store.spark,
+        lambda: materialise(stage.metadata, "metadata"),
+        lambda: materialise(stage.checking, "checking"),
+        lambda: materialise(stage.credit, "credit"),
+    )
+    seen = current.table("dimSourceFile").filter(F.col("sourceFileKey") > 0)
+    known = seen.join(metadata.select("sourceFileHash"), "sourceFileHash", "left_semi")
+    known = materialise(known.select("sourceFileHash", "sourceFileKey"), "known")
+    if known.isEmpty():
+        known = None
+
+    def bronze(name: str, staged: DataFrame) -> None:
+        rows = dedupe(staged, GRAIN, [F.col("sourceFileName")]).select(*GRAIN, *bronze_columns(name))
+        upsert_by_file(
+            change, name, rows, "sourceFileHash", known, GRAIN,
+            lambda old, new, last: load_bronze(name, old, new, last),
+        )
+
+    def silver() -> None:
+        change.put("dimSpendingCategory", insert_ignore(
+            current.table("dimSpendingCategory"), seed_categories(store.spark), "spendingCategoryKey"
+        ))
+        prepared = materialise(prepare(unify_sources(checking, credit)), "prepared")
+        _transform(change, current, prepared, metadata, known, from_files=True)
+
+    together(
+        store.spark,
+        lambda: bronze("rawChaseCheckingTransaction", checking),
+        lambda: bronze("rawChaseCreditTransaction", credit),
+        silver,
+    )
+    tables = {name: change.table(name) for name in schemas.TABLES}
     change.commit()
     return tables
 
 
 def _transform(
-    change: Change, current: Store, prepared: DataFrame, metadata: DataFrame, tables: dict[str, DataFrame],
-    fresh: bool, seed_rules: bool,
+    change: Change, current: Store, prepared: DataFrame, metadata: DataFrame, known: DataFrame | None, from_files: bool
 ) -> None:
-    """Everything that follows from prepared rows: calendar, merchants, rules, facts."""
-    tables["dimCalendarDate"] = change.put("dimCalendarDate", dim_calendar(current.table("dimCalendarDate"), prepared))
-    tables["dimMerchant"] = change.put("dimMerchant", dim_merchant(current.table("dimMerchant"), prepared))
-    tables["mapMerchantRule"] = change.put(
-        "mapMerchantRule", derive_merchant_rules(current.table("mapMerchantRule"), tables["dimMerchant"])
-    )
-    rules, categories = current.table("mapCategoryRule"), tables["dimSpendingCategory"]
-    if seed_rules:
-        rules = materialise(seed_category_rules(rules, categories), "rules")
-    tables["mapCategoryRule"] = change.put("mapCategoryRule", derive_category_rules(rules, prepared, categories))
-
+    """Everything that follows from prepared rows: dimensions and rule maps side by side, then the facts."""
+    def files() -> None:
+        change.put("dimSourceFile", dim_source_file(current.table("dimSourceFile"), metadata))
+        change.put("dimFinancialAccount", dim_account(current.table("dimFinancialAccount"), metadata))
+
+    def merchants() -> None:
+        change.put("dimMerchant", dim_merchant(current.table("dimMerchant"), prepared))
+        change.put("mapMerchantRule", derive_merchant_rules(current.table("mapMerchantRule"), change.table("dimMerchant")))
+
+    def calendar() -> None:
+        change.put("dimCalendarDate", dim_calendar(current.table("dimCalendarDate"), prepared))
+
+    def category_rules() -> None:
+        rules, categories = current.table("mapCategoryRule"), change.table("dimSpendingCategory")
+        if from_files:
+            rules = materialise(seed_category_rules(rules, categories), "rules")
+        change.put("mapCategoryRule", derive_category_rules(rules, prepared, categories))
+
+    together(current.spark, merchants, category_rules, calendar, *([files] if from_files else []))
+    tables = {name: change.table(name) for name in schemas.SILVER_TABLES if name != "factTransaction"}
     rows = materialise(fact_rows(prepared, metadata, tables), "facts")
-    touched = [r[0] for r in rows.select(fact_slice(F.col("sourceFileHash"))).distinct().collect()]
-    merged = merge_facts(current.table("factTransaction", slices=touched), rows.drop("sourceFileHash"))
-    by_file = F.element_at(F.split("sourceRowIdentifier", ":"), 2)
-    tables["factTransaction"] = change.put_slices(
-        "factTransaction", merged, fact_slice(by_file), touched, keep=not fresh
-    )
+    upsert_by_file(change, "factTransaction", rows, "sourceFileKey", known, ["sourceRowIdentifier"], merge_facts)
 
 
 def reclassify(store: Store) -> dict[str, DataFrame]:
     """Run the Silver transform over all Bronze rows again, after rules have changed."""
     change = store.begin()
-    tables = {name: store.table(name) for name in schemas.TABLES}
-    files = tables["dimSourceFile"].filter(F.col("sourceFileKey") > 0)
-    metadata = materialise(files.select("sourceFileName", "sourceFileHash", "sourceFileType", "rowCount").withColumns(
+    seen = store.table("dimSourceFile").filter(F.col("sourceFileKey") > 0)
+    known = seen.select("sourceFileHash", "sourceFileKey")
+    metadata = materialise(seen.select("sourceFileName", "sourceFileHash", "sourceFileType", "rowCount").withColumns(
         account_columns(F.col("sourceFileName"), F.col("sourceFileType"))
     ), "metadata")
     kinds = {"rawChaseCheckingTransaction": schemas.CHECKING_TYPE, "rawChaseCreditTransaction": schemas.CREDIT_TYPE}
-    checking, credit = [tables[n].withColumn("sourceFileType", F.lit(kind)) for n, kind in kinds.items()]
+    checking, credit = [store.table(n).withColumn("sourceFileType", F.lit(kind)) for n, kind in kinds.items()]
     prepared = materialise(prepare(unify_sources(checking, credit)), "prepared")
-    _transform(change, store, prepared, metadata, tables, fresh=False, seed_rules=False)
+    _transform(change, store, prepared, metadata, known, from_files=False)
+    tables = {name: change.table(name) for name in schemas.TABLES}
     change.commit()
     return tables
 
@@ -381,9 +430,8 @@ def population_summary(metadata: DataFrame, tables: dict[str, DataFrame]) -> Dat
             F.struct(F.lit("source rows read").alias("item"), F.col("r").alias("rowCount")),
         ))
     )
-    for name in tables:
+    for name in schemas.TABLES:
         if name != "dimSpendingCategory":
-            summary = summary.unionByName(tables[name].agg(F.count("*").alias("rowCount")).select(F.lit(name).alias("item"), "rowCount"))
+            rows = tables[name].agg(F.count("*").alias("rowCount"))
+            summary = summary.unionByName(rows.select(F.lit(name).alias("item"), "rowCount"))
     return summary
-
-

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from .. import schemas
 from ..operators.joins import lookup
 from ..operators.numbering import dedupe
+from .literals import literal_rows
 from .store import materialise
 
 CSV_GLOB = "*.[cC][sS][vV]"
@@ -170,7 +171,7 @@ def _stage_rows(spark: SparkSession, files: DataFrame, kind: str, headers: dict[
         files.filter(F.col("sourceFileType") == kind).groupBy("layout")
         .agg(F.sort_array(F.collect_list("sourceFilePath")).alias("paths")).collect()
     )
-    staged, counts = spark.createDataFrame([], ddl), spark.createDataFrame([], "_path string, rowCount long")
+    staged, counts = literal_rows(spark, [], ddl), literal_rows(spark, [], "_path string, rowCount long")
     for group in layouts:
         rows = read_rows(spark, group.paths, group.layout, headers, multi_line)
         blocks = materialise(file_blocks(rows), "blocks")

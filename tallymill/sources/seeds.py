@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas
+from .literals import literal_rows
 
 UNKNOWN_KEY = -1
 UNKNOWN_DATE_KEY = 19000101
@@ -81,10 +82,10 @@ UNKNOWN_MEMBERS = {
 
 
 def _frame(spark: SparkSession, table: str, rows: list[dict]) -> DataFrame:
-    schema = schemas.struct(schemas.TABLES[table])
-    plain = [tuple(row.get(name) for name in schema.names) for row in rows]
+    plain = [tuple(row.get(name) for name in schemas.columns(table)) for row in rows]
     now = F.current_timestamp()
-    return spark.createDataFrame(plain, schema).withColumns({"createdDatetime": now, "modifiedDatetime": now})
+    frame = literal_rows(spark, plain, schemas.TABLES[table])
+    return frame.withColumns({"createdDatetime": now, "modifiedDatetime": now})
 
 
 def seed_unknown_members(spark: SparkSession, table: str) -> DataFrame:
@@ -103,8 +104,8 @@ def seed_rule_rows(spark: SparkSession) -> DataFrame:
         (place, name, "checking", None, kind, match, text, category, event, "rule", priority)
         for place, (name, kind, match, text, category, event, priority) in enumerate(SYSTEM_RULES)
     ]
-    return spark.createDataFrame(
-        rows,
+    return literal_rows(
+        spark, rows,
         "seedOrder int, ruleName string, sourceAccountType string, sourceCategoryName string, "
         "transactionType string, descriptionMatchType string, descriptionMatchText string, "
         "spendingCategoryName string, transactionEventType string, categoryAssignmentSource string, "

@@ -1,7 +1,8 @@
-"""Layer tables as immutable Parquet snapshots, and the commit that makes new ones current.
+"""Layer tables as immutable Parquet parts, and the commit that makes new ones current.
 
-A load writes every changed table to a fresh folder, then appends one small Parquet file to the commit log.
-Readers follow the log, so they see all of a load's tables or none. The log has one writer at a time.
+A table is the union of its parts. A load writes new parts to fresh folders, then appends one small Parquet file
+to the commit log, which names the parts added and removed. Readers follow the log, so they see all of a load's
+tables or none. The log has one writer at a time.
 """
 
 from __future__ import annotations
@@ -11,14 +12,13 @@ import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas
+from .literals import literal_rows
 from .seeds import seed_categories, seed_unknown_members
 
-SLICES = 16
-WHOLE = -1
-_LOG = "commitId long, tableName string, slice int, path string"
+_LOG = "commitId long, tableName string, part string, path string, lastKey long"
 
 
 @functools.cache
@@ -39,46 +39,60 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fact_slice(file_hash: Column) -> Column:
-    """Storage slice of a transaction: a load of some files rewrites only the slices those files are in."""
-    return F.pmod(F.xxhash64(file_hash), F.lit(SLICES)).cast("int")
-
-
 class Store:
-    """Current snapshots of all tables under one root folder."""
+    """Current rows of all tables under one root folder."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._seen: list | None = None
 
-    def _log(self) -> DataFrame:
+    def _log(self) -> DataFrame | None:
         try:
             return self.spark.read.schema(_LOG).parquet(f"{self.root}/commits")
         except AnalysisException:
-            return self.spark.createDataFrame([], _LOG)
-
-    def _paths(self, table: str) -> dict[int, str]:
-        """Current path per slice: at most one for a whole table, SLICES for a sliced one."""
-        latest = (
-            self._log().filter(F.col("tableName") == table)
-            .groupBy("slice").agg(F.max_by("path", "commitId").alias("path"))
-        )
-        return {row["slice"]: row["path"] for row in latest.collect() if row["path"]}
-
-    def exists(self, table: str) -> bool:
-        return bool(self._paths(table))
-
-    def table(self, table: str, slices: list[int] | None = None) -> DataFrame:
-        """Current rows, or the seed rows of a table that was never written; `slices` reads only those."""
-        paths = self._paths(table)
-        if not paths:
+            return None
+
+    def _entries(self) -> list:
+        """(tableName, part, path, lastKey) of the newest entry per part, one row per part ever written."""
+        if self._seen is None:
+            log = self._log()
+            self._seen = [] if log is None else log.groupBy("tableName", "part").agg(
+                F.max_by(F.col("path"), F.col("commitId")).alias("path"), F.max("lastKey").alias("lastKey")
+            ).collect()
+        return self._seen
+
+    def refresh(self) -> "Store":
+        """Look at the commit log again, to see what another session has committed."""
+        self._seen = None
+        return self
+
+    def parts(self, table: str) -> dict[str, str]:
+        return {e.part: e.path for e in self._entries() if e.tableName == table and e.path}
+
+    def last_key(self, table: str) -> int:
+        """Last surrogate key ever given out, from the log instead of a scan."""
+        return max([e.lastKey for e in self._entries() if e.tableName == table and e.lastKey], default=0)
+
+    def table(self, table: str, parts: list[str] | None = None) -> DataFrame:
+        """Current rows, or the seed rows of a table that was never written; `parts` reads only those."""
+        known = self.parts(table)
+        if not known and parts is None:
             if table == "dimSpendingCategory":
                 return seed_categories(self.spark)
             return seed_unknown_members(self.spark, table)
-        if slices is not None:
-            paths = {s: p for s, p in paths.items() if s in slices}
+        paths = [path for part, path in known.items() if parts is None or part in parts]
         if not paths:
-            return self.spark.createDataFrame([], schemas.TABLES[table])
-        return self.spark.read.schema(schemas.TABLES[table]).parquet(*paths.values())
+            return literal_rows(self.spark, [], schemas.TABLES[table])
+        return self.spark.read.schema(schemas.TABLES[table]).parquet(*paths)
+
+    def parts_with(self, table: str, column: str, values: DataFrame) -> list[str]:
+        """Parts that hold rows with one of the given values (a frame with that column)."""
+        if not self.parts(table):
+            return []
+        part = F.regexp_extract("_path", f"/{table}/([0-9a-f]+)/", 1).alias("part")
+        rows = self.table(table).select(column, F.col("_metadata.file_path").alias("_path"))
+        found = rows.join(values.select(column), column, "left_semi").select(part).distinct()
+        return [row.part for row in found.collect()]
 
     def begin(self) -> "Change":
         return Change(self)
@@ -90,40 +104,48 @@ class Store:
 
 
 class Change:
-    """New snapshots written by one load; readers see none of them before `commit`."""
+    """New parts written by one load; readers see none of them before `commit`."""
 
     def __init__(self, store: Store):
         self.store, self.spark, self.entries = store, store.spark, []
 
-    def put(self, table: str, df: DataFrame) -> DataFrame:
-        """Write a whole-table snapshot and return it as read back."""
-        path = f"{self.store.root}/{table}/{uuid.uuid4().hex}"
+    def last_key(self, table: str) -> int:
+        written = [key for name, _, path, key in self.entries if name == table and path and key]
+        return max([self.store.last_key(table), *written])
+
+    def append(self, table: str, df: DataFrame) -> DataFrame:
+        """Add rows as a new part; existing parts are not read or written. Returns the new rows."""
+        part = uuid.uuid4().hex
+        path = f"{self.store.root}/{table}/{part}"
         df.select(schemas.columns(table)).write.parquet(path)
-        self.entries.append((table, WHOLE, path))
-        return self.spark.read.schema(schemas.TABLES[table]).parquet(path)
-
-    def put_slices(self, table: str, df: DataFrame, slice_of: Column, touched: list[int], keep: bool = True) -> DataFrame:
-        """Replace the touched slices and return the whole new table; with `keep` the others stay as they are.
-
-        The rebalance hint gives each slice its own files and splits a slice that holds a large share of the rows.
-        """
-        path = f"{self.store.root}/{table}/{uuid.uuid4().hex}"
-        rows = df.select(*schemas.columns(table), slice_of.alias("slice"))
-        rows.hint("rebalance", "slice").write.partitionBy("slice").parquet(path)
-        paths = {s: f"{path}/slice={s}" for s in touched}
-        self.entries += [(table, s, p) for s, p in paths.items()]
-        for s, p in self.store._paths(table).items():
-            if s not in paths:
-                if keep:
-                    paths[s] = p
-                else:
-                    self.entries.append((table, s, None))
-        return self.spark.read.schema(schemas.TABLES[table]).parquet(*paths.values())
+        written = self.spark.read.schema(schemas.TABLES[table]).parquet(path)
+        key = schemas.GENERATED_KEYS.get(table)
+        self.entries.append((table, part, path, written.agg(F.max(key)).first()[0] if key else None))
+        return written
 
-    def commit(self) -> int:
-        last = self.store._log().agg(F.max("commitId")).first()[0]
-        commit_id = (last or 0) + 1
-        rows = [(commit_id, *entry) for entry in self.entries]
-        self.spark.createDataFrame(rows, _LOG).coalesce(1).write.mode("append").parquet(f"{self.store.root}/commits")
-        return commit_id
+    def replace(self, table: str, parts: list[str], df: DataFrame) -> DataFrame:
+        """Put rows in place of whole parts. Returns the new rows."""
+        written = self.append(table, df)
+        self.entries += [(table, part, None, None) for part in parts]
+        return written
+
+    def put(self, table: str, df: DataFrame) -> DataFrame:
+        """Replace the whole table."""
+        return self.replace(table, list(self.store.parts(table)), df)
+
+    def table(self, table: str) -> DataFrame:
+        """The table as it will be after the commit."""
+        paths = self.store.parts(table)
+        for name, part, path, _ in self.entries:
+            if name == table:
+                paths[part] = path
+        current = [path for path in paths.values() if path]
+        return self.spark.read.schema(schemas.TABLES[table]).parquet(*current)
 
+    def commit(self) -> int:
+        log = self.store._log()
+        last = (log.agg(F.max("commitId")).first()[0] or 0) if log is not None else 0
+        rows = [(last + 1, *entry) for entry in self.entries]
+        literal_rows(self.spark, rows, _LOG).coalesce(1).write.mode("append").parquet(f"{self.store.root}/commits")
+        self.store.refresh()
+        return last + 1
