@@ -15,6 +15,8 @@ TABLES = [
     "pages", "benchmark", "labels", "conversations",
 ]
 
+SPARK_TYPE = {"BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string", "DATE": "date", "BOOLEAN": "boolean"}
+
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
@@ -38,6 +40,9 @@ def difference(spark, con, sf_dir: str, name: str) -> str | None:
     order = [d[0] for d in result.description]
     if sorted(order) != names:
         return f"columns {names} against {sorted(order)}"
+    kinds = {d[0]: SPARK_TYPE.get(str(d[1]).upper(), str(d[1])) for d in result.description}
+    if kinds != dict(df.dtypes):
+        return f"types {dict(df.dtypes)} against {kinds}"
     places = [order.index(n) for n in names]
     theirs = sorted((tuple(r[i] for i in places) for r in result.fetchall()), key=_key)
     if len(ours) != len(theirs):

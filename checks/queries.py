@@ -108,7 +108,7 @@ def _(spark, sf):
 
 
 @query("src09_seed_usage", sql.gold("""
-SELECT d.*, count(l.transactionKey) AS transactionCount
+SELECT d.* REPLACE (d.spendingCategoryKey::BIGINT AS spendingCategoryKey), count(l.transactionKey) AS transactionCount
 FROM dim_category d LEFT JOIN ledger l ON l.spendingCategoryName = d.spendingCategoryName GROUP BY ALL"""))
 def _(spark, sf):
     used = layers(spark, sf).tables["factTransaction"].groupBy("spendingCategoryKey").agg(F.count("*").alias("n"))

@@ -28,6 +28,7 @@ def local_session(cores: int | str = "*", app: str = "tallymill", memory: str =
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for name, value in RUNTIME.items():
         builder = builder.config(name, value)
