@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-
 from dataclasses import dataclass
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -51,8 +51,10 @@ def _profile_large(batches):
     for batch in batches:
         rows = []
         for path in batch["path"]:
-            uri = path.replace("file:/", "file:///", 1) if path.startswith("file:/") else path
-            system, name = fs.FileSystem.from_uri(uri)
+            if path.startswith("file:/"):
+                system, name = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+            else:
+                system, name = fs.FileSystem.from_uri(quote(path, safe=":/@"))
             digest, head = hashlib.sha256(), b""
             with system.open_input_stream(name) as stream:
                 while chunk := stream.read(8 << 20):

@@ -14,7 +14,9 @@ from tallymill.sources.seeds import seed_unknown_members
 LONG_AGO = dt.datetime(2001, 1, 1)
 
 
-def test_number_rows_with_a_hot_group(spark):
+@pytest.mark.parametrize("small_bytes", [1 << 40, -1])
+def test_number_rows_with_a_hot_group(spark, monkeypatch, small_bytes):
+    monkeypatch.setattr(numbering, "SMALL_BYTES", small_bytes)
     random.seed(1)
     rows = [("hot" if i % 3 else f"g{i % 7}", random.random(), i) for i in range(3000)] + [(None, 0.5, 5000), (None, 0.1, 5001)]
     df = spark.createDataFrame(rows, "g string, v double, i long").repartition(5)
@@ -26,7 +28,9 @@ def test_number_rows_with_a_hot_group(spark):
     assert found == expected
 
 
-def test_number_rows_over_the_whole_frame_and_of_nothing(spark):
+@pytest.mark.parametrize("small_bytes", [1 << 40, -1])
+def test_number_rows_over_the_whole_frame_and_of_nothing(spark, monkeypatch, small_bytes):
+    monkeypatch.setattr(numbering, "SMALL_BYTES", small_bytes)
     df = spark.range(500).repartition(7)
     assert all(r.n == r.id + 1 for r in numbering.number_rows(df, ["id"], name="n").collect())
     assert numbering.number_rows(df.filter("id < 0"), ["id"], name="n").count() == 0
