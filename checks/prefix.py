@@ -181,7 +181,7 @@ dim_date AS (
          date_trunc('month', d)::DATE AS monthStartDate
   FROM (SELECT transactionDate AS d FROM prepared UNION SELECT postedDate FROM prepared) WHERE d IS NOT NULL),
 fact AS (
-  SELECT 100 * row_number() OVER (ORDER BY p.sourceRowIdentifier) AS transactionKey, f.sourceFileKey, a.financialAccountKey,
+  SELECT 100 * row_number() OVER (ORDER BY f.sourceFileKey, p.sourceRowNumber) AS transactionKey, f.sourceFileKey, a.financialAccountKey,
          coalesce(strftime(p.transactionDate, '%Y%m%d')::BIGINT, 19000101) AS transactionDateKey,
          coalesce(strftime(p.postedDate, '%Y%m%d')::BIGINT, 19000101) AS postedDateKey,
          coalesce(m.merchantKey, -1) AS merchantKey, coalesce(m.merchantKey, -1) AS merchantRuleKey,

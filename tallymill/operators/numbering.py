@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..schemas import KEY_STEP
 from ..sources.store import materialise
-from .joins import estimated_bytes
+from .joins import estimated_bytes, lookup
 
 # Frames up to this size may be sorted by a single task.
 SMALL_BYTES = 16 << 20
@@ -54,6 +54,21 @@ def assign_keys(new: DataFrame, key: str, order: list[str], last: int) -> DataFr
     return numbered.withColumn(key, F.col(key) * F.lit(KEY_STEP) + F.lit(start))
 
 
+def file_offsets(rows: DataFrame, by: str) -> DataFrame:
+    """(by, _before): per file, the row numbers taken by the files before it. One row per file."""
+    sizes = rows.groupBy(by).agg(F.max("sourceRowNumber").alias("_size"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select(by, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+
+
+def keys_by_file(rows: DataFrame, key: str, by: str, offsets: DataFrame, last: int) -> DataFrame:
+    """Surrogate keys in (file, row number) order, from the numbers that rows have in their file already: no sort
+    and no shuffle of rows."""
+    placed = lookup(rows, offsets, [by], ["sourceRowNumber"], how="inner")
+    place = F.col("_before") + F.col("sourceRowNumber")
+    return placed.withColumn(key, (place * KEY_STEP + max(last, 0)).cast("long")).drop("_before")
+
+
 def dedupe(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """First row per key by `order`, as one aggregate: each task keeps a single row per key before the shuffle."""
     rest = [c for c in df.columns if c not in keys]

@@ -74,10 +74,11 @@ def merge_upsert(
 def new_rows(
     table: str, rows: DataFrame, order: list[str], last: int | None, inserts: dict[str, Column] | None = None
 ) -> DataFrame:
-    """Rows in the table's shape: generated keys after `last`, audit columns, defaults for columns not given."""
+    """Rows in the table's shape: generated keys after `last` unless the rows bring keys, audit columns, defaults."""
     now = F.current_timestamp()
-    if table in schemas.GENERATED_KEYS:
-        rows = assign_keys(rows, schemas.GENERATED_KEYS[table], order, last)
+    key = schemas.GENERATED_KEYS.get(table)
+    if key and key not in rows.columns:
+        rows = assign_keys(rows, key, order, last)
     fill = {"createdDatetime": now, "modifiedDatetime": now, "isActive": F.lit(True), **(inserts or {})}
     return rows.select(*[
         (F.col(f.name) if f.name in rows.columns else fill.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name)

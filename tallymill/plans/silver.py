@@ -16,8 +16,9 @@ from ..functions.text import (
     blank_to_null, clean_text, collapse, date_key, hash16, match_text, money_or_null, natural_key, parse_date,
     parse_money, row_identifier, type_or_unknown,
 )
+from ..operators.aggregates import duplicates
 from ..operators.joins import lookup
-from ..operators.numbering import dedupe
+from ..operators.numbering import dedupe, file_offsets, keys_by_file
 from ..operators.rules import classifying_rules, match_rules
 from ..operators.upsert import changed, insert_ignore, merge_upsert, new_rows
 from ..sources.files import Stage, account_columns
@@ -209,9 +210,10 @@ def observed_kinds(prepared: DataFrame, categories: DataFrame) -> DataFrame:
     )
 
 
-def derive_category_rules(target: DataFrame, prepared: DataFrame, categories: DataFrame) -> DataFrame:
+def derive_category_rules(target: DataFrame, kinds: DataFrame) -> DataFrame:
+    """One rule per observed kind, so that every default outcome can be traced to a rule."""
     none = F.lit(None).cast("string")
-    rules = observed_kinds(prepared, categories).select(
+    rules = kinds.select(
         "ruleName", "sourceAccountType", "sourceCategoryName", "transactionType",
         none.alias("descriptionMatchType"), none.alias("descriptionMatchText"),
         F.col("defaultCategoryKey").alias("spendingCategoryKey"), F.col("outcome.event").alias("transactionEventType"),
@@ -238,10 +240,12 @@ def _file_keys(files: DataFrame, metadata: DataFrame, accounts: DataFrame) -> Da
     return files.select("sourceFileHash", "sourceFileKey").join(known, "sourceFileHash", "left")
 
 
-def fact_rows(prepared: DataFrame, metadata: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-    """Staged facts: all keys resolved, final category and event chosen, one row per source row."""
+def fact_rows(
+    prepared: DataFrame, metadata: DataFrame, kinds: DataFrame, tables: dict[str, DataFrame]
+) -> DataFrame:
+    """Staged facts: all keys resolved, final category and event chosen. Every lookup table has one row per key, so
+    there is one fact per prepared row."""
     rules = tables["mapCategoryRule"]
-    kinds = observed_kinds(prepared, tables["dimSpendingCategory"])
     auto = rules.select("ruleName", F.col("categoryRuleKey").alias("_autoRule"), F.col("spendingCategoryKey").alias("_autoCategory"))
     # One row per (account, category, type): the auto rule is resolved here instead of once per transaction.
     # Lookup tables are written out first, so that the broadcast decision sees their true size.
@@ -268,7 +272,7 @@ def fact_rows(prepared: DataFrame, metadata: DataFrame, tables: dict[str, DataFr
 
     account = F.when(F.col("sourceAccountType") == "checking", F.col("_checking")).otherwise(F.col("_card"))
     unknown = F.lit(-1).cast("long")
-    facts = rows.select(
+    return rows.select(
         "sourceFileKey",
         F.coalesce(account, unknown).alias("financialAccountKey"),
         date_key(F.col("transactionDate")).alias("transactionDateKey"),
@@ -287,7 +291,6 @@ def fact_rows(prepared: DataFrame, metadata: DataFrame, tables: dict[str, DataFr
         F.coalesce("winner.transactionEventType", "outcome.event").alias("transactionEventType"),
         "transactionAmount",
     )
-    return dedupe(facts, ["sourceRowIdentifier"], [F.col("sourceRowNumber")])
 
 
 FACT_TEXTS = ["transactionDescription", "transactionDescriptionClean", "sourceCategoryName"]
@@ -306,21 +309,30 @@ def merge_facts(target: DataFrame, rows: DataFrame, last: int | None = None) ->
 
 
 def upsert_by_file(
-    change: Change, table: str, rows: DataFrame, by: str, known: DataFrame | None, order: list[str],
+    change: Change, table: str, rows: DataFrame, by: str, known: DataFrame | None, offsets: DataFrame,
     merge: Callable[[DataFrame, DataFrame, int], DataFrame],
 ) -> None:
-    """Upsert rows whose grain lies within a file. Rows of files never seen are appended, untouched by any join;
-    rows of known files (`known` has their `by` values) are merged into the parts that hold those files, and only
-    these parts are rewritten."""
+    """Upsert rows whose grain lies within a file. Rows of files never seen are appended, untouched by any join
+    with the table; rows of known files (`known` has their `by` values) are merged into the parts that hold those
+    files, and only these parts are rewritten."""
     if known is not None:
+        rows = materialise(rows, "rows")
         parts = change.store.parts_with(table, by, known)
-        again = lookup(rows, known.select(by), [by], order, how="left_semi")
+        again = lookup(rows, known.select(by), [by], ["sourceRowNumber"], how="left_semi")
         merged = merge(change.store.table(table, parts=parts), again, change.last_key(table))
         change.replace(table, parts, merged)
-        rows = lookup(rows, known.select(by), [by], order, how="left_anti")
+        rows = lookup(rows, known.select(by), [by], ["sourceRowNumber"], how="left_anti")
         if rows.isEmpty():
             return
-    change.append(table, new_rows(table, rows, order, change.last_key(table)))
+    key, last = schemas.GENERATED_KEYS[table], change.last_key(table)
+    change.append(table, new_rows(table, keys_by_file(rows, key, by, offsets, last), [], last))
+
+
+def unique_grain(staged: DataFrame) -> DataFrame:
+    """Staged rows, one per file and row number. Only the two grain columns are shuffled unless a row is doubled."""
+    if duplicates(staged, GRAIN).isEmpty():
+        return staged
+    return materialise(dedupe(staged, GRAIN, [F.col("sourceFileName")]), "deduped")
 
 
 def together(spark: SparkSession, *jobs: Callable[[], object]) -> list:
@@ -344,8 +356,8 @@ def load(store: Store, stage: Stage, fresh: bool = False) -> dict[str, DataFrame
     metadata, checking, credit = together(
         store.spark,
         lambda: materialise(stage.metadata, "metadata"),
-        lambda: materialise(stage.checking, "checking"),
-        lambda: materialise(stage.credit, "credit"),
+        lambda: unique_grain(materialise(stage.checking, "checking")),
+        lambda: unique_grain(materialise(stage.credit, "credit")),
     )
     seen = current.table("dimSourceFile").filter(F.col("sourceFileKey") > 0)
     known = seen.join(metadata.select("sourceFileHash"), "sourceFileHash", "left_semi")
@@ -354,38 +366,40 @@ def load(store: Store, stage: Stage, fresh: bool = False) -> dict[str, DataFrame
         known = None
 
     def bronze(name: str, staged: DataFrame) -> None:
-        rows = dedupe(staged, GRAIN, [F.col("sourceFileName")]).select(*GRAIN, *bronze_columns(name))
         upsert_by_file(
-            change, name, rows, "sourceFileHash", known, GRAIN,
+            change, name, staged.select(*GRAIN, *bronze_columns(name)), "sourceFileHash", known,
+            materialise(file_offsets(staged, "sourceFileHash"), "offsets"),
             lambda old, new, last: load_bronze(name, old, new, last),
         )
 
-    def silver() -> None:
-        change.put("dimSpendingCategory", insert_ignore(
+    def seeds() -> DataFrame:
+        categories = change.put("dimSpendingCategory", insert_ignore(
             current.table("dimSpendingCategory"), seed_categories(store.spark), "spendingCategoryKey"
         ))
-        prepared = materialise(prepare(unify_sources(checking, credit)), "prepared")
-        _transform(change, current, prepared, metadata, known, from_files=True)
+        return materialise(seed_category_rules(current.table("mapCategoryRule"), categories), "rules")
+
+    def files() -> None:
+        change.put("dimSourceFile", dim_source_file(current.table("dimSourceFile"), metadata))
+        change.put("dimFinancialAccount", dim_account(current.table("dimFinancialAccount"), metadata))
 
-    together(
+    prepared, rules, *_ = together(
         store.spark,
+        lambda: materialise(prepare(unify_sources(checking, credit)), "prepared"),
+        seeds,
+        files,
         lambda: bronze("rawChaseCheckingTransaction", checking),
         lambda: bronze("rawChaseCreditTransaction", credit),
-        silver,
     )
+    _transform(change, current, prepared, metadata, known, rules)
     tables = {name: change.table(name) for name in schemas.TABLES}
     change.commit()
     return tables
 
 
 def _transform(
-    change: Change, current: Store, prepared: DataFrame, metadata: DataFrame, known: DataFrame | None, from_files: bool
+    change: Change, current: Store, prepared: DataFrame, metadata: DataFrame, known: DataFrame | None, rules: DataFrame
 ) -> None:
-    """Everything that follows from prepared rows: dimensions and rule maps side by side, then the facts."""
-    def files() -> None:
-        change.put("dimSourceFile", dim_source_file(current.table("dimSourceFile"), metadata))
-        change.put("dimFinancialAccount", dim_account(current.table("dimFinancialAccount"), metadata))
-
+    """What follows from prepared rows: calendar, merchants and rule maps side by side, then the facts."""
     def merchants() -> None:
         change.put("dimMerchant", dim_merchant(current.table("dimMerchant"), prepared))
         change.put("mapMerchantRule", derive_merchant_rules(current.table("mapMerchantRule"), change.table("dimMerchant")))
@@ -393,16 +407,20 @@ def _transform(
     def calendar() -> None:
         change.put("dimCalendarDate", dim_calendar(current.table("dimCalendarDate"), prepared))
 
-    def category_rules() -> None:
-        rules, categories = current.table("mapCategoryRule"), change.table("dimSpendingCategory")
-        if from_files:
-            rules = materialise(seed_category_rules(rules, categories), "rules")
-        change.put("mapCategoryRule", derive_category_rules(rules, prepared, categories))
+    def category_rules() -> DataFrame:
+        kinds = materialise(observed_kinds(prepared, change.table("dimSpendingCategory")), "kinds")
+        change.put("mapCategoryRule", derive_category_rules(rules, kinds))
+        return kinds
+
+    def offsets() -> DataFrame:
+        keys = change.table("dimSourceFile").select("sourceFileHash", "sourceFileKey")
+        longest = prepared.groupBy("sourceFileHash").agg(F.max("sourceRowNumber").alias("sourceRowNumber"))
+        return materialise(file_offsets(longest.join(keys, "sourceFileHash"), "sourceFileKey"), "offsets")
 
-    together(current.spark, merchants, category_rules, calendar, *([files] if from_files else []))
+    kinds, before, *_ = together(current.spark, category_rules, offsets, merchants, calendar)
     tables = {name: change.table(name) for name in schemas.SILVER_TABLES if name != "factTransaction"}
-    rows = materialise(fact_rows(prepared, metadata, tables), "facts")
-    upsert_by_file(change, "factTransaction", rows, "sourceFileKey", known, ["sourceRowIdentifier"], merge_facts)
+    rows = fact_rows(prepared, metadata, kinds, tables)
+    upsert_by_file(change, "factTransaction", rows, "sourceFileKey", known, before, merge_facts)
 
 
 def reclassify(store: Store) -> dict[str, DataFrame]:
@@ -416,7 +434,7 @@ def reclassify(store: Store) -> dict[str, DataFrame]:
     kinds = {"rawChaseCheckingTransaction": schemas.CHECKING_TYPE, "rawChaseCreditTransaction": schemas.CREDIT_TYPE}
     checking, credit = [store.table(n).withColumn("sourceFileType", F.lit(kind)) for n, kind in kinds.items()]
     prepared = materialise(prepare(unify_sources(checking, credit)), "prepared")
-    _transform(change, store, prepared, metadata, known, from_files=False)
+    _transform(change, store, prepared, metadata, known, store.table("mapCategoryRule"))
     tables = {name: change.table(name) for name in schemas.TABLES}
     change.commit()
     return tables
