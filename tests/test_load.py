@@ -4,7 +4,6 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from conftest import SF
 from tallymill import schemas
 from tallymill.operators import constraints
 from tallymill.plans import approval, gold, quality, silver
@@ -23,12 +22,27 @@ def card(date="01/05/2026", description="Cafe", category="Gas", kind="Sale", amo
     return f'{date},{date},"{description}",{category},{kind},"{amount}",\n'
 
 
-@pytest.fixture()
-def landing(tmp_path):
-    write(tmp_path / "in" / "Chase1111.csv", f"{CHECKING}\n" + row(description="EPAY web") + row(description="  shop  one ")
+def fill(folder):
+    write(folder / "in" / "Chase1111.csv", f"{CHECKING}\n" + row(description="EPAY web") + row(description="  shop  one ")
           + row(date="13/01/2026", description="SHOP ONE") + row(description="   ", kind=" ") + row(kind="ACH_CREDIT", amount="$5.00"))
-    write(tmp_path / "in" / "Chase2222.csv", f"{CREDIT}\n" + card() + card(kind="Return", category="", amount="2.00") + card(category="Odd"))
-    return tmp_path
+    write(folder / "in" / "Chase2222.csv", f"{CREDIT}\n" + card() + card(kind="Return", category="", amount="2.00") + card(category="Odd"))
+    return folder
+
+
+@pytest.fixture(scope="module")
+def loaded(spark, tmp_path_factory):
+    """One load that several tests read; none of them writes to it."""
+    folder = fill(tmp_path_factory.mktemp("loaded"))
+    return folder, *load(spark, folder)
+
+
+def copy_of(store, path):
+    copy = Store(store.spark, str(path))
+    change = copy.begin()
+    for name in schemas.TABLES:
+        change.put(name, store.table(name))
+    change.commit()
+    return copy
 
 
 def load(spark, tmp_path, name="store", **options):
@@ -48,8 +62,8 @@ def content(tables, drop=("createdDatetime", "modifiedDatetime")):
     return sorted(map(str, rows.select(sorted(rows.columns)).collect()))
 
 
-def test_edge_rows(spark, landing):
-    _, tables = load(spark, landing)
+def test_edge_rows(loaded):
+    tables = loaded[2]
     found = facts(tables)
     checking = lambda n: found[("chaseCheckingCsv", n)]
     assert (checking(1).spendingCategoryName, checking(1).transactionEventType) == ("DebtPayment", "debtPayment")
@@ -66,28 +80,41 @@ def test_edge_rows(spark, landing):
     assert constraints.check_foreign_keys(tables).filter("violationCount > 0").isEmpty()
 
 
-def test_rerun_changes_nothing_and_new_files_are_appended(spark, landing):
-    store, first = load(spark, landing)
+def test_life_of_a_store(spark, tmp_path):
+    """Load, load again, load a new file, fail on a bad one, rebuild from one file."""
+    fill(tmp_path)
+    store, first = load(spark, tmp_path)
     before = {r.transactionKey: r.modifiedDatetime for r in first["factTransaction"].collect()}
-    parts = store.parts("factTransaction")
-    _, second = load(spark, landing)
-    again = {r.transactionKey: r.modifiedDatetime for r in second["factTransaction"].collect()}
-    assert again == before
+    _, second = load(spark, tmp_path)
+    assert {r.transactionKey: r.modifiedDatetime for r in second["factTransaction"].collect()} == before
 
     parts = store.refresh().parts("factTransaction")
-    write(landing / "in" / "Chase3333.csv", f"{CREDIT}\n" + card(description="New place"))
-    silver.load(store, stage_files(spark, str(landing / "in"), known_hashes=store.table("dimSourceFile")))
+    write(tmp_path / "in" / "Chase3333.csv", f"{CREDIT}\n" + card(description="New place"))
+    silver.load(store, stage_files(spark, str(tmp_path / "in"), known_hashes=store.table("dimSourceFile")))
     # The rows of known files were not rewritten.
     now = store.parts("factTransaction")
     assert set(parts.items()) < set(now.items()) and len(now) == len(parts) + 1
-    keys = sorted(r.transactionKey for r in store.table("factTransaction").collect())
-    assert keys == [100 * i for i in range(1, 10)]
-    bronze = store.table("rawChaseCreditTransaction")
-    assert sorted(r.recordKey for r in bronze.collect()) == [100, 200, 300, 400]
+    assert sorted(r.transactionKey for r in store.table("factTransaction").collect()) == [100 * i for i in range(1, 10)]
+    assert sorted(r.recordKey for r in store.table("rawChaseCreditTransaction").collect()) == [100, 200, 300, 400]
+
+    write(tmp_path / "in" / "Chase4444.csv", f"{CREDIT}\n" + card(amount="--5"))
+    stage = stage_files(spark, str(tmp_path / "in"))
+    with pytest.raises(PySparkException):
+        silver.load(store, stage)
+    assert store.refresh().table("factTransaction").count() == 9
+    assert store.table("rawChaseCreditTransaction").count() == 4
+    good, bad = silver.quarantine(silver.unify_sources(stage.checking, stage.credit))
+    assert (good.count(), [r.amountText for r in bad.collect()]) == (9, ["--5"])
 
+    only = stage_files(spark, [str(tmp_path / "in" / "Chase2222.csv")])
+    tables = silver.load(store, only, fresh=True)
+    assert tables["factTransaction"].count() == 3 and tables["rawChaseCheckingTransaction"].count() == 0
+    assert store.table("factTransaction").count() == 3 and store.table("dimSourceFile").count() == 2
 
-def test_changed_classification_updates_only_those_facts(spark, landing):
-    store, tables = load(spark, landing)
+
+def test_changed_classification_updates_only_those_facts(spark, loaded, tmp_path):
+    tables = loaded[2]
+    store = copy_of(loaded[1], tmp_path / "copy")
     change = store.begin()
     ddl = schemas.TABLES["mapCategoryRule"]
     now = [None, None]
@@ -104,28 +131,9 @@ def test_changed_classification_updates_only_those_facts(spark, landing):
         assert (after[key].transactionEventType == "fee") == cafe or old.transactionEventType == "fee"
 
 
-def test_full_refresh_forgets_earlier_files(spark, landing):
-    store, _ = load(spark, landing)
-    only = stage_files(spark, [str(landing / "in" / "Chase2222.csv")])
-    tables = silver.load(store, only, fresh=True)
-    assert tables["factTransaction"].count() == 3 and tables["rawChaseCheckingTransaction"].count() == 0
-    assert store.table("factTransaction").count() == 3 and store.table("dimSourceFile").count() == 2
-
-
-def test_bad_amount_fails_the_whole_load_and_leaves_the_store(spark, landing):
-    store, _ = load(spark, landing)
-    write(landing / "in" / "Chase4444.csv", f"{CREDIT}\n" + card(amount="--5"))
-    with pytest.raises(PySparkException):
-        silver.load(store, stage_files(spark, str(landing / "in")))
-    assert store.refresh().table("factTransaction").count() == 8
-    assert store.table("rawChaseCreditTransaction").count() == 3
-    stage = stage_files(spark, str(landing / "in"))
-    good, bad = silver.quarantine(silver.unify_sources(stage.checking, stage.credit))
-    assert (good.count(), [r.amountText for r in bad.collect()]) == (8, ["--5"])
-
-
-def test_uncommitted_parts_stay_invisible(spark, landing):
-    store, tables = load(spark, landing)
+def test_uncommitted_parts_stay_invisible(spark, loaded, tmp_path):
+    tables = loaded[2]
+    store = copy_of(loaded[1], tmp_path / "copy")
     change = store.begin()
     change.put("dimMerchant", tables["dimMerchant"].filter("false"))
     assert Store(spark, store.root).table("dimMerchant").count() == tables["dimMerchant"].count()
@@ -133,16 +141,16 @@ def test_uncommitted_parts_stay_invisible(spark, landing):
     assert Store(spark, store.root).table("dimMerchant").count() == 0
 
 
-def test_input_order_does_not_matter(spark, landing):
-    stage = stage_files(spark, str(landing / "in"))
-    _, first = load(spark, landing)
-    shuffled = Stage(stage.metadata, stage.checking.repartition(5, "amount"), stage.credit.orderBy(F.desc("sourceRowNumber")))
-    second = silver.load(Store(spark, str(landing / "other")), shuffled)
+def test_input_order_and_doubled_rows_do_not_matter(spark, loaded, tmp_path):
+    folder, _, first = loaded
+    stage = stage_files(spark, str(folder / "in"))
+    shuffled = Stage(stage.metadata, stage.checking.unionByName(stage.checking).repartition(5, "amount"), stage.credit.orderBy(F.desc("sourceRowNumber")))
+    second = silver.load(Store(spark, str(tmp_path / "other")), shuffled)
     assert content(first) == content(second)
 
 
-def test_stream_equals_batch_and_is_safe_to_repeat(spark, landing):
-    _, batch = load(spark, landing)
+def test_stream_equals_batch_and_is_safe_to_repeat(spark, loaded, tmp_path):
+    batch, landing = loaded[2], fill(tmp_path)
     store = Store(spark, str(landing / "streamed"))
     drain(store, str(landing / "in"), str(landing / "ck1"), files_per_batch=1).awaitTermination()
     streamed = {name: store.table(name) for name in schemas.TABLES}
@@ -165,8 +173,8 @@ REQUEST = (
 )
 
 
-def test_approval(spark, landing):
-    store, tables = load(spark, landing)
+def test_approval(spark, loaded, tmp_path):
+    _, store, tables = loaded
     before = facts(tables)
     requests = spark.createDataFrame([
         (1, "checking", "DEBIT_CARD", "purchase", None, "shop", "Uncategorized"),
@@ -180,11 +188,7 @@ def test_approval(spark, landing):
         (9, "creditCard", "Sale", "purchase", "exact", " CAFE!", "Dining"),
     ], REQUEST)
     for batch in (200, 2):
-        copy = Store(spark, str(landing / f"copy{batch}"))
-        change = copy.begin()
-        for name in schemas.TABLES:
-            change.put(name, store.table(name))
-        change.commit()
+        copy = copy_of(store, tmp_path / f"copy{batch}")
         result = {r.requestOrder: r for r in approval.approve_rules(copy, requests, batch=batch).collect()}
         assert {n: r.updatedTransactionCount for n, r in result.items()} == {1: 2, 2: 2, 3: 0, 4: 1, 5: 0, 6: 0, 7: 0, 8: 0, 9: 0}
         assert {n: r.rejectReason for n, r in result.items() if r.rejectReason} == {
@@ -200,8 +204,8 @@ def test_approval(spark, landing):
         assert manual[0].descriptionMatchText == "SHOP"
 
 
-def test_approval_of_one_letter_text_searches_the_whole_text(spark, landing):
-    store, _ = load(spark, landing)
+def test_approval_of_one_letter_text_searches_the_whole_text(spark, loaded, tmp_path):
+    store = copy_of(loaded[1], tmp_path / "copy")
     request = spark.createDataFrame([(1, "checking", "DEBIT_CARD", "purchase", "contains", "S", "Shopping")], REQUEST)
     assert approval.approve_rules(store, request).first().updatedTransactionCount == 2
     # At the next load such a rule matches nothing, and the default outcome returns.
@@ -254,8 +258,8 @@ def test_privacy(spark, tmp_path):
     assert [tuple(r) for r in quality.leaked_values(views["vw_TransactionLedger"], tables).collect()] == [("merchantDisplayName", 1)]
 
 
-def test_views_and_registration(spark, landing):
-    store, tables = load(spark, landing)
+def test_views_and_registration(spark, loaded):
+    _, store, tables = loaded
     store.register()
     gold.register_views(tables)
     assert spark.sql("SELECT count(*) FROM silver_factTransaction").first()[0] == 8
