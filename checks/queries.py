@@ -1061,13 +1061,13 @@ WINDOW = dict(start=dt.date(1999, 12, 31), end=dt.date(1996, 1, 1))
 _in_window = "transactionDate BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'"
 
 
-def _slice(spark, sf, **conditions) -> DataFrame:
-    return ledger.filter_ledger(layers(spark, sf).gold["vw_TransactionLedger"], **(conditions or WINDOW))
+def _slice(spark, sf, columns=None, **conditions) -> DataFrame:
+    return ledger.open_slice(layers(spark, sf).tables, columns=columns, **(conditions or WINDOW))
 
 
 query("led01_led02_filter", sql.gold(f"""
 SELECT {_ledger} FROM ledger WHERE {_in_window} AND accountType = 'creditCard' AND spendingCategoryName = 'Gas'"""))(
-    lambda spark, sf: _slice(spark, sf, account="creditCard", category="Gas", **WINDOW))
+    lambda spark, sf: _slice(spark, sf, gold.LEDGER_COLUMNS, account="creditCard", category="Gas", **WINDOW).select(gold.LEDGER_COLUMNS))
 
 
 def _search(needle: str) -> str:
@@ -1102,7 +1102,7 @@ SELECT {sql.event_sum('purchase')}::DOUBLE / {sql.event_count('purchase')} AS av
        first(merchantDisplayName ORDER BY abs(transactionAmount) DESC, transactionDate DESC, transactionKey DESC)
          FILTER (transactionEventType = 'purchase') AS largestPurchaseMerchant,
        floor((count(*) - count(*) FILTER ({sql.OPEN})) / count(*) * 100 + 0.5)::BIGINT AS categorizedPercent FROM ledger WHERE {_in_window}"""))(
-    lambda spark, sf: ledger.insights(_slice(spark, sf)))
+    lambda spark, sf: ledger.insights(_slice(spark, sf, ["transactionKey", "merchantDisplayName"])))
 
 
 def _period(period: str) -> str:
@@ -1121,7 +1121,7 @@ GROUP BY 1 HAVING {sql.NET} <> 0 ORDER BY 2 DESC, 1 LIMIT 8"""))(lambda spark, s
 query("led11_top_merchants", sql.gold(f"""
 SELECT merchantDisplayName, sum(abs(transactionAmount))::DOUBLE AS totalSpendingAmount FROM ledger
 WHERE {_in_window} AND transactionEventType = 'purchase' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8"""))(
-    lambda spark, sf: ledger.top_merchants(_slice(spark, sf)))
+    lambda spark, sf: ledger.top_merchants(_slice(spark, sf, ["merchantDisplayName"])))
 query("led12_account_mix", sql.gold(f"""
 SELECT accountType, {sql.NET}::DOUBLE AS spendingAmount FROM ledger WHERE {_in_window} GROUP BY 1 HAVING {sql.NET} > 0"""))(
     lambda spark, sf: ledger.account_mix(_slice(spark, sf)))

@@ -6,6 +6,8 @@ fact row is shuffled for a dimension join and a frequent merchant or account is
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.classify import OPEN_CATEGORIES
@@ -140,27 +142,37 @@ LEDGER_COLUMNS = [
 ]
 
 
-def transaction_ledger(tables: dict[str, DataFrame]) -> DataFrame:
-    """One safe row per transaction."""
-    days, spread = tables["dimCalendarDate"], ["transactionKey"]
+def transaction_ledger(
+    tables: dict[str, DataFrame], columns: list[str] | None = None, start: dt.date | None = None, end: dt.date | None = None
+) -> DataFrame:
+    """One safe row per transaction.
+
+    With `columns`, only the dimensions that those columns come from are joined: every fact key has its dimension
+    row (the load sees to it, check 9 verifies it), so leaving a join out drops no row. `start` and `end` become a
+    range of date keys on the fact scan, which Parquet statistics can skip files by.
+    """
+    columns = columns or LEDGER_COLUMNS
+    fact, spread = tables["factTransaction"], ["transactionKey"]
+    if start is not None and end is not None:
+        first, last = [int(d.strftime("%Y%m%d")) for d in sorted((start, end))]
+        fact = fact.filter(F.col("transactionDateKey").between(first, last))
+    days = tables["dimCalendarDate"]
     moved = days.select(
         F.col("calendarDateKey").alias("transactionDateKey"), F.col("calendarDate").alias("transactionDate"), *MONTH
     )
     posted = days.select(F.col("calendarDateKey").alias("postedDateKey"), F.col("calendarDate").alias("postedDate"))
-    rows = lookup(tables["factTransaction"], moved, ["transactionDateKey"], spread, how="inner")
-    rows = lookup(rows, posted, ["postedDateKey"], spread, how="inner")
-    rows = lookup(
-        rows, tables["dimFinancialAccount"].select("financialAccountKey", "accountType"), ["financialAccountKey"],
-        spread, how="inner",
-    )
-    rows = lookup(
-        rows, tables["dimMerchant"].select("merchantKey", "merchantDisplayName"), ["merchantKey"], spread, how="inner"
-    )
-    rows = lookup(
-        rows, tables["dimSpendingCategory"].select("spendingCategoryKey", *CATEGORY), ["spendingCategoryKey"], spread,
-        how="inner",
-    )
-    return rows.select(LEDGER_COLUMNS)
+    dimensions = {
+        "transactionDateKey": moved,
+        "postedDateKey": posted,
+        "financialAccountKey": tables["dimFinancialAccount"].select("financialAccountKey", "accountType"),
+        "merchantKey": tables["dimMerchant"].select("merchantKey", "merchantDisplayName"),
+        "spendingCategoryKey": tables["dimSpendingCategory"].select("spendingCategoryKey", *CATEGORY),
+    }
+    rows = fact
+    for key, dimension in dimensions.items():
+        if set(dimension.columns) & set(columns):
+            rows = lookup(rows, dimension, [key], spread, how="inner")
+    return rows.select(columns)
 
 
 VIEWS = {

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.classify import OPEN_CATEGORIES
 from ..functions.display import account_label, currency_text, month_label, percent_text, plain_number, whole_percent
 from ..operators.aggregates import count_if, last_n, sum_if, top_k, unpivot_metrics
-from .gold import MONEY
+from .gold import LEDGER_COLUMNS, MONEY, transaction_ledger
 
 TOP, RECENT = 8, 6
 
@@ -68,6 +68,23 @@ def filter_ledger(
     return rows.filter(search_condition(wanted)) if wanted else rows
 
 
+# What each analysis reads of the ledger, besides the columns a filter needs.
+SLICE = ["transactionDate", "yearMonth", "accountType", "spendingCategoryName", "transactionEventType", "transactionAmount"]
+
+
+def open_slice(
+    tables: dict[str, DataFrame], account: str = "all", category: str = "all", start: dt.date | None = None,
+    end: dt.date | None = None, text: str = "", columns: list[str] | None = None,
+) -> DataFrame:
+    """A filtered ledger straight from Silver: the date window reaches the fact scan, and dimensions that neither
+    the columns (default SLICE) nor a search need are not joined."""
+    wanted = list(dict.fromkeys([*(columns or SLICE), *SLICE]))
+    if text.strip():
+        wanted = LEDGER_COLUMNS
+    rows = transaction_ledger(tables, wanted, start, end)
+    return filter_ledger(rows, account, category, start, end, text)
+
+
 def date_bounds(ledger: DataFrame) -> DataFrame:
     return ledger.agg(F.min("transactionDate").alias("earliestDate"), F.max("transactionDate").alias("latestDate"))
 

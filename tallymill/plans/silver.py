@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from operator import and_
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -124,31 +126,48 @@ def observed_merchants(prepared: DataFrame) -> DataFrame:
     )
 
 
-def dim_merchant(target: DataFrame, prepared: DataFrame) -> DataFrame:
-    """One row per cleaned description; the lowest spelling is displayed, over all loads so far."""
+def merchant_source(target: DataFrame, prepared: DataFrame) -> DataFrame:
+    """One row per cleaned description of this load; the lowest spelling is displayed, over all loads so far."""
     seen = target.filter(F.col("merchantKey") > 0).select("merchantNormalizedName", "merchantDisplayName")
     known = observed_merchants(prepared).withColumnRenamed("merchantDisplayName", "_new")
-    merchants = known.join(seen, "merchantNormalizedName", "left").select(
+    return known.join(seen, "merchantNormalizedName", "left").select(
         "merchantNormalizedName", F.least("_new", "merchantDisplayName").alias("merchantDisplayName")
     )
-    return merge_upsert(
-        "dimMerchant", target, merchants, ["merchantNormalizedName"], ["merchantDisplayName"],
-        when=changed(["merchantDisplayName"]),
-    )
 
 
-def derive_merchant_rules(target: DataFrame, merchants: DataFrame) -> DataFrame:
+def merchant_rule_source(merchants: DataFrame) -> DataFrame:
+    """One exact rule per merchant."""
     name = F.concat(F.lit(AUTO_MERCHANT), hash16(F.col("merchantNormalizedName"), F.col("merchantKey")))
-    rules = merchants.filter(F.col("merchantKey") > 0).select(
+    return merchants.filter(F.col("merchantKey") > 0).select(
         name.alias("ruleName"), F.lit("exact").alias("descriptionMatchType"),
         F.col("merchantNormalizedName").alias("descriptionMatchText"), "merchantKey",
         F.lit(10).alias("rulePriority"),
     )
-    return merge_upsert(
-        "mapMerchantRule", target, rules, ["descriptionMatchType", "descriptionMatchText", "merchantKey"],
-        ["ruleName", "rulePriority"], when=changed(["ruleName", "rulePriority"]), reactivate=True,
-        order=["descriptionMatchText"],
+
+
+def upsert_growing(
+    change: Change, current: Store, table: str, source: DataFrame, keys: list[str], update: list[str],
+    order: list[str], reactivate: bool = False,
+) -> None:
+    """Upsert into a table that grows with the data: new rows become a new part, and of the existing parts only
+    those with a row that changes are rewritten."""
+    target = current.table(table)
+    options = dict(update=update, when=changed(update), reactivate=reactivate, order=order)
+    if not current.parts(table):
+        change.put(table, merge_upsert(table, target, source, keys, **options))
+        return
+    same = reduce(and_, [F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys])
+    stale = changed(update) | ~F.col("t.isActive") if reactivate else changed(update)
+    differing = materialise(
+        target.alias("t").join(source.alias("s"), same).filter(stale).select(*[f"t.{k}" for k in keys]), "differing"
     )
+    parts = current.parts_with(table, keys[-1], differing)
+    if parts:
+        again = source.join(differing, keys, "left_semi")
+        change.replace(table, parts, merge_upsert(table, current.table(table, parts=parts), again, keys, **options))
+    fresh = materialise(source.join(target.select(keys), keys, "left_anti"), "fresh")
+    if not fresh.isEmpty():
+        change.append(table, new_rows(table, fresh, order, change.last_key(table)))
 
 
 RULE_TEXTS = [
@@ -401,8 +420,15 @@ def _transform(
 ) -> None:
     """What follows from prepared rows: calendar, merchants and rule maps side by side, then the facts."""
     def merchants() -> None:
-        change.put("dimMerchant", dim_merchant(current.table("dimMerchant"), prepared))
-        change.put("mapMerchantRule", derive_merchant_rules(current.table("mapMerchantRule"), change.table("dimMerchant")))
+        upsert_growing(
+            change, current, "dimMerchant", merchant_source(current.table("dimMerchant"), prepared),
+            ["merchantNormalizedName"], ["merchantDisplayName"], ["merchantNormalizedName"],
+        )
+        upsert_growing(
+            change, current, "mapMerchantRule", merchant_rule_source(change.table("dimMerchant")),
+            ["descriptionMatchType", "descriptionMatchText", "merchantKey"], ["ruleName", "rulePriority"],
+            ["descriptionMatchText"], reactivate=True,
+        )
 
     def calendar() -> None:
         change.put("dimCalendarDate", dim_calendar(current.table("dimCalendarDate"), prepared))
