@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tallymill import schemas
 from tallymill.plans import gold, silver
 from tallymill.session import tune
-from tallymill.sources.feed import feed_stage
+from tallymill.sources.feed import checking_feed, credit_feed, feed_metadata
 from tallymill.sources.files import Stage, stage_files
 from tallymill.sources.store import Store, materialise, shared_folder
 
@@ -49,11 +49,12 @@ def staged(spark: SparkSession, sf_dir: str) -> Stage:
     """Both feeds as a load would stage them."""
     def build() -> Stage:
         tune(spark)
-        stage = feed_stage(spark, sf_dir)
-        return Stage(
-            materialise(stage.metadata, "feed-files"), materialise(stage.checking, "feed-checking"),
-            materialise(stage.credit, "feed-credit"),
+        checking, credit = silver.together(
+            spark,
+            lambda: materialise(checking_feed(spark, sf_dir), "feed-checking"),
+            lambda: materialise(credit_feed(spark, sf_dir), "feed-credit"),
         )
+        return Stage(materialise(feed_metadata(checking, credit), "feed-files"), checking, credit)
     return once(spark, sf_dir, "stage", build)
 
 

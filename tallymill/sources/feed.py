@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schemas
 from ..operators.numbering import number_rows
-from .files import Stage, account_columns
+from .files import account_columns
 
 # Fixed values, by position.
 CHECKING_DESCRIPTIONS = [
@@ -100,8 +100,3 @@ def feed_metadata(checking: DataFrame, credit: DataFrame) -> DataFrame:
     return files.withColumn("sourceFilePath", F.col("sourceFileName")).withColumns(
         account_columns(F.col("sourceFileName"), F.col("sourceFileType"))
     ).select(schemas.struct(schemas.FILE_METADATA).names)
-
-
-def feed_stage(spark: SparkSession, sf_dir: str) -> Stage:
-    checking, credit = checking_feed(spark, sf_dir), credit_feed(spark, sf_dir)
-    return Stage(feed_metadata(checking, credit), checking, credit)
