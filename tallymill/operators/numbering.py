@@ -32,10 +32,11 @@ def number_rows(df: DataFrame, order: list[str], within: list[str] | None = None
     earlier = (
         Window.partitionBy(*(within or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     )
-    runs = runs.select(
+    # Written out, so that Spark sees how small it is and leaves the rows where they are.
+    runs = materialise(runs.select(
         *[F.col(c).alias(f"_g_{c}") for c in within], F.col("_part").alias("_run"), "_first",
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
-    )
+    ), "runs")
     same = slotted["_part"] == runs["_run"]
     for c in within:
         same = same & slotted[c].eqNullSafe(runs[f"_g_{c}"])
