@@ -63,6 +63,12 @@ def remove(spark: SparkSession, *paths: str) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def ranked(df: DataFrame, order: list, name: str) -> DataFrame:
+    """df with a number that grows in the given order: from a range sort, so no task sees more than its share."""
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return kept(rows.withColumn(name, F.monotonically_increasing_id()), "ranked")
+
+
 def text_or_empty(name: str):
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
 
