@@ -54,6 +54,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallymill.llm.html_extraction import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallymill.llm.token_counts import count_tokens
 
@@ -72,6 +78,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_decontamination": op2_decontamination,
@@ -79,8 +91,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_bpe": op5_bpe,
     "op6_simhash": op6_simhash,
+    "op7_html_extraction": op7_html_extraction,
     "op8_token_counts": op8_token_counts,
     "op9_warc": op9_warc,
     "op10_quality": op10_quality,
+    "pipeline": pipeline,
 }
 ORACLE: dict[str, str] = {}

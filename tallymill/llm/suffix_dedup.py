@@ -342,11 +342,16 @@ def with_removals(df: DataFrame, id_column: str = "doc_id", text_column: str = "
     named removal is replaced; an empty table gives an empty one.
     """
     tuned(df.sparkSession)
-    rows = numbered(df.drop("removal"), id_column, text_column)
-    docs = rows.select(F.col("_doc").alias("doc"), text_or_empty(text_column).alias("text"))
+    columns = [c for c in df.columns if c != "removal"]
+    rest = [c for c in columns if c not in (id_column, text_column)]
+    packed = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(0)
+    rows = numbered(df.select(F.col(f"`{id_column}`").alias("_id"), F.col(f"`{text_column}`").alias("_text"), packed.alias("_rest")), "_id", "_text")
+    docs = rows.select(F.col("_doc").alias("doc"), text_or_empty("_text").alias("text"))
     found = repeats(docs, length, **limits)
     lists = found.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("first", "last")).alias("_ranges"))
-    return rows.join(lists, "_doc", "left").withColumn("removal", removed(text_or_empty(text_column), F.col("_ranges"), length, whole_characters)).drop("_doc", "_ranges")
+    out = rows.join(lists, "_doc", "left").withColumn("removal", removed(text_or_empty("_text"), F.col("_ranges"), length, whole_characters))
+    own = {id_column: "_id", text_column: "_text"}
+    return out.select(*[F.col(own.get(c, f"_rest.`{c}`")).alias(c) for c in columns], "removal")
 
 
 def remove_repeats(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, **limits) -> DataFrame:
