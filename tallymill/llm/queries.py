@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallymill.llm.common import table
+from tallymill.llm.oracles import OP2, OP4, OP9
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -97,4 +98,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
     "pipeline": pipeline,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_decontamination": OP2, "op4_suffix_dedup": OP4, "op9_warc": OP9}
