@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-# A dimension is sent to every executor only while Spark's size estimate for it is below this.
-BROADCAST_BYTES = 64 << 20
 # Rows of one key that a single task may join; more are spread over several tasks.
 HOT_ROWS = 2_000_000
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's own size estimate; no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def spread_join(
     facts: DataFrame, dim: DataFrame, on: list[str], spread: list[str], how: str = "left", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
@@ -29,8 +25,11 @@ def spread_join(
     )
     hot = F.broadcast(hot)
     parts = F.coalesce(F.col("_parts"), F.lit(1))
+    # NULL keys, which meet no dimension row, are spread like any hot key.
+    renamed = hot.select(*[F.col(c).alias(f"_hot_{c}") for c in on], "_parts")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_hot_{c}")) for c in on])
     facts_salted = (
-        facts.join(hot, on, "left")
+        facts.join(F.broadcast(renamed), same, "left").drop(*[f"_hot_{c}" for c in on])
         .withColumn("_salt", F.pmod(F.xxhash64(*spread), parts).cast("int")).drop("_parts")
     )
     dim_salted = (
@@ -46,12 +45,11 @@ def lookup(
 ) -> DataFrame:
     """Add a dimension's columns; `defaults` fills the ones of rows without a partner.
 
-    Broadcast while the dimension is small by estimate, otherwise the spread join.
+    Catalyst chooses the join by the sizes it measures, and splits the partitions of hot keys (see `session.tune`).
+    Where adaptive execution is off, the keys are spread over `spread`.
     """
-    if estimated_bytes(dim) <= BROADCAST_BYTES:
-        joined = facts.join(F.broadcast(dim), on, how)
-    else:
-        joined = spread_join(facts, dim, on, spread, how)
+    adaptive = facts.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true"
+    joined = facts.join(dim, on, how) if adaptive else spread_join(facts, dim, on, spread, how)
     for name, value in (defaults or {}).items():
         joined = joined.withColumn(name, F.coalesce(F.col(name), F.lit(value)))
     return joined
@@ -87,7 +85,7 @@ def one_row_join(left: DataFrame, right: DataFrame) -> DataFrame:
 def names_like(names: DataFrame, name_col: str, patterns: DataFrame, pattern_col: str) -> DataFrame:
     """Pairs where the name contains the pattern, ignoring case. Names and patterns are schema-sized lists."""
     return names.join(
-        F.broadcast(patterns), F.lower(F.col(name_col)).contains(F.lower(F.col(pattern_col)))
+        patterns, F.lower(F.col(name_col)).contains(F.lower(F.col(pattern_col)))
     )
 
 

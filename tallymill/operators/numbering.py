@@ -6,23 +6,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..schemas import KEY_STEP
 from ..sources.store import materialise
-from .joins import estimated_bytes, lookup
-
-# Frames up to this size may be sorted by a single task.
-SMALL_BYTES = 16 << 20
+from .joins import lookup
 
 
 def number_rows(df: DataFrame, order: list[str], within: list[str] | None = None, name: str = "rowNumber") -> DataFrame:
     """Number rows 1, 2, ... by `order`, per `within` group or over the whole frame.
 
-    A frame below SMALL_BYTES by Catalyst's estimate is sorted in place. Of a larger one, a range sort cuts even one huge group into many partitions. Each row keeps its slot in the written, sorted
-    copy; a group's run in a partition starts where its runs in earlier partitions end. The table of runs has at
-    most partitions + groups rows. `order` must be total.
+    A range sort cuts even one huge group into many partitions. Each row keeps its slot in the written, sorted copy; a
+    group's run in a partition starts where its runs in earlier partitions end. The table of runs has at most
+    partitions + groups rows. `order` must be total.
     """
     within = within or []
-    if estimated_bytes(df) <= SMALL_BYTES:
-        place = F.row_number().over(Window.partitionBy(*(within or [F.lit(0)])).orderBy(*order))
-        return df.withColumn(name, place.cast("long"))
     slotted = (
         df.repartitionByRange(*within, *order).sortWithinPartitions(*within, *order)
         .withColumn("_slot", F.monotonically_increasing_id())

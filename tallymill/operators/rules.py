@@ -1,7 +1,6 @@
 """Prioritised matching of transactions against a table of description rules.
 
-Two exact ways give the same winner. A rule set within INLINE_RULES becomes one CASE expression ordered by
-priority: no shuffle, first match wins. A larger one is joined through text anchors, see `winners_by_anchor`.
+Whatever the number of rules, they are joined with the distinct texts through text anchors, see `winners_by_anchor`.
 """
 
 from __future__ import annotations
@@ -9,12 +8,11 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Row, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import match_text, tokens
 from .joins import lookup
 
-INLINE_RULES = 200
 CLASSIFIERS = ["rule", "manual", "ai"]
 WINNER = "categoryRuleKey long, spendingCategoryKey long, transactionEventType string"
 # What decides a match, in the unified transaction shape.
@@ -51,27 +49,6 @@ def text_condition(kind: str, rule_text: str, text: Column, whole_if_short: bool
     return reduce(and_, [text.contains(w) for w in words]) if words else F.lit(False)
 
 
-def _rule_condition(rule: Row) -> Column:
-    condition = text_condition(rule.descriptionMatchType, rule.ruleText, F.col("transactionRuleMatchText"))
-    for name in ("sourceAccountType", "sourceCategoryName", "transactionType"):
-        if rule[name] is not None:
-            condition = (F.col(name) == rule[name]) & condition
-    return condition
-
-
-def winner_inline(rules: list[Row]) -> Column:
-    """Struct of the best matching rule, or NULL: highest priority, then largest key."""
-    chain = F
-    for rule in sorted(rules, key=lambda r: (-r.rulePriority, -r.categoryRuleKey)):
-        outcome = F.struct(
-            F.lit(rule.categoryRuleKey).cast("long").alias("categoryRuleKey"),
-            F.lit(rule.spendingCategoryKey).cast("long").alias("spendingCategoryKey"),
-            F.lit(rule.transactionEventType).alias("transactionEventType"),
-        )
-        chain = chain.when(_rule_condition(rule), outcome)
-    return F.lit(None).cast(f"struct<{WINNER.replace(' ', ':').replace(',:', ',')}>") if chain is F else chain
-
-
 def _grams(text: Column, size: int) -> Column:
     """All substrings of the given size."""
     last = F.length(text) - size + 1
@@ -124,15 +101,12 @@ def winners_by_anchor(evidence: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def match_rules(transactions: DataFrame, rules: DataFrame, inline_rules: int = INLINE_RULES) -> DataFrame:
+def match_rules(transactions: DataFrame, rules: DataFrame) -> DataFrame:
     """Transactions with a `winner` struct (WINNER), NULL where no rule matches. `rules`: classifying_rules(...).
 
-    The rule table's size is checked before any of it is read into the plan.
+    The highest priority wins, then the largest key; a rule without priority comes after all others, one of an unknown
+    match type never matches.
     """
-    known = rules.limit(inline_rules + 1).collect()
-    if len(known) <= inline_rules:
-        return transactions.withColumn("winner", winner_inline(known))
-
     combined = F.coalesce(F.col("sourceCategoryName"), F.lit(""))
     winners = winners_by_anchor(transactions.select(EVIDENCE).distinct(), rules)
     winners = winners.withColumn("_category", combined).drop("sourceCategoryName")

@@ -11,13 +11,15 @@ from ..functions.text import hash16, match_text
 from ..operators.constraints import MATCH_TYPES
 from ..operators.joins import lookup
 from ..operators.numbering import dedupe
-from ..operators.rules import INLINE_RULES, text_condition
+from ..operators.rules import text_condition
 from ..sources.store import Store, materialise
 from .silver import upsert_rules
 
 # Fixed values.
 MANUAL_RULE = "Manual Category Rule "
 MANUAL_PRIORITY = 120
+# Requests that one pass over the open facts handles.
+ROUND_REQUESTS = 200
 FIELDS = [
     "sourceAccountType", "transactionType", "transactionEventType", "descriptionMatchType", "descriptionMatchText",
     "spendingCategoryName",
@@ -133,12 +135,16 @@ def updated_facts(fact: DataFrame, changes: DataFrame, rules: DataFrame) -> Data
     }).select(fact.columns)
 
 
-def approve_rules(store: Store, requests: DataFrame, batch: int = INLINE_RULES) -> DataFrame:
+def approve_rules(store: Store, requests: DataFrame, batch: int = ROUND_REQUESTS) -> DataFrame:
     """Store the rules and update the facts, published together; returns one row per request.
 
-    (requestOrder, ruleName, rejectReason, updatedTransactionCount). Requests beyond `batch` are handled in
-    further rounds of that size, in order. Only parts of the fact with updated rows are rewritten.
+    (requestOrder, ruleName, categoryRuleKey, rejectReason, updatedTransactionCount). Requests beyond `batch` are
+    handled in further rounds of that size, in order. Only parts of the fact with updated rows are rewritten. Orders
+    that are missing or shared by requests fail, as nothing would say which of them acts first.
     """
+    odd = requests.groupBy("requestOrder").count().filter("count > 1 OR requestOrder IS NULL").limit(1).collect()
+    if odd:
+        raise ValueError(f"requestOrder {odd[0].requestOrder} is missing or not distinct")
     change = store.begin()
     categories, accounts = store.table("dimSpendingCategory"), store.table("dimFinancialAccount")
     prepared = materialise(prepare_manual_rules(requests, categories), "requests")
@@ -156,7 +162,9 @@ def approve_rules(store: Store, requests: DataFrame, batch: int = INLINE_RULES)
         rounds.append(materialise(applied_requests(open_facts, accounts, categories, known), "applied"))
         closed = rounds[-1].filter(~F.element_at("applied", -1)["staysOpen"]).select("sourceRowIdentifier")
         open_facts = open_facts.join(closed, "sourceRowIdentifier", "left_anti")
-    result = prepared.select("requestOrder", "ruleName", "rejectReason")
+    keys = rules.select("ruleName", "categoryRuleKey")
+    result = lookup(prepared.select("requestOrder", "ruleName", "rejectReason"), keys, ["ruleName"], ["requestOrder"]).select(
+        "requestOrder", "ruleName", "categoryRuleKey", "rejectReason")
     if rounds:
         changes = materialise(last_applied(rounds), "changes")
         parts = store.parts_with("factTransaction", "sourceRowIdentifier", changes)

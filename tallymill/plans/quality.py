@@ -33,6 +33,24 @@ CHECKS = [
     "Gold cashflow reconciles to Silver event totals",
     "Gold views do not expose blocked private/raw columns",
 ]
+# Own wording: what a failed check means, in the order of CHECKS.
+DETAILS = [
+    "Rows were lost or doubled between the Bronze tables and the fact.",
+    "A dimension join drops or repeats facts in the ledger.",
+    "A checking file and row number occurs more than once.",
+    "A card file and row number occurs more than once.",
+    "Two facts share a row identifier.",
+    "Two facts share a file and row number.",
+    "A fact lacks a value that every fact must have.",
+    "A fact points at the unknown member of a core dimension.",
+    "A fact has a key that its dimension does not know.",
+    "An amount has the wrong sign for its event type.",
+    "A fact has an event type outside the fixed list.",
+    "Monthly spending does not add up to the facts.",
+    "Monthly inflow, outflow or net does not add up to the facts.",
+    "A reporting view has a column whose name is not meant to leave Silver.",
+]
+# Columns that must be filled, keys of unknown members, event signs and blocked name parts.
 REQUIRED = [
     "sourceFileKey", "financialAccountKey", "transactionDateKey", "postedDateKey", "merchantKey",
     "spendingCategoryKey", "sourceRowIdentifier", "transactionType", "transactionEventType", "transactionAmount",
@@ -47,6 +65,17 @@ BLOCKED_PATTERNS = [
 ]
 
 
+# Texts of debt payments.
+DEBT_PATTERNS = ["CAPITAL ONE", "CREDIT CARD", "PAYMNT", " PMT "]
+# Own wording: what a section of the trust report is about.
+SECTION_DETAILS = {
+    "Row reconciliation": "Counts along the way from files to ledger; the difference should be zero.",
+    "Hard integrity checks": "Should be zero.",
+    "Dashboard amount definitions": "As the dashboard sums it.",
+    "Review risk": "Worth a look; not an error by itself.",
+}
+
+
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
@@ -175,8 +204,10 @@ def all_checks(tables: dict[str, DataFrame], gold: dict[str, DataFrame]) -> Data
 
 
 def integrity_report(tables: dict[str, DataFrame], gold: dict[str, DataFrame]) -> DataFrame:
-    """Failed checks only; an empty report means all passed."""
-    return all_checks(tables, gold).filter(F.col("failedRowCount") != 0).orderBy("checkName")
+    """Failed checks only, with what each means; an empty report means all passed."""
+    meaning = F.create_map(*[F.lit(x) for pair in zip(CHECKS, DETAILS) for x in pair])
+    failed = all_checks(tables, gold).filter(F.col("failedRowCount") != 0)
+    return failed.withColumn("detail", meaning[F.col("checkName")]).orderBy("checkName")
 
 
 # ---- privacy ---------------------------------------------------------------------------------------------------
@@ -215,7 +246,7 @@ def leaked_values(ledger: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
 def review_patterns(rows: DataFrame) -> list[Column]:
     """Aggregate columns: uncategorised purchases that look like investment transfers or debt payments."""
     text = F.col("transactionDescriptionClean")
-    debt = any_of([text.contains(p) for p in ["CAPITAL ONE", "CREDIT CARD", "PAYMNT", " PMT "]])
+    debt = any_of([text.contains(p) for p in DEBT_PATTERNS])
     columns = []
     for name, looks in {"possibleInvestmentTransfer": text.contains("ROBINHOOD"), "possibleDebtPayment": debt}.items():
         condition = open_purchase() & looks
@@ -244,7 +275,7 @@ def review_report(tables: dict[str, DataFrame], gold: dict[str, DataFrame]) -> D
 
 # Section and metric names of the trust report.
 def trust_report(tables: dict[str, DataFrame], gold: dict[str, DataFrame]) -> DataFrame:
-    """Seventeen metrics in four sections: (sectionOrder, metricOrder, sectionName, metricName, metricValue)."""
+    """Seventeen metrics in four sections: (sectionOrder, metricOrder, sectionName, metricName, metricValue, detail)."""
     rows = described_ledger(tables, gold)
     movement = _absolute("payment") + _absolute("debtPayment") + _absolute("transfer")
     amounts = rows.agg(
@@ -293,7 +324,9 @@ def trust_report(tables: dict[str, DataFrame], gold: dict[str, DataFrame]) -> Da
         (40, 50, risk, "Possible debt payments counted as spending", listed("possibleDebtPayment")),
     ]
     names = ["sectionOrder", "metricOrder", "sectionName", "metricName", "metricValue"]
-    return unpivot_metrics(reduce(one_row_join, parts), metrics, names).orderBy("sectionOrder", "metricOrder")
+    meaning = F.create_map(*[F.lit(x) for pair in SECTION_DETAILS.items() for x in pair])
+    rows = unpivot_metrics(reduce(one_row_join, parts), metrics, names)
+    return rows.withColumn("detail", meaning[F.col("sectionName")]).orderBy("sectionOrder", "metricOrder")
 
 
 def row_counts(tables: dict[str, DataFrame], gold: dict[str, DataFrame]) -> DataFrame:

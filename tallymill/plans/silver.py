@@ -372,11 +372,12 @@ def load(store: Store, stage: Stage, fresh: bool = False) -> dict[str, DataFrame
     if fresh:
         for table in schemas.TABLES:
             change.entries += [(table, part, None, None) for part in store.parts(table)]
+    one_per_row = (lambda rows: rows) if stage.numbered else unique_grain
     metadata, checking, credit = together(
         store.spark,
         lambda: materialise(stage.metadata, "metadata"),
-        lambda: unique_grain(materialise(stage.checking, "checking")),
-        lambda: unique_grain(materialise(stage.credit, "credit")),
+        lambda: one_per_row(materialise(stage.checking, "checking")),
+        lambda: one_per_row(materialise(stage.credit, "credit")),
     )
     seen = current.table("dimSourceFile").filter(F.col("sourceFileKey") > 0)
     known = seen.join(metadata.select("sourceFileHash"), "sourceFileHash", "left_semi")

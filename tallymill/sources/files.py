@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from dataclasses import dataclass
 from urllib.parse import quote
 
@@ -16,20 +17,24 @@ from .literals import literal_rows
 from .store import materialise
 
 CSV_GLOB = "*.[cC][sS][vV]"
-# Files up to this size are hashed inside the JVM; larger ones are streamed, as one row cannot hold them.
-WHOLE_FILE_BYTES = 256 << 20
-HEADER_BYTES = 64 << 10
+# Bytes of a file that are in memory at once while it is profiled.
+CHUNK_BYTES = 8 << 20
 # Fixed value: an isolated group of exactly four digits in a file name.
 FOUR_DIGITS = r"(?<!\d)(\d{4})(?!\d)"
 
 
 @dataclass
 class Stage:
-    """Staged input of a load: file metadata and the rows of the two source shapes."""
+    """Staged input of a load: file metadata, the rows of the two source shapes, and the files of no known shape.
+
+    `numbered` says that no two rows of a file share a row number.
+    """
 
     metadata: DataFrame
     checking: DataFrame
     credit: DataFrame
+    skipped: DataFrame | None = None
+    numbered: bool = False
 
 
 def _binary_files(spark: SparkSession, root: str | list[str]) -> DataFrame:
@@ -40,46 +45,52 @@ def _binary_files(spark: SparkSession, root: str | list[str]) -> DataFrame:
 
 
 def discover_files(spark: SparkSession, root: str | list[str]) -> DataFrame:
-    """(path, length) of every CSV below the root, or of the given files."""
-    return _binary_files(spark, root).select("path", "length")
-
-
-def _profile_large(batches):
-    """Hash and first bytes of files too large for one row, read in chunks."""
-    from pyarrow import fs
-
-    for batch in batches:
-        rows = []
-        for path in batch["path"]:
-            if path.startswith("file:/"):
-                system, name = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
-            else:
-                system, name = fs.FileSystem.from_uri(quote(path, safe=":/@"))
-            digest, head = hashlib.sha256(), b""
-            with system.open_input_stream(name) as stream:
-                while chunk := stream.read(8 << 20):
-                    digest.update(chunk)
-                    head = head or chunk[:HEADER_BYTES]
-            rows.append((path, digest.hexdigest(), head))
-        yield pd.DataFrame(rows, columns=["path", "sourceFileHash", "head"])
-
-
-def file_contents(spark: SparkSession, root: str | list[str], whole_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
-    """(path, sourceFileHash, head): SHA-256 of the bytes, and the bytes the header line is in."""
-    files = _binary_files(spark, root)
-    small = files.filter(F.col("length") <= whole_bytes).select(
-        "path", F.sha2("content", 256).alias("sourceFileHash"),
-        F.substring(F.col("content"), 1, HEADER_BYTES).alias("head"),
-    )
-    large = files.filter(F.col("length") > whole_bytes).select("path").mapInPandas(
-        _profile_large, "path string, sourceFileHash string, head binary"
-    )
-    return small.unionByName(large)
+    """(path, length) of every CSV below the root, or of the given files, by path."""
+    return _binary_files(spark, root).select("path", "length").orderBy("path")
+
+
+def _profile(chunk_bytes: int):
+    """Profile of whole files, read in chunks: hash, first line, and whether a line break stands inside quotes."""
+    def profile(batches):
+        import numpy as np
+        from pyarrow import fs
+
+        for batch in batches:
+            rows = []
+            for path in batch["path"]:
+                if path.startswith("file:/"):
+                    system, name = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+                else:
+                    system, name = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+                digest, head, in_head, quotes, broken = hashlib.sha256(), [], True, 0, False
+                with system.open_input_stream(name) as stream:
+                    while chunk := stream.read(chunk_bytes):
+                        digest.update(chunk)
+                        if in_head:
+                            line = re.split(rb"[\r\n]", chunk, maxsplit=1)
+                            head.append(line[0])
+                            in_head = len(line) == 1
+                        data = np.frombuffer(chunk, np.uint8)
+                        before = quotes + np.cumsum(data == 34)
+                        broken = broken or bool((before[data == 10] % 2).any())
+                        quotes = int(before[-1])
+                # Bytes that are no UTF-8 may spoil a name, and so the file's shape, but not the load.
+                rows.append((path, digest.hexdigest(), b"".join(head).decode("utf-8", "replace"), broken))
+            yield pd.DataFrame(rows, columns=["path", "sourceFileHash", "head", "brokenLines"])
+
+    return profile
+
+
+def file_contents(spark: SparkSession, root: str | list[str], chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """(path, sourceFileHash, head, brokenLines): SHA-256 of the bytes, the header line, and whether any row has a line
+    break inside quotes. Files are streamed, so their size does not matter."""
+    paths = _binary_files(spark, root).select("path")
+    return paths.mapInPandas(_profile(chunk_bytes), "path string, sourceFileHash string, head string, brokenLines boolean")
 
 
 def header_names(head: Column) -> Column:
     """Column names in the first line: byte order mark dropped, quotes removed, doubled quotes restored."""
-    line = F.regexp_extract(F.decode(head, "UTF-8"), r"^\x{FEFF}?([^\r\n]*)", 1)
+    line = F.regexp_extract(head, r"^\x{FEFF}?([^\r\n]*)", 1)
     fields = F.regexp_extract_all(line, F.lit(r'(?:^|,)("(?:[^"]|"")*"|[^,"]*)'), 1)
     return F.transform(
         fields,
@@ -105,21 +116,29 @@ def account_columns(name: Column, kind: Column) -> dict[str, Column]:
     }
 
 
+def shaped_files(contents: DataFrame) -> DataFrame:
+    """Contents with the names in their header and the shape these make, NULL for one that is not supported."""
+    return contents.withColumn("layout", header_names(F.col("head"))).withColumn("sourceFileType", file_type(F.col("layout")))
+
+
 def classify_files(contents: DataFrame) -> DataFrame:
-    """Supported files with name, path, header layout, hash, type and account; other shapes are left out."""
+    """Supported files with name, path, header layout, hash, type and account; see `skipped_files` for the others."""
     return (
-        contents.withColumn("layout", header_names(F.col("head")))
-        .withColumn("sourceFileType", file_type(F.col("layout")))
-        .filter(F.col("sourceFileType").isNotNull())
+        shaped_files(contents).filter(F.col("sourceFileType").isNotNull())
         .withColumn("sourceFileName", F.element_at(F.split("path", "/"), -1))
         .withColumns(account_columns(F.col("sourceFileName"), F.col("sourceFileType")))
         .select(
             "sourceFileName", F.col("path").alias("sourceFilePath"), "sourceFileHash", "sourceFileType",
-            "accountType", "accountLastFour", "layout",
+            "accountType", "accountLastFour", "layout", "brokenLines",
         )
     )
 
 
+def skipped_files(contents: DataFrame) -> DataFrame:
+    """(path, sourceFileHash, head) of files whose header is of no supported shape."""
+    return shaped_files(contents).filter(F.col("sourceFileType").isNull()).select("path", "sourceFileHash", "head").orderBy("path")
+
+
 def _one_spelling(path: Column) -> Column:
     """Scans write a local path as file:///a%20b where listings write file:/a b."""
     return F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
@@ -128,14 +147,20 @@ def _one_spelling(path: Column) -> Column:
 def read_rows(
     spark: SparkSession, paths: list[str], layout: list[str], headers: dict[str, str], multi_line: bool = False
 ) -> DataFrame:
-    """All-text rows of files that share one header layout. Line breaks inside quotes need `multi_line`, which
-    keeps Spark from splitting a file."""
-    schema = ", ".join(f"`{name.replace('`', '``')}` string" for name in layout)
+    """All-text rows of files that share one header layout, with their place: block and slot.
+
+    A row with more fields than the header fails. Line breaks inside quotes need `multi_line`, which keeps Spark
+    from splitting a file. Blocks depend on how this scan splits the files: number rows from one written copy.
+    """
+    surplus = "_surplus"
+    schema = ", ".join(f"`{name.replace('`', '``')}` string" for name in [*layout, surplus])
     raw = spark.read.schema(schema).options(header=True, quote='"', escape='"', multiLine=multi_line).csv(paths)
+    path = _one_spelling(F.col("_metadata.file_path"))
+    checked = F.when(F.col(surplus).isNull(), path).otherwise(
+        F.raise_error(F.concat(F.lit("a row has more fields than the header: "), path)))
     return raw.select(
         *[F.col(f"`{header}`").alias(name) for header, name in headers.items()],
-        _one_spelling(F.col("_metadata.file_path")).alias("_path"),
-        F.col("_metadata.file_block_start").alias("_block"),
+        checked.alias("_path"), F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_slot"),
     )
 
@@ -146,17 +171,18 @@ def file_blocks(rows: DataFrame) -> DataFrame:
 
 
 def with_row_number(rows: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Row number in file order, without moving rows.
+    """Row number in file order, without moving rows. `rows` is a written copy, `blocks` comes from that copy.
 
     The rows of a file block are consecutive within one task, so a row's place is its distance from the block's
-    first row plus the rows of the earlier blocks.
+    first row plus the rows of the earlier blocks. A row whose block is unknown fails.
     """
     earlier = Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    numbered = lookup(rows, blocks, ["_path", "_block"], spread=["_slot"], how="inner")
-    return numbered.withColumn(
-        "sourceRowNumber", (F.col("_slot") - F.col("_first") + F.col("_before") + 1).cast("long")
-    ).drop("_first", "_before", "_block", "_slot")
+    numbered = lookup(rows, blocks, ["_path", "_block"], spread=["_slot"])
+    place = (F.col("_slot") - F.col("_first") + F.col("_before") + 1).cast("long")
+    lost = F.raise_error(F.concat(F.lit("no block for a row of "), F.col("_path"))).cast("long")
+    return numbered.withColumn("sourceRowNumber", F.when(F.col("_first").isNull(), lost).otherwise(place)).drop(
+        "_first", "_before", "_block", "_slot")
 
 
 def with_lineage(rows: DataFrame, files: DataFrame) -> DataFrame:
@@ -168,14 +194,14 @@ def with_lineage(rows: DataFrame, files: DataFrame) -> DataFrame:
 
 def _stage_rows(spark: SparkSession, files: DataFrame, kind: str, headers: dict[str, str], ddl: str, multi_line: bool):
     """Staged rows of one file type and the rows per path. Only file names go through the driver, as for any
-    listing that Spark plans a scan from."""
-    layouts = (
-        files.filter(F.col("sourceFileType") == kind).groupBy("layout")
-        .agg(F.sort_array(F.collect_list("sourceFilePath")).alias("paths")).collect()
-    )
+    listing that Spark plans a scan from. Rows are read once, into a copy that both numbers and counts come from."""
+    groups: dict[tuple, list[str]] = {}
+    listed = files.filter(F.col("sourceFileType") == kind).select("layout", "brokenLines", "sourceFilePath")
+    for row in sorted(listed.collect(), key=lambda r: r.sourceFilePath):
+        groups.setdefault((tuple(row.layout), multi_line or row.brokenLines), []).append(row.sourceFilePath)
     staged, counts = literal_rows(spark, [], ddl), literal_rows(spark, [], "_path string, rowCount long")
-    for group in layouts:
-        rows = read_rows(spark, group.paths, group.layout, headers, multi_line)
+    for (layout, broken), paths in groups.items():
+        rows = materialise(read_rows(spark, paths, list(layout), headers, broken), "raw")
         blocks = materialise(file_blocks(rows), "blocks")
         staged = staged.unionByName(with_lineage(with_row_number(rows, blocks), files))
         counts = counts.unionByName(blocks.groupBy("_path").agg(F.sum("_n").alias("rowCount")))
@@ -188,9 +214,11 @@ def stage_files(
     """Profile and read all supported files below the root, or the given ones.
 
     Of files with equal bytes the one with the lowest name is read. With `known_hashes` (a sourceFileHash
-    column), files already loaded are skipped.
+    column), files already loaded are skipped. Files with line breaks inside quotes are found and read unsplit;
+    `multi_line` reads all files that way.
     """
-    files = classify_files(file_contents(spark, root))
+    contents = materialise(file_contents(spark, root), "contents")
+    files = classify_files(contents)
     if known_hashes is not None:
         files = new_files(files, known_hashes)
     files = materialise(dedupe(files, ["sourceFileHash"], [F.col("sourceFileName"), F.col("sourceFilePath")]), "files")
@@ -206,7 +234,7 @@ def stage_files(
         .withColumn("rowCount", F.coalesce("rowCount", F.lit(0)))
         .select(schemas.struct(schemas.FILE_METADATA).names)
     )
-    return Stage(metadata, checking, credit)
+    return Stage(metadata, checking, credit, skipped_files(contents), numbered=True)
 
 
 def new_files(files: DataFrame, known: DataFrame) -> DataFrame:

@@ -8,9 +8,11 @@ tables or none. The log has one writer at a time.
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -27,8 +29,10 @@ def _local_scratch() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a fresh local one only where none is set (tests, local runs)."""
+    """The cluster's checkpoint folder; a fresh local one only where none is set and all tasks run in this process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return (named or _local_scratch()).rstrip("/")
 
 
@@ -49,8 +53,10 @@ class Store:
     def _log(self) -> DataFrame | None:
         try:
             return self.spark.read.schema(_LOG).parquet(f"{self.root}/commits")
-        except AnalysisException:
-            return None
+        except AnalysisException as problem:
+            if problem.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
 
     def _entries(self) -> list:
         """(tableName, part, path, lastKey) of the newest entry per part, one row per part ever written."""
@@ -61,6 +67,22 @@ class Store:
             ).collect()
         return self._seen
 
+    def last_commit(self) -> int:
+        """Number of the newest commit in the log."""
+        log = self._log()
+        return (log.agg(F.max("commitId")).first()[0] or 0) if log is not None else 0
+
+    def claim(self, number: int) -> None:
+        """Take a commit number: its empty file is created, and must not be there yet."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/claims/{number}")
+        system = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            system.create(path, False).close()
+        except Py4JJavaError as problem:
+            if system.exists(path):
+                raise RuntimeError(f"commit {number} was made by another writer; start again from its tables") from problem
+            raise
+
     def refresh(self) -> "Store":
         """Look at the commit log again, to see what another session has committed."""
         self._seen = None
@@ -108,6 +130,7 @@ class Change:
 
     def __init__(self, store: Store):
         self.store, self.spark, self.entries = store, store.spark, []
+        self.base = store.last_commit()
 
     def last_key(self, table: str) -> int:
         written = [key for name, _, path, key in self.entries if name == table and path and key]
@@ -143,9 +166,10 @@ class Change:
         return self.spark.read.schema(schemas.TABLES[table]).parquet(*current)
 
     def commit(self) -> int:
-        log = self.store._log()
-        last = (log.agg(F.max("commitId")).first()[0] or 0) if log is not None else 0
-        rows = [(last + 1, *entry) for entry in self.entries]
+        """Make the parts current. Of two writers that saw the same log, the second fails and publishes nothing."""
+        number = self.base + 1
+        rows = [(number, *entry) for entry in self.entries]
+        self.store.claim(number)
         literal_rows(self.spark, rows, _LOG).coalesce(1).write.mode("append").parquet(f"{self.store.root}/commits")
         self.store.refresh()
-        return last + 1
+        return number

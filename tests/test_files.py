@@ -58,30 +58,71 @@ def test_rows_are_read_as_text_by_header_name(spark, folder):
     assert cards["card 0042.CSV"].transactionDate == "01/02/2026" and cards["card 0042.CSV"].description == "City  Tacos"
 
 
-def test_large_files_are_hashed_in_chunks(spark, folder):
-    whole = files.file_contents(spark, str(folder)).select("path", "sourceFileHash", "head")
-    streamed = files.file_contents(spark, str(folder), whole_bytes=10).select("path", "sourceFileHash", "head")
-    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, streamed.collect()))
+def test_chunks_do_not_change_the_profile(spark, folder):
+    whole = files.file_contents(spark, str(folder)).collect()
+    assert sorted(whole) == sorted(files.file_contents(spark, str(folder), chunk_bytes=3).collect())
+    by_name = {r.path.split("/")[-1]: r for r in whole}
+    assert by_name["quoted.csv"].sourceFileHash == hashlib.sha256((folder / "quoted.csv").read_bytes()).hexdigest()
+
+
+def test_splits_may_differ_between_staging_and_loading(spark, tmp_path):
+    """Executors come and go between the two: row numbers come from one written copy."""
+    write(tmp_path / "one.csv", f"{CHECKING}\n{checking_rows(260_000)}")
+    write(tmp_path / "two.csv", f"{CHECKING}\n{checking_rows(37)}")
+    assert (tmp_path / "one.csv").stat().st_size > 8 << 20
+    names = ("spark.sql.files.minPartitionNum", "spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set(names[0], "2")
+        stage = files.stage_files(spark, str(tmp_path))
+        spark.conf.set(names[0], "64")
+        spark.conf.set(names[1], "90000")
+        rows = stage.checking.select(
+            "sourceFileName", "sourceRowNumber", F.regexp_extract("description", r"Shop (\d+)", 1).cast("long").alias("place"))
+        assert rows.filter(F.col("sourceRowNumber") != F.col("place") + 1).count() == 0
+        assert {r.sourceFileName: r["count"] for r in rows.groupBy("sourceFileName").count().collect()} == {"one.csv": 260_000, "two.csv": 37}
+        assert {r.sourceFileName: r.rowCount for r in stage.metadata.collect()} == {"one.csv": 260_000, "two.csv": 37}
+    finally:
+        for name in names:
+            spark.conf.unset(name)
 
 
-def test_row_numbers_follow_the_file_over_many_splits(spark, tmp_path):
-    for name, n in [("one.csv", 4000), ("two.csv", 37)]:
-        write(tmp_path / name, f"{CHECKING}\n{checking_rows(n)}")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+def test_row_numbers_over_many_splits(spark, tmp_path):
+    write(tmp_path / "one.csv", f"{CHECKING}\n{checking_rows(4000)}")
     try:
-        layout = CHECKING.split(",")
-        rows = files.read_rows(spark, [str(tmp_path)], layout, schemas.CHECKING_HEADERS)
-        blocks = files.file_blocks(rows)
-        assert blocks.count() > 20
-        numbered = files.with_row_number(rows, blocks).select(
-            "sourceRowNumber", F.regexp_extract("description", r"Shop (\d+)", 1).cast("long").alias("place"), "_path"
-        )
-        assert numbered.filter(F.col("sourceRowNumber") != F.col("place") + 1).count() == 0
-        assert numbered.count() == 4037
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+        stage = files.stage_files(spark, str(tmp_path))
+        rows = stage.checking.select("sourceRowNumber", F.regexp_extract("description", r"Shop (\d+)", 1).cast("long").alias("place")).collect()
+        assert len(rows) == 4000 and all(r.sourceRowNumber == r.place + 1 for r in rows)
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_headers_of_any_length_and_letters_anywhere(spark, tmp_path):
+    long = ",".join(f"column{k}" for k in range(9000))
+    write(tmp_path / "wide.csv", f"{CHECKING},{long}\nDEBIT,01/01/2026,d,-1,X,,\n")
+    padding = "x" * (65536 - len(CHECKING) - 1 - len("DEBIT,01/01/2026,"))
+    write(tmp_path / "letter.csv", f"{CHECKING}\nDEBIT,01/01/2026,{padding[:-1]}é,-1,X,,\n")
+    write(tmp_path / "latin.csv", f"{CHECKING}\nDEBIT,01/01/2026,caf\u00e9,-1,X,,\n", "latin-1")
+    write(tmp_path / "other.csv", "a,b\n1,2\n")
+    stage = files.stage_files(spark, str(tmp_path))
+    assert {r.sourceFileName: r.rowCount for r in stage.metadata.collect()} == {"wide.csv": 1, "letter.csv": 1, "latin.csv": 1}
+    assert stage.checking.count() == 3
+    assert [r.path.split("/")[-1] for r in stage.skipped.collect()] == ["other.csv"]
+
+
+def test_rows_with_too_many_fields_fail(spark, tmp_path):
+    write(tmp_path / "a.csv", f"{CHECKING}\nDEBIT,01/01/2026,d,-1,X,,,\nDEBIT,01/01/2026,d,-1,X,,,surplus\n")
+    with pytest.raises(Exception, match="more fields than the header"):
+        files.stage_files(spark, str(tmp_path))
+
+
+def test_files_are_listed_by_path(spark, tmp_path):
+    for name in ("c.csv", "a.csv", "b/a.csv"):
+        write(tmp_path / name, "a\n")
+    found = [r.path for r in files.discover_files(spark, str(tmp_path)).collect()]
+    assert found == sorted(found) and len(found) == 3
+
+
 def test_equal_bytes_are_read_once_under_the_lowest_name(spark, tmp_path):
     for name in ("b.csv", "a.csv"):
         write(tmp_path / name, f"{CHECKING}\n{checking_rows(5)}")
@@ -90,10 +131,12 @@ def test_equal_bytes_are_read_once_under_the_lowest_name(spark, tmp_path):
     assert stage.checking.count() == 5
 
 
-def test_line_breaks_in_quotes_on_request(spark, tmp_path):
+def test_line_breaks_in_quotes_are_found(spark, tmp_path):
     write(tmp_path / "a.csv", f'{CHECKING}\nDEBIT,01/01/2026,"two\nlines",-1,X,,\nDEBIT,01/01/2026,next,-1,X,,\n')
-    rows = files.stage_files(spark, str(tmp_path), multi_line=True).checking.collect()
-    assert {(r.sourceRowNumber, r.description) for r in rows} == {(1, "two\nlines"), (2, "next")}
+    write(tmp_path / "b.csv", f"{CHECKING}\n{checking_rows(3)}")
+    for multi_line in (False, True):
+        rows = files.stage_files(spark, str(tmp_path), multi_line=multi_line).checking.filter("sourceFileName = 'a.csv'").collect()
+        assert {(r.sourceRowNumber, r.description) for r in rows} == {(1, "two\nlines"), (2, "next")}
 
 
 def test_known_files_are_skipped(spark, folder):

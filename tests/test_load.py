@@ -207,7 +207,12 @@ def test_approval(spark, loaded, tmp_path):
 def test_approval_of_one_letter_text_searches_the_whole_text(spark, loaded, tmp_path):
     store = copy_of(loaded[1], tmp_path / "copy")
     request = spark.createDataFrame([(1, "checking", "DEBIT_CARD", "purchase", "contains", "S", "Shopping")], REQUEST)
-    assert approval.approve_rules(store, request).first().updatedTransactionCount == 2
+    answer = approval.approve_rules(store, request).first()
+    assert answer.updatedTransactionCount == 2
+    stored = {r.ruleName: r.categoryRuleKey for r in store.table("mapCategoryRule").collect()}
+    assert answer.categoryRuleKey == stored[answer.ruleName]
+    with pytest.raises(ValueError, match="distinct"):
+        approval.approve_rules(store, request.unionByName(request))
     # At the next load such a rule matches nothing, and the default outcome returns.
     tables = silver.reclassify(store)
     assert {r.spendingCategoryName for r in facts(tables).values()} & {"Shopping"} == set()
@@ -264,3 +269,42 @@ def test_views_and_registration(spark, loaded):
     gold.register_views(tables)
     assert spark.sql("SELECT count(*) FROM silver_factTransaction").first()[0] == 8
     assert spark.sql("SELECT count(*) FROM gold_vw_TransactionLedger").first()[0] == 8
+
+
+def test_commit_log_faults_and_second_writers(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+
+    root = str(tmp_path / "store")
+    first, second = Store(spark, root), Store(spark, root)
+    one, two = first.begin(), second.begin()
+    rows = first.table("dimSpendingCategory")
+    one.put("dimSpendingCategory", rows)
+    two.put("dimSpendingCategory", rows.limit(1))
+    assert one.commit() == 1
+    with pytest.raises(RuntimeError, match="another writer"):
+        two.commit()
+    assert Store(spark, root).table("dimSpendingCategory").count() == rows.count()
+    # A log that is there but can't be read is no empty store.
+    broken = tmp_path / "broken" / "commits"
+    broken.mkdir(parents=True)
+    (broken / "part-0.parquet").write_text("no parquet at all")
+    with pytest.raises(Exception) as problem:
+        Store(spark, str(tmp_path / "broken")).parts("dimMerchant")
+    assert not (isinstance(problem.value, AnalysisException) and problem.value.getCondition() == "PATH_NOT_FOUND")
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from tallymill.sources.store import shared_folder
+
+    def session(master, folder=None):
+        return SimpleNamespace(
+            conf=SimpleNamespace(get=lambda name, default=None: folder),
+            sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+
+    assert shared_folder(session("spark://host:7077", "hdfs:///tmp/x/")) == "hdfs:///tmp/x"
+    assert shared_folder(session("local[8]"))
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_folder(session(master))

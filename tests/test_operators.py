@@ -14,9 +14,7 @@ from tallymill.sources.seeds import seed_unknown_members
 LONG_AGO = dt.datetime(2001, 1, 1)
 
 
-@pytest.mark.parametrize("small_bytes", [1 << 40, -1])
-def test_number_rows_with_a_hot_group(spark, monkeypatch, small_bytes):
-    monkeypatch.setattr(numbering, "SMALL_BYTES", small_bytes)
+def test_number_rows_with_a_hot_group(spark):
     random.seed(1)
     rows = [("hot" if i % 3 else f"g{i % 7}", random.random(), i) for i in range(3000)] + [(None, 0.5, 5000), (None, 0.1, 5001)]
     df = spark.createDataFrame(rows, "g string, v double, i long").repartition(5)
@@ -28,9 +26,7 @@ def test_number_rows_with_a_hot_group(spark, monkeypatch, small_bytes):
     assert found == expected
 
 
-@pytest.mark.parametrize("small_bytes", [1 << 40, -1])
-def test_number_rows_over_the_whole_frame_and_of_nothing(spark, monkeypatch, small_bytes):
-    monkeypatch.setattr(numbering, "SMALL_BYTES", small_bytes)
+def test_number_rows_over_the_whole_frame_and_of_nothing(spark):
     df = spark.range(500).repartition(7)
     assert all(r.n == r.id + 1 for r in numbering.number_rows(df, ["id"], name="n").collect())
     assert numbering.number_rows(df.filter("id < 0"), ["id"], name="n").count() == 0
@@ -63,13 +59,34 @@ def test_spread_join_equals_plain_join(spark, how):
     assert parts >= 1
 
 
-def test_lookup_takes_the_spread_way_beyond_the_bound(spark, monkeypatch):
+def test_lookup_spreads_where_adaptive_execution_is_off(spark):
     facts = spark.range(100).select("id", (F.col("id") % 4).alias("k"))
     dim = spark.createDataFrame([(0, "a"), (1, "b")], "k long, v string")
-    broadcast = joins.lookup(facts, dim, ["k"], ["id"], {"v": "none"}).collect()
-    monkeypatch.setattr(joins, "BROADCAST_BYTES", -1)
-    spread = joins.lookup(facts, dim, ["k"], ["id"], {"v": "none"}).collect()
-    assert sorted((r.id, r.v) for r in broadcast) == sorted((r.id, r.v) for r in spread)
+    adaptive = joins.lookup(facts, dim, ["k"], ["id"], {"v": "none"}).collect()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        spread = joins.lookup(facts, dim, ["k"], ["id"], {"v": "none"}).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sorted((r.id, r.v) for r in adaptive) == sorted((r.id, r.v) for r in spread)
+
+
+def test_null_keys_are_spread(spark):
+    facts = spark.range(2000).select("id", F.when(F.col("id") % 10 == 0, 1).cast("long").alias("k"))
+    dim = spark.createDataFrame([(1, "a")], "k long, v string")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        joined = joins.spread_join(facts, dim, ["k"], ["id"], hot_rows=100)
+        sizes = [r["n"] for r in joined.where("k IS NULL").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert sum(sizes) == 1800 and max(sizes) < 900
+        assert joined.where("v = 'a'").count() == 200
+        assert joins.spread_join(facts, dim, ["k"], ["id"], how="inner", hot_rows=100).count() == 200
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def test_orphans_and_updates_by_key(spark):

@@ -48,10 +48,10 @@ def brute_force(txn, table):
     return best and best[1]
 
 
-def run(spark, txns, table, inline):
+def run(spark, txns, table):
     t = spark.createDataFrame(txns, TXN)
     known = rules.classifying_rules(spark.createDataFrame(table, RULE))
-    rows = rules.match_rules(t, known, inline_rules=inline).select("sourceRowIdentifier", "winner.categoryRuleKey").collect()
+    rows = rules.match_rules(t, known).select("sourceRowIdentifier", "winner.categoryRuleKey").collect()
     assert len(rows) == len(txns)
     return {r.sourceRowIdentifier: r.categoryRuleKey for r in rows}
 
@@ -75,16 +75,15 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize("inline", [200, 0])
-def test_cases(spark, inline):
+def test_cases(spark):
     for name, table, text, expected in CASES:
         txn = ("t", "checking", None, "T", text)
         assert brute_force(txn, table) == expected, name
-        assert run(spark, [txn], table, inline)["t"] == expected, name
+        assert run(spark, [txn], table)["t"] == expected, name
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-def test_both_ways_equal_brute_force(spark, seed):
+def test_equal_to_brute_force(spark, seed):
     random.seed(seed)
     words = ["OLD", "RED", "BOLT", "ROD", "BRAND", "A", "X1", "EPAY", "PREPAY", "GAS", "12", "7"]
     pick = lambda n: " ".join(random.choices(words, k=random.randint(0, n)))
@@ -100,13 +99,18 @@ def test_both_ways_equal_brute_force(spark, seed):
         for i in range(1, 60)
     ]
     expected = {t[0]: brute_force(t, table) for t in txns}
-    assert run(spark, txns, table, 200) == expected
-    assert run(spark, txns, table, 0) == expected
+    assert run(spark, txns, table) == expected
+
+
+def test_unknown_match_types_and_missing_priorities(spark):
+    txn = ("t", "checking", None, "T", "OLD BOLT")
+    assert run(spark, [txn], [rule(1, "regex", "OLD"), rule(2, "contains", "OLD", None), rule(3, "contains", "OLD", 1)]) == {"t": 3}
+    assert run(spark, [txn], [rule(1, "regex", "OLD"), rule(2, "contains", "OLD", None)]) == {"t": 2}
 
 
 def test_no_rules(spark):
     txn = ("t", "checking", None, "T", "OLD")
-    assert run(spark, [txn], [rule(1, None, None)], 200) == {"t": None}
+    assert run(spark, [txn], [rule(1, None, None)]) == {"t": None}
 
 
 def test_token_contains(column):
