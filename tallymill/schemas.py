@@ -87,6 +87,9 @@ TABLES = {
 BRONZE_TABLES = ["rawChaseCheckingTransaction", "rawChaseCreditTransaction"]
 SILVER_TABLES = [name for name in TABLES if name not in BRONZE_TABLES]
 
+# How the rows of a large table lie in its files: gathered by the first expression, sorted by the columns after it.
+CLUSTERING = {"factTransaction": ("floor(transactionDateKey / 100)", ["transactionDateKey", "transactionKey"])}
+
 # Surrogate key of each table that has a generated one: first value and step are both 100.
 GENERATED_KEYS = {
     "rawChaseCheckingTransaction": "recordKey",

@@ -116,6 +116,16 @@ class Store:
         found = rows.join(values.select(column), column, "left_semi").select(part).distinct()
         return [row.part for row in found.collect()]
 
+    def compact(self, most_parts: int = 16) -> list[str]:
+        """Write each table of more than `most_parts` parts as one part; returns the tables rewritten."""
+        many = [table for table in schemas.TABLES if len(self.parts(table)) > most_parts]
+        if many:
+            change = self.begin()
+            for table in many:
+                change.put(table, self.table(table))
+            change.commit()
+        return many
+
     def begin(self) -> "Change":
         return Change(self)
 
@@ -140,7 +150,12 @@ class Change:
         """Add rows as a new part; existing parts are not read or written. Returns the new rows."""
         part = uuid.uuid4().hex
         path = f"{self.store.root}/{table}/{part}"
-        df.select(schemas.columns(table)).write.parquet(path)
+        rows = df.select(schemas.columns(table))
+        if table in schemas.CLUSTERING:
+            # Files of even size, however uneven the groups are; a date window then reads few of them.
+            group, order = schemas.CLUSTERING[table]
+            rows = rows.withColumn("_group", F.expr(group)).hint("rebalance", "_group").sortWithinPartitions(*order).drop("_group")
+        rows.write.parquet(path)
         written = self.spark.read.schema(schemas.TABLES[table]).parquet(path)
         key = schemas.GENERATED_KEYS.get(table)
         self.entries.append((table, part, path, written.agg(F.max(key)).first()[0] if key else None))

@@ -154,3 +154,21 @@ def test_last_four(spark, name, expected):
         files.account_columns(F.col("n"), F.col("k"))["accountLastFour"].alias("f")
     ).first()
     assert row.f == expected
+
+
+def test_executors_need_no_copy_of_the_package(tmp_path):
+    """Started elsewhere: Python workers don't find the package in their folder."""
+    import os
+    import subprocess
+    import sys
+
+    write(tmp_path / "in" / "a.csv", f"{CHECKING}\n{checking_rows(3)}")
+    (tmp_path / "elsewhere").mkdir()
+    script = (
+        f"import sys; sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.abspath(__file__)))!r})\n"
+        "from tallymill.session import local_session\nfrom tallymill.sources.files import stage_files\n"
+        f"print('rows', stage_files(local_session(2), {str(tmp_path / 'in')!r}).checking.count())\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path / "elsewhere", env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 3" in done.stdout, done.stderr[-2000:]

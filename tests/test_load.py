@@ -271,6 +271,35 @@ def test_views_and_registration(spark, loaded):
     assert spark.sql("SELECT count(*) FROM gold_vw_TransactionLedger").first()[0] == 8
 
 
+def test_a_date_window_reads_few_files_and_parts_are_compacted(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    names = schemas.columns("factTransaction")
+    ddl = {f.name: f.dataType for f in schemas.struct(schemas.TABLES["factTransaction"])}
+    key = F.col("id")
+    month = (key % 12 + 1).cast("long")
+
+    def rows(start):
+        filled = {"transactionKey": key, "transactionDateKey": 20260000 + month * 100 + key % 28 + 1}
+        return spark.range(start, start + 6000).select(*[filled.get(n, F.lit(None)).cast(ddl[n]).alias(n) for n in names])
+
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "20000")
+    try:
+        for start in (0, 6000, 12000):
+            change = store.begin()
+            change.append("factTransaction", rows(start))
+            change.commit()
+        assert len(store.parts("factTransaction")) == 3
+        assert store.compact(most_parts=3) == [] and store.compact(most_parts=2) == ["factTransaction"]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    fact = store.table("factTransaction")
+    assert len(store.parts("factTransaction")) == 1 and fact.count() == 18000 and fact.select("transactionKey").distinct().count() == 18000
+    file = F.input_file_name()
+    everything = fact.select(file.alias("f")).distinct().count()
+    window = fact.filter(F.col("transactionDateKey").between(20260301, 20260331)).select(file.alias("f")).distinct().count()
+    assert everything > 4 and window <= everything / 2
+
+
 def test_commit_log_faults_and_second_writers(spark, tmp_path):
     from pyspark.errors import AnalysisException
 
