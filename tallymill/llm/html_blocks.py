@@ -100,7 +100,7 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-PATH_BITS, WORD_BITS = 128, 32
+PATH_BITS, WORD_BITS = 512, 32
 NUMBERS = 6
 WIDTH = PATH_BITS + WORD_BITS + NUMBERS
 

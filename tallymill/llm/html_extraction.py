@@ -25,7 +25,7 @@ from tallymill.llm.common import struct_of, text_or_empty, tuned
 from tallymill.llm.html_blocks import WIDTH, Block, blocks_of, vectors
 
 #: Most pages of the training sample, layouts made from them, units per direction, passes.
-MAX_PAGES, LAYOUTS, UNITS, EPOCHS = 256, 1200, 16, 8
+MAX_PAGES, LAYOUTS, UNITS, EPOCHS = 256, 2400, 16, 8
 BATCH = 16
 
 # Words that mark the parts of a page, as the layouts use them.
@@ -42,7 +42,7 @@ MARKS = {
 }
 CONTENT_MARKS = "content post entry story article body text main-content article-body post-content entry-content page-content prose story-text"
 NEUTRAL_MARKS = "wrap wrapper container row col inner outer block box page layout grid section group"
-ELEMENTS = {"menu": "nav div ul", "header": "header div", "footer": "footer div", "sidebar": "aside div section", "notice": "div section aside",
+ELEMENTS = {"menu": "nav div ul", "header": "header div", "footer": "footer div", "sidebar": "aside aside div section", "notice": "div section aside",
             "advert": "div aside section", "form": "form div", "comment": "section div ol ul", "share": "div ul"}
 SURROUND = frozenset("nav header footer aside form button".split())
 
@@ -203,18 +203,23 @@ class Layouts:
         named = certain or tag == "div" or rng.random() < 0.5
         attribute = ""
         if named:
-            name = rng.choice(marks.split()) + rng.choice(["", "", "-1", "-wrap", " box", " widget-area", "__inner"])
+            words = marks.split()
+            name = (words[0] if rng.random() < 0.25 else rng.choice(words)) + rng.choice(["", "", "-1", "-wrap", " box", " widget-area", "__inner"])
             attribute = rng.choice([f' class="{name}"', f' id="{name}"', f" class='{rng.choice(NEUTRAL_MARKS.split())} {name}'"])
         return f"<{tag}{attribute}>", f"</{tag}>"
 
     def _around(self, kind: str) -> str:
         rng = self.rng
+        if kind in ("notice", "advert", "comment", "sidebar") and rng.random() < 0.15:
+            start, end = self._open("p", MARKS[kind], certain=True)
+            return start + self._text(0) + end
         start, end = self._open(ELEMENTS[kind], MARKS[kind])
-        if kind in ("menu", "share", "sidebar") and rng.random() < 0.7:
+        if kind in ("menu", "share", "sidebar") and rng.random() < (0.4 if kind == "sidebar" else 0.7):
             items = "".join(f'<li><a href="/x">{self._text(0, True)}</a></li>' for _ in range(rng.randrange(2, 8)))
             body = items if start.startswith(("<ul", "<ol")) else f"<ul>{items}</ul>"
         elif kind == "form":
-            body = "".join(f"<label>{self._text(0, True)}</label><input>" for _ in range(rng.randrange(1, 4))) + f"<button>{self._text(0, True)}</button>"
+            lead = rng.choice(["", f"<p>{self._text(0)}</p>", f"<h3>{self._text(0, True)}</h3>", self._text(0)])
+            body = lead + "".join(f"<label>{self._text(0, True)}</label><input>" for _ in range(rng.randrange(0, 4))) + f"<button>{self._text(0, True)}</button>"
         elif kind == "comment":
             body = "".join(rng.choice(["<div class='comment'><b>{}</b><p>{}</p></div>", "<li><p>{1}</p></li>", "<p>{1}</p>", "<div>{1}</div>", "<article class='comment'><p>{1}</p></article>"]).format(self._text(0, True), self._text(0)) for _ in range(rng.randrange(1, 6)))
         else:

@@ -1,6 +1,10 @@
 from __future__ import annotations
 
-import pytest
+import os
+
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # before numpy: as Spark sets it for its workers
+
+import pytest  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
