@@ -50,10 +50,8 @@ def text_condition(kind: str, rule_text: str, text: Column, whole_if_short: bool
 
 
 def _grams(text: Column, size: int) -> Column:
-    """All substrings of the given size."""
-    last = F.length(text) - size + 1
-    places = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.substr(text, i, F.lit(size)))
+    """All substrings of the given size: a look-ahead matches at every place without taking it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
 
 
 def _text_anchors(text: Column) -> Column:
