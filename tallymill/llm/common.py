@@ -47,20 +47,25 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def kept(df: DataFrame, label: str) -> DataFrame:
-    """The same rows, written to the shared folder and read again: computed once, and safe when executors are lost."""
+def kept(df: DataFrame, label: str, scratch: list[str] | None = None) -> DataFrame:
+    """The same rows, written to the shared folder and read again: computed once, and safe when executors are lost.
+
+    The folder's path is added to `scratch`, for `release` once what follows from these rows is written.
+    """
     spark = df.sparkSession
     path = shared_folder(spark, label)
     df.write.parquet(path)
+    if scratch is not None:
+        scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, *paths: str) -> None:
-    """Delete folders that this package wrote."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    for path in paths:
-        target = hadoop(path)
+def release(spark: SparkSession, scratch: list[str]) -> None:
+    """Delete folders that `kept` wrote."""
+    for path in scratch:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    scratch.clear()
 
 
 def ranked(df: DataFrame, order: list, name: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.llm.common import kept
+from tallymill.llm.common import kept, release
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,16 +27,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return others.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected(links: DataFrame) -> DataFrame:
+def connected(links: DataFrame, scratch: list[str] | None = None) -> DataFrame:
     """(node, component) for every node of links (u, v); the component is its least node."""
+    written: list[str] = []
     edges = kept(
-        links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "links")
+        links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "links", written)
     seen = None
     while True:
-        edges = kept(_small_star(_large_star(edges)), "links")
+        before, written = written, []
+        edges = kept(_small_star(_large_star(edges)), "links", written)
+        release(links.sparkSession, before)
         sums = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(sums) == seen:
             break
         seen = tuple(sums)
+    if scratch is not None:
+        scratch += written
     roots = edges.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

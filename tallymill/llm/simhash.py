@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallymill.llm.common import Texts, kept, mixed, prefix_hash, span_hash, struct_of, text_or_empty, tuned, word_spans
+from tallymill.llm.common import Texts, kept, mixed, prefix_hash, release, span_hash, struct_of, text_or_empty, tuned, word_spans
 from tallymill.llm.components import connected
 
 SHINGLE_WORDS = 3
@@ -90,10 +90,10 @@ def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def links(nodes: DataFrame, paired: int = PAIRED) -> DataFrame:
+def links(nodes: DataFrame, paired: int = PAIRED, scratch: list[str] | None = None) -> DataFrame:
     """Links (u, v) that connect all fingerprints (column fp, distinct) at two or fewer differing bits."""
     index = nodes.select("fp", F.explode(variants(F.col("fp"))).alias("key"))
-    shared = kept(index.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1"), "variants")
+    shared = kept(index.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1"), "variants", scratch)
     few, many = shared.where(F.col("n") <= paired).select("key", "fp"), shared.where(F.col("n") > paired).select("key", "fp")
     left, right = few.withColumnRenamed("fp", "u"), few.withColumnRenamed("fp", "v")
     pairs = left.join(right, "key").where((F.col("u") < F.col("v")) & (distance(F.col("u"), F.col("v")) <= 2)).select("u", "v")
@@ -122,7 +122,9 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     tuned(df.sparkSession)
     rows = kept(df.select(F.col(f"`{id_column}`").alias("_id"), fingerprint(text_or_empty(text_column), shingle_words).alias("fp")), "fingerprints")
     nodes = kept(rows.groupBy("fp").agg(F.min("_id").alias("least")), "nodes")
-    found = kept(connected(links(nodes, paired)), "components")
+    scratch: list[str] = []
+    found = kept(connected(links(nodes, paired, scratch), scratch), "components")
+    release(df.sparkSession, scratch)
     joined = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
     least = joined.groupBy("c").agg(F.min("least").alias("component_id"))
     named = joined.join(least, "c").select("fp", "component_id")
@@ -184,7 +186,7 @@ def array_distance(a: str, b: str, n: int) -> Column:
     return sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(1, n)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
 
 
-def copy_links(nodes: DataFrame, similarity: float, paired: int, everything: bool) -> tuple[DataFrame, bool]:
+def copy_links(nodes: DataFrame, similarity: float, paired: int, everything: bool, scratch: list[str]) -> tuple[DataFrame, bool]:
     """Links between nodes (id, words, shingles), and whether variants with more members than `paired` remain.
 
     Their members are compared with the least and with the one before, unless `everything` asks for all of them.
@@ -199,7 +201,7 @@ def copy_links(nodes: DataFrame, similarity: float, paired: int, everything: boo
     shared = kept(index.select(
         "key", "id", "words", F.count(F.lit(1)).over(by_key).alias("n"), F.lag(F.struct("id", "words")).over(ordered).alias("before"),
         F.first(F.struct("id", "words")).over(ordered).alias("least"),
-    ).where("n > 1"), "variants")
+    ).where("n > 1"), "variants", scratch)
     few = shared if everything else shared.where(F.col("n") <= paired)
     left = few.select("key", F.col("id").alias("u"), F.col("words").alias("wu"))
     right = few.select("key", F.col("id").alias("v"), F.col("words").alias("wv"))
@@ -228,26 +230,29 @@ def copies(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     round finds nothing; what is then left is compared in full. Null, empty and wordless texts are copies of each other.
     """
     tuned(df.sparkSession)
-    rows = kept(df.where(F.col(f"`{id_column}`").isNotNull()).select(F.col(f"`{id_column}`").alias("id"), signature(text_or_empty(text_column)).alias("s")).select("id", "s.*"), "signatures")
+    scratch: list[str] = []
+    signed = df.where(F.col(f"`{id_column}`").isNotNull()).select(F.col(f"`{id_column}`").alias("id"), signature(text_or_empty(text_column)).alias("s"))
+    rows = kept(signed.select("id", "s.*"), "signatures", scratch)
     least = rows.groupBy("words", "shingles").agg(F.min("id").alias("least"))
-    nodes = kept(least.select(F.col("least").alias("id"), "words", "shingles"), "nodes")
-    moved = kept(rows.join(least, ["words", "shingles"]).where("id != least").select(F.col("id").alias("node"), F.col("least").alias("component")), "moved")
-    steps, everything = [moved], False
+    nodes = kept(least.select(F.col("least").alias("id"), "words", "shingles"), "nodes", scratch)
+    equal = rows.join(least, ["words", "shingles"]).where("id != least")
+    out = kept(equal.select(F.col("id").alias("node"), F.col("least").alias("component")), "moved", scratch)
+    everything = False
     while True:
-        close, more = copy_links(nodes, similarity, paired, everything)
-        step = kept(connected(close).where("node != component"), "moved")
+        close, more = copy_links(nodes, similarity, paired, everything, scratch)
+        step = kept(connected(close, scratch).where("node != component"), "moved", scratch)
         empty = step.isEmpty()
         if not empty:
-            steps.append(step)
-            nodes = kept(nodes.join(step.select(F.col("node").alias("id")), "id", "left_anti"), "nodes")
+            later = step.select(F.col("node").alias("component"), F.col("component").alias("to"))
+            moved = out.join(later, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+            out = kept(moved.union(step), "moved", scratch)
+            nodes = kept(nodes.join(step.select(F.col("node").alias("id")), "id", "left_anti"), "nodes", scratch)
         if everything or not more:
             break
         everything = empty
-    out = steps[0]
-    for step in steps[1:]:
-        later = step.select(F.col("node").alias("component"), F.col("component").alias("to"))
-        out = out.join(later, "component", "left").select("node", F.coalesce("to", "component").alias("component")).union(step.select("node", "component"))
-    return out.select(F.col("node").alias(id_column), F.col("component").alias("kept_id"))
+    out = kept(out.select(F.col("node").alias(id_column), F.col("component").alias("kept_id")), "copies")
+    release(df.sparkSession, scratch)
+    return out
 
 
 def without_copies(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY) -> DataFrame:

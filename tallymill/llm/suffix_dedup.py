@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from tallymill.llm.common import SLICE, Texts, kept, mixed, prefix_hash, ranked, span_hash, struct_of, text_or_empty, tuned
+from tallymill.llm.common import SLICE, Texts, kept, mixed, prefix_hash, ranked, release, span_hash, struct_of, text_or_empty, tuned
 
 LENGTH, GRAM, COVER = 100, 24, 32
 #: Bytes of a block that is sorted at once, and records beyond which an anchor's windows are split further.
@@ -257,33 +257,35 @@ def split_windows(rows: DataFrame, length: int) -> DataFrame:
         "doc", F.col("start").alias("first"), F.col("start").alias("last"))
 
 
-def finished(df: DataFrame, label: str) -> DataFrame:
+def finished(df: DataFrame, label: str, scratch: list[str] | None = None) -> DataFrame:
     """Kept, and the shuffle files of what led to it released."""
-    out = kept(df, label)
+    out = kept(df, label, scratch)
     df.sparkSession.sparkContext._jvm.System.gc()
     return out
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES, bucket_records: int = BUCKET_RECORDS) -> DataFrame:
     """Runs (doc, first, last) of the starts of all windows that start earlier too. docs: doc (bigint, ordered), text."""
-    own = records(docs, length)
+    own, scratch = records(docs, length), []
     often = finished(
         own.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("low"), F.max("content").alias("high"))
-        .where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("differ")), "anchors")
-    found = finished(own.join(often, "anchor"), "records")
+        .where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("differ")), "anchors", scratch)
+    found = finished(own.join(often, "anchor"), "records", scratch)
     # Equal records: every one but the first repeats it. One row per task and record is shuffled here.
     lead = found.groupBy("anchor", "content").agg(F.min(F.struct("doc", "first", "windows")).alias("lead"), F.first("differ").alias("differ"))
-    lead = finished(lead, "leads")
+    lead = finished(lead, "leads", scratch)
     again = found.join(lead.select("anchor", "content", "lead"), ["anchor", "content"]).where(
         (F.col("doc") != F.col("lead.doc")) | (F.col("first") != F.col("lead.first")))
-    same = finished(again.select("doc", "first", (F.col("first") + F.col("windows") - 1).alias("last")), "same")
+    same = finished(again.select("doc", "first", (F.col("first") + F.col("windows") - 1).alias("last")), "same", scratch)
     # Different records of one anchor: the first of each kind goes to the anchor's bucket.
     kinds = lead.where("differ").select("anchor", "lead.*")
     hot = kinds.groupBy("anchor").count().where(F.col("count") > bucket_records).select("anchor", F.lit(True).alias("hot"))
     wanted = kinds.join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    pieces = finished(with_pieces(docs, wanted, length), "pieces")
+    pieces = finished(with_pieces(docs, wanted, length), "pieces", scratch)
     blocks = sorted_buckets(pieces.where("not hot"), length, block_bytes)
-    return finished(same.union(blocks).union(split_windows(pieces.where("hot"), length)), "repeats")
+    out = finished(same.union(blocks).union(split_windows(pieces.where("hot"), length)), "repeats")
+    release(docs.sparkSession, scratch)
+    return out
 
 
 def removed(text: Column, ranges: Column, length: int = LENGTH, whole_characters: bool = False) -> Column:
