@@ -24,7 +24,7 @@ from tallymill.llm.vocabulary import SAFE_CUT, Vocabulary, vocabulary
 #: Bytes that the rolling hash sees, mean and least length of a chunk.
 WINDOW, MEAN_CHUNK, LEAST_CHUNK = 32, 1024, 128
 #: Bytes of chunks and ids that a task keeps for reuse.
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 16 << 20
 
 
 def cuts(text: np.ndarray) -> list[int]:
@@ -79,8 +79,9 @@ class Reuse:
             self.known[chunk] = ids, np.cumsum(self.vocab.token_length[ids])
             self.held += len(chunk) + 12 * len(ids) + 200
         if self.held > self.room:
-            for chunk in list(self.known):
-                if self.held <= self.room // 2 or chunk in set(chunks):
+            needed = set(chunks)
+            for chunk in [c for c in self.known if c not in needed]:
+                if self.held <= self.room // 2:
                     break
                 ids, _ = self.known.pop(chunk)
                 self.held -= len(chunk) + 12 * len(ids) + 200

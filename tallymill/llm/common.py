@@ -114,7 +114,7 @@ def powers(name: str, base: int, n: int) -> np.ndarray:
             found = np.full(max(n, SLICE + 2), np.uint64(base), np.uint64)
             found[0] = 1
             found = np.cumprod(found)
-        if n <= 4 * SLICE:
+        if n <= 2 * SLICE:
             _POWERS[name] = found
     return found[:n]
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tallymill.llm.common import Texts, mixed, prefix_hash, span_hash, text_or_empty, tuned, word_spans
 
 #: Weights are 2**DIMENSIONS; documented bound of the rows that a model is fitted on.
-DIMENSIONS, MAX_ROWS = 18, 8192
+DIMENSIONS, MAX_ROWS = 18, 4096
 #: FTRL-proximal: learning rate, smoothing, and the two penalties.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-3
 EPOCHS, FOLDS, THRESHOLD = 3, 5, 0.3
@@ -94,7 +94,7 @@ def fit_rows(texts: pa.Array, labels: np.ndarray, dimensions: int = DIMENSIONS,
         for i in range(len(bounds) - 1):
             at, inverse = np.unique(numbers[bounds[i]:bounds[i + 1]], return_inverse=True)
             x = np.bincount(inverse, shares[bounds[i]:bounds[i + 1]], len(at)) if len(at) else np.zeros(0)
-            examples.append((np.append(at, size).astype(np.int64), np.append(x, 0.25)))
+            examples.append((np.append(at, size).astype(np.int32), np.append(x, 0.25).astype(np.float32)))
     model, order = Ftrl(size), np.random.default_rng(7)
     share = max(float(np.mean(labels)) if len(labels) else 0.5, 1e-6)
     weigh = {1: min(0.5 / share, 20.0), 0: min(0.5 / max(1 - share, 1e-6), 20.0)}

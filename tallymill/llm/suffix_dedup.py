@@ -26,7 +26,7 @@ from tallymill.llm.common import SLICE, Texts, kept, mixed, prefix_hash, ranked,
 
 LENGTH, GRAM, COVER = 100, 24, 32
 #: Bytes of a block that is sorted at once, and records beyond which an anchor's windows are split further.
-BLOCK_BYTES, BUCKET_RECORDS = 2 << 20, 8192
+BLOCK_BYTES, BUCKET_RECORDS = 1 << 20, 4096
 
 
 # --- records ---------------------------------------------------------------------------------------------------------

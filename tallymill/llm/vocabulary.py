@@ -11,7 +11,7 @@ import base64
 import json
 import os
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -45,16 +45,21 @@ class Vocabulary:
                 self._ranked({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}, {})
             self.encode = lambda texts: [self.ranks.encode_ordinary(t) for t in texts]
         else:
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            from tokenizers import Tokenizer
-
-            self.library = Tokenizer.from_file(path)
-            self.library.no_truncation()
-            self.library.no_padding()
             with open(path, encoding="utf-8") as file:
                 self._compile(json.load(file))
             self.encode = self._encode_ranked if self.ranks else self._encode_library
 
+    @cached_property
+    def library(self):
+        """The file in the library it is made for; loaded only where it is needed."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        loaded = Tokenizer.from_file(self.path)
+        loaded.no_truncation()
+        loaded.no_padding()
+        return loaded
+
     @property
     def splits_safely(self) -> bool:
         """A space before an ASCII letter or digit always begins a new piece, so texts may be cut there."""
