@@ -48,7 +48,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self._seen: list | None = None
+        self._seen: tuple[list, dict[str, int]] | None = None
 
     def _log(self) -> DataFrame | None:
         try:
@@ -58,13 +58,17 @@ class Store:
                 return None
             raise
 
-    def _entries(self) -> list:
-        """(tableName, part, path, lastKey) of the newest entry per part, one row per part ever written."""
+    def _entries(self) -> tuple[list, dict[str, int]]:
+        """(tableName, part, path) of the parts that are current, and the last key of each table. What was replaced stays
+        in the log and is not collected."""
         if self._seen is None:
             log = self._log()
-            self._seen = [] if log is None else log.groupBy("tableName", "part").agg(
-                F.max_by(F.col("path"), F.col("commitId")).alias("path"), F.max("lastKey").alias("lastKey")
-            ).collect()
+            if log is None:
+                self._seen = [], {}
+            else:
+                newest = log.groupBy("tableName", "part").agg(F.max_by(F.col("path"), F.col("commitId")).alias("path"))
+                keys = log.groupBy("tableName").agg(F.max("lastKey").alias("lastKey")).collect()
+                self._seen = newest.filter("path IS NOT NULL").collect(), {k.tableName: k.lastKey or 0 for k in keys}
         return self._seen
 
     def last_commit(self) -> int:
@@ -80,7 +84,9 @@ class Store:
             system.create(path, False).close()
         except Py4JJavaError as problem:
             if system.exists(path):
-                raise RuntimeError(f"commit {number} was made by another writer; start again from its tables") from problem
+                raise RuntimeError(
+                    f"commit {number} was made by another writer; start again from its tables (or remove {path}, "
+                    "if that writer died before its log entry)") from problem
             raise
 
     def refresh(self) -> "Store":
@@ -89,11 +95,11 @@ class Store:
         return self
 
     def parts(self, table: str) -> dict[str, str]:
-        return {e.part: e.path for e in self._entries() if e.tableName == table and e.path}
+        return {e.part: e.path for e in self._entries()[0] if e.tableName == table}
 
     def last_key(self, table: str) -> int:
         """Last surrogate key ever given out, from the log instead of a scan."""
-        return max([e.lastKey for e in self._entries() if e.tableName == table and e.lastKey], default=0)
+        return self._entries()[1].get(table, 0)
 
     def table(self, table: str, parts: list[str] | None = None) -> DataFrame:
         """Current rows, or the seed rows of a table that was never written; `parts` reads only those."""
