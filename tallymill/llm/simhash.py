@@ -140,7 +140,7 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
 
 SIMILARITY, COPY_WORDS = 0.8, 5
 SEGMENTS, SEGMENT_BITS, SHINGLE_LONGS = 4, 24, 8
-SEARCH_LIMIT = 20
+SEARCH_LIMIT = 14
 
 
 def signature(text: Column) -> Column:
@@ -189,30 +189,31 @@ def array_distance(a: str, b: str, n: int) -> Column:
 def copy_links(nodes: DataFrame, similarity: float, paired: int, everything: bool, scratch: list[str]) -> tuple[DataFrame, bool]:
     """Links between nodes (id, words, shingles), and whether variants with more members than `paired` remain.
 
-    Their members are compared with the least and with the one before, unless `everything` asks for all of them.
+    Their members are compared with the least one, unless `everything` asks for all of them.
     """
     keys = [
         masked.bitwiseOR(F.lit((s * SEGMENT_BITS + b) << SEGMENT_BITS))
         for s in range(SEGMENTS) for b, masked in enumerate(without_each_bit(F.col("words")[s], SEGMENT_BITS))
     ]
+    # Only keys and ids are shuffled for all nodes; words are added where a variant has more than one member.
     by_key = Window.partitionBy("key")
-    ordered = by_key.orderBy("id")
-    index = nodes.select("id", "words", F.explode(F.array(*keys)).alias("key"))
+    index = nodes.select("id", F.explode(F.array(*keys)).alias("key"))
     shared = kept(index.select(
-        "key", "id", "words", F.count(F.lit(1)).over(by_key).alias("n"), F.lag(F.struct("id", "words")).over(ordered).alias("before"),
-        F.first(F.struct("id", "words")).over(ordered).alias("least"),
+        "key", "id", F.count(F.lit(1)).over(by_key).alias("n"), F.min("id").over(by_key).alias("least"),
     ).where("n > 1"), "variants", scratch)
+    words = nodes.select("id", "words")
     few = shared if everything else shared.where(F.col("n") <= paired)
+    few = few.select("key", "id").join(words, "id")
     left = few.select("key", F.col("id").alias("u"), F.col("words").alias("wu"))
     right = few.select("key", F.col("id").alias("v"), F.col("words").alias("wv"))
     near = array_distance("wu", "wv", SEGMENTS) <= SEARCH_LIMIT
     found = left.join(right, "key").where((F.col("u") < F.col("v")) & near).select("u", "v")
     many = shared.where(F.col("n") > paired)
     if not everything:
-        for name in ("before", "least"):
-            found = found.union(
-                many.select(F.col(f"{name}.id").alias("u"), F.col("id").alias("v"), F.col(f"{name}.words").alias("wu"), F.col("words").alias("wv"))
-                .where((F.col("u") < F.col("v")) & near).select("u", "v"))
+        led = many.where("id != least").select(F.col("least").alias("u"), F.col("id").alias("v")).distinct()
+        led = led.join(words.select(F.col("id").alias("u"), F.col("words").alias("wu")), "u").join(
+            words.select(F.col("id").alias("v"), F.col("words").alias("wv")), "v").where(near)
+        found = found.union(led.select("u", "v"))
     found = found.distinct()
     shingles = nodes.select("id", "shingles")
     close = found.join(shingles.select(F.col("id").alias("u"), F.col("shingles").alias("su")), "u").join(
@@ -221,13 +222,13 @@ def copy_links(nodes: DataFrame, similarity: float, paired: int, everything: boo
     return close, (not everything) and not many.isEmpty()
 
 
-def copies(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY, paired: int = 64) -> DataFrame:
+def copies(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY, paired: int = 16) -> DataFrame:
     """(id, kept_id) of the rows that are near copies of a row with a smaller id, which stays in their place.
 
     Rows resemble each other when their five-word shingles do by `similarity` or more, as measured by SimHash; resemblance
     is carried on from row to row. Variants with more than `paired` members are thinned in rounds: members are compared
-    with the least and with their neighbour, of each group found one stays, and the rest is searched again, until a
-    round finds nothing; what is then left is compared in full. Null, empty and wordless texts are copies of each other.
+    with the least one, of each group found one stays, and the rest is searched again, until a round finds nothing; what
+    is then left is compared in full. Null, empty and wordless texts are copies of each other.
     """
     tuned(df.sparkSession)
     scratch: list[str] = []
