@@ -22,6 +22,7 @@ from pyspark.sql.window import Window
 
 from tallymill.llm.common import Texts, kept, mixed, prefix_hash, release, span_hash, struct_of, text_or_empty, tuned, word_spans
 from tallymill.llm.components import connected
+from tallymill.llm.fingerprints import shingle_hashes
 
 SHINGLE_WORDS = 3
 #: Most fingerprints that share a variant and are still compared pair by pair.
@@ -136,10 +137,12 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
 #
 # At that similarity fingerprints differ in more bits than any index of whole fingerprints bears. A document therefore has
 # two SimHashes: one of its distinct words, in segments that are searched by one-wildcard variants, and a long one of its
-# five-word shingles, whose distance gives the similarity.
+# five-word shingles, whose distance tells which pairs can be similar at all. The shingles of those decide.
 
 SIMILARITY, COPY_WORDS = 0.8, 5
 SEGMENTS, SEGMENT_BITS, SHINGLE_LONGS = 4, 24, 8
+#: Standard deviations by which pairs may look less alike than they are before their shingles are compared.
+SLACK = 5
 SEARCH_LIMIT = 14
 
 
@@ -156,16 +159,15 @@ def signature(text: Column) -> Column:
                 lower = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
                 starts, ends, bounds = word_spans(lower, offsets)
                 hashes = span_hash(prefix_hash(lower), starts, ends)
+                grams, places = shingle_hashes(data, offsets, COPY_WORDS)
                 for i in range(end - first):
                     own = hashes[bounds[i]:bounds[i + 1]]
                     ones = np.zeros((2 + SHINGLE_LONGS, 64), np.int64)
                     distinct = np.unique(own)
                     for k in range(2):
                         bits_set(mixed(distinct + np.uint64(k) * mix), ones[k])
-                    n = max(1, len(own) - COPY_WORDS + 1) if len(own) else 0
-                    rolled = np.zeros(n, np.uint64)
-                    for j in range(min(COPY_WORDS, len(own))):
-                        rolled = rolled * mix + own[j:j + n]
+                    rolled = np.unique(grams[places[i]:places[i + 1]])
+                    n = len(rolled)
                     for k in range(SHINGLE_LONGS):
                         bits_set(mixed(rolled + np.uint64(k + 2) * mix), ones[2 + k])
                     flat = np.concatenate([2 * ones[0] > len(distinct), 2 * ones[1] > len(distinct)])[:SEGMENTS * SEGMENT_BITS]
@@ -177,16 +179,43 @@ def signature(text: Column) -> Column:
     return sign(text)
 
 
+def shingle_set(text: Column) -> Column:
+    """The distinct hashes of the text's five-word shingles."""
+
+    @F.arrow_udf("array<bigint>")
+    def sets(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            texts, out = Texts(column), []
+            for first, end, data, offsets in texts.slices():
+                hashes, bounds = shingle_hashes(data, offsets, COPY_WORDS)
+                out += [np.unique(hashes[bounds[i]:bounds[i + 1]]).view(np.int64) for i in range(end - first)]
+            yield pa.array(out, pa.list_(pa.int64()))
+
+    return sets(text)
+
+
+def resembling(pairs: DataFrame, texts: DataFrame, similarity: float, scratch: list[str]) -> DataFrame:
+    """The pairs (u, v) whose texts (id, text) share at least `similarity` of the distinct shingles of either."""
+    pairs = kept(pairs, "pairs", scratch)
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    sets = kept(texts.join(ids, "id").select("id", shingle_set(F.col("text")).alias("s")), "shingles", scratch)
+    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("su")), "u").join(
+        sets.select(F.col("id").alias("v"), F.col("s").alias("sv")), "v")
+    shared = F.size(F.array_intersect("su", "sv"))
+    return both.where(shared / (F.size("su") + F.size("sv") - shared) >= similarity).select("u", "v")
+
+
 def most_bits(similarity: float, bits: int) -> int:
-    """Bits in which SimHashes of sets of that resemblance differ on average."""
-    return int(np.floor(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi))
+    """Bits in which SimHashes of sets of that resemblance differ at most: SLACK standard deviations over the average."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(np.floor(bits * share + SLACK * np.sqrt(bits * share * (1 - share))))
 
 
 def array_distance(a: str, b: str, n: int) -> Column:
     return sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(1, n)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
 
 
-def copy_links(nodes: DataFrame, similarity: float, paired: int, everything: bool, scratch: list[str]) -> tuple[DataFrame, bool]:
+def copy_links(nodes: DataFrame, texts: DataFrame, similarity: float, paired: int, everything: bool, scratch: list[str]) -> tuple[DataFrame, bool]:
     """Links between nodes (id, words, shingles), and whether variants with more members than `paired` remain.
 
     Their members are compared with the least one, unless `everything` asks for all of them.
@@ -219,28 +248,28 @@ def copy_links(nodes: DataFrame, similarity: float, paired: int, everything: boo
     close = found.join(shingles.select(F.col("id").alias("u"), F.col("shingles").alias("su")), "u").join(
         shingles.select(F.col("id").alias("v"), F.col("shingles").alias("sv")), "v",
     ).where(array_distance("su", "sv", SHINGLE_LONGS) <= most_bits(similarity, 64 * SHINGLE_LONGS)).select("u", "v")
-    return close, (not everything) and not many.isEmpty()
+    return resembling(close, texts, similarity, scratch), (not everything) and not many.isEmpty()
 
 
 def copies(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY, paired: int = 16) -> DataFrame:
     """(id, kept_id) of the rows that are near copies of a row with a smaller id, which stays in their place.
 
-    Rows resemble each other when their five-word shingles do by `similarity` or more, as measured by SimHash; resemblance
+    Rows resemble each other when their five-word shingles do by `similarity` or more; resemblance
     is carried on from row to row. Variants with more than `paired` members are thinned in rounds: members are compared
     with the least one, of each group found one stays, and the rest is searched again, until a round finds nothing; what
     is then left is compared in full. Null, empty and wordless texts are copies of each other.
     """
     tuned(df.sparkSession)
     scratch: list[str] = []
-    signed = df.where(F.col(f"`{id_column}`").isNotNull()).select(F.col(f"`{id_column}`").alias("id"), signature(text_or_empty(text_column)).alias("s"))
-    rows = kept(signed.select("id", "s.*"), "signatures", scratch)
+    texts = df.where(F.col(f"`{id_column}`").isNotNull()).select(F.col(f"`{id_column}`").alias("id"), text_or_empty(text_column).alias("text"))
+    rows = kept(texts.select("id", signature(F.col("text")).alias("s")).select("id", "s.*"), "signatures", scratch)
     least = rows.groupBy("words", "shingles").agg(F.min("id").alias("least"))
     nodes = kept(least.select(F.col("least").alias("id"), "words", "shingles"), "nodes", scratch)
     equal = rows.join(least, ["words", "shingles"]).where("id != least")
     out = kept(equal.select(F.col("id").alias("node"), F.col("least").alias("component")), "moved", scratch)
     everything = False
     while True:
-        close, more = copy_links(nodes, similarity, paired, everything, scratch)
+        close, more = copy_links(nodes, texts, similarity, paired, everything, scratch)
         step = kept(connected(close, scratch).where("node != component"), "moved", scratch)
         empty = step.isEmpty()
         if not empty:

@@ -13,7 +13,7 @@ from tallymill.llm import suffix_dedup
 from tallymill.llm.components import connected
 from tallymill.llm.fingerprints import Sketch, fingerprint_documents, merged, sketch
 from tallymill.llm.queries import op1_fingerprints, op4_suffix_dedup, op6_simhash
-from tallymill.llm.simhash import copies, near_duplicates, without_copies
+from tallymill.llm.simhash import copies, near_duplicates, resembling, without_copies
 from tallymill.llm.suffix_dedup import difference_cover, remove_repeats, suffix_order, with_removals
 
 from .conftest import SF
@@ -195,6 +195,28 @@ def test_near_copies_go_and_others_stay(frame, paired):
     assert without_copies(frame([(None, "a"), (None, "a"), (1, None), (2, "")])).count() == 3
 
 
+def unlike_words(rng, n):
+    return ["".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(n)]
+
+
+def test_shingles_decide_near_copies(frame):
+    rng, rows, want = random.Random(3), [], set()
+    for g in range(40):
+        base = unlike_words(rng, 300)
+        # One replaced passage: 31 words make 0.78, 28 make 0.80.
+        for k, n in enumerate((0, 31) if g % 2 else (0, 28)):
+            rows.append((g * 10 + k, " ".join(base[:100] + unlike_words(rng, n) + base[100 + n:])))
+        if jaccard(rows[-1][1], rows[-2][1]) >= 0.8:
+            want.add(rows[-1][0])
+    # A passage that is repeated inside the text counts once.
+    passage, first, other = unlike_words(rng, 20), unlike_words(rng, 40), unlike_words(rng, 40)
+    rows += [(1000, " ".join(passage * 30 + first)), (1001, " ".join(passage * 30 + other))]
+    nodes = frame(rows).selectExpr("doc_id AS id", "text")
+    pairs = nodes.sparkSession.createDataFrame([(i - i % 10, i) for i, _ in rows if i % 10], "u bigint, v bigint")
+    assert 0 < len(want) < 40 and {r.v for r in resembling(pairs, nodes, 0.8, []).collect()} == want
+    assert set(r.doc_id for r in copies(frame(rows)).collect()) <= want
+
+
 # --- fingerprints ------------------------------------------------------------------------------------------------------
 
 def shingles(text):
