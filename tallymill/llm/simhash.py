@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallymill.llm.common import Texts, kept, mixed, prefix_hash, release, span_hash, struct_of, text_or_empty, tuned, word_spans
+from tallymill.llm.common import Texts, kept, mixed, release, struct_of, text_or_empty, tuned
 from tallymill.llm.components import connected
 from tallymill.llm.fingerprints import shingle_hashes
 
@@ -135,50 +135,71 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
 
 # --- near copies of the default kind: five words, similarity 0.8 -------------------------------------------------------
 #
-# At that similarity fingerprints differ in more bits than any index of whole fingerprints bears. A document therefore has
-# two SimHashes: one of its distinct words, in segments that are searched by one-wildcard variants, and a long one of its
-# five-word shingles, whose distance tells which pairs can be similar at all. The shingles of those decide.
+# At that similarity fingerprints differ in more bits than any index of them bears. Documents are searched by MinHash: of
+# the distinct shingles the least under each of BANDS * BAND_ROWS hash functions. Texts of resemblance r agree in each with
+# probability r, whatever the kind of edit, and have a band in common with 1 - (1 - r**BAND_ROWS)**BANDS: 0.99994 at 0.8. A
+# byte of each value tells which pairs can be similar at all, and the shingles of those decide.
 
 SIMILARITY, COPY_WORDS = 0.8, 5
-SEGMENTS, SEGMENT_BITS, SHINGLE_LONGS = 4, 24, 8
+BANDS, BAND_ROWS = 32, 6
 #: Standard deviations by which pairs may look less alike than they are before their shingles are compared.
 SLACK = 5
-SEARCH_LIMIT = 14
+_ROW_MIX = mixed(np.arange(1, 2 * BANDS * BAND_ROWS + 1, dtype=np.uint64)).reshape(2, -1)
+
+
+def least_hashes(hashes: np.ndarray) -> np.ndarray:
+    """The least of the hashes under each of the hash functions."""
+    flip, factor = _ROW_MIX[0, :, None], _ROW_MIX[1, :, None] | np.uint64(1)
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 256):
+        np.minimum(least, ((hashes[at:at + 256] ^ flip) * factor).min(axis=1), out=least)
+    return mixed(least)
 
 
 def signature(text: Column) -> Column:
-    """words: SEGMENTS numbers of SEGMENT_BITS bits of the distinct words; shingles: SHINGLE_LONGS numbers of 64 bits."""
-    kind = "struct<words:array<bigint>,shingles:array<bigint>>"
+    """bands: BANDS keys; sample: eight bits of each least hash; whole: 128 bits of the set of shingles."""
+    kind = "struct<bands:array<bigint>,sample:array<bigint>,whole:array<bigint>>"
 
     @F.arrow_udf(kind)
     def sign(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         mix = np.uint64(0xD1342543DE82EF95)
         for column in columns:
-            texts, words, shingles = Texts(column), [], []
+            texts, bands, samples, wholes = Texts(column), [], [], []
             for first, end, data, offsets in texts.slices():
-                lower = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-                starts, ends, bounds = word_spans(lower, offsets)
-                hashes = span_hash(prefix_hash(lower), starts, ends)
-                grams, places = shingle_hashes(data, offsets, COPY_WORDS)
+                hashes, bounds = shingle_hashes(data, offsets, COPY_WORDS)
                 for i in range(end - first):
-                    own = hashes[bounds[i]:bounds[i + 1]]
-                    ones = np.zeros((2 + SHINGLE_LONGS, 64), np.int64)
-                    distinct = np.unique(own)
-                    for k in range(2):
-                        bits_set(mixed(distinct + np.uint64(k) * mix), ones[k])
-                    rolled = np.unique(grams[places[i]:places[i + 1]])
-                    n = len(rolled)
-                    for k in range(SHINGLE_LONGS):
-                        bits_set(mixed(rolled + np.uint64(k + 2) * mix), ones[2 + k])
-                    flat = np.concatenate([2 * ones[0] > len(distinct), 2 * ones[1] > len(distinct)])[:SEGMENTS * SEGMENT_BITS]
-                    words.append([int(x) for x in flat.reshape(SEGMENTS, SEGMENT_BITS) @ (1 << np.arange(SEGMENT_BITS))])
-                    shingles.append([packed(ones[2 + k], n) for k in range(SHINGLE_LONGS)])
+                    own = np.unique(hashes[bounds[i]:bounds[i + 1]])
+                    least = least_hashes(own)
+                    keys = mixed(np.arange(BANDS, dtype=np.uint64))
+                    for row in least.reshape(BANDS, BAND_ROWS).T:
+                        keys = mixed(keys * mix + row)
+                    bands.append(keys.view(np.int64))
+                    samples.append((least & np.uint64(255)).astype(np.uint8).view(np.int64))
+                    wholes.append(np.frombuffer(xxhash.xxh128_digest(own.tobytes()), np.int64))
             longs = pa.list_(pa.int64())
-            yield struct_of({"words": pa.array(words, longs), "shingles": pa.array(shingles, longs)})
+            yield struct_of({"bands": pa.array(bands, longs), "sample": pa.array(samples, longs), "whole": pa.array(wholes, longs)})
 
     return sign(text)
 
 
+def least_equal(similarity: float) -> int:
+    """Hash functions in which sets of that resemblance agree at least: SLACK standard deviations under the average."""
+    n = BANDS * BAND_ROWS
+    return int(np.ceil(n * similarity - SLACK * np.sqrt(n * similarity * (1 - similarity))))
+
+
+def equal_bytes(a: str, b: str) -> Column:
+    """In how many bytes arrays of longs agree: those of the difference without a bit."""
+    def unlike(k: int) -> Column:
+        x = F.col(a)[k].bitwiseXOR(F.col(b)[k])
+        for n in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, n))
+        return F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+
+    n = BANDS * BAND_ROWS // 8
+    return F.lit(8 * n) - sum((unlike(k) for k in range(1, n)), unlike(0))
+
+
 def shingle_set(text: Column) -> Column:
     """The distinct hashes of the text's five-word shingles."""
 
@@ -205,49 +226,25 @@ def resembling(pairs: DataFrame, texts: DataFrame, similarity: float, scratch: l
     return both.where(shared / (F.size("su") + F.size("sv") - shared) >= similarity).select("u", "v")
 
 
-def most_bits(similarity: float, bits: int) -> int:
-    """Bits in which SimHashes of sets of that resemblance differ at most: SLACK standard deviations over the average."""
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(np.floor(bits * share + SLACK * np.sqrt(bits * share * (1 - share))))
-
-
-def array_distance(a: str, b: str, n: int) -> Column:
-    return sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(1, n)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
-
-
 def copy_links(nodes: DataFrame, texts: DataFrame, similarity: float, paired: int, everything: bool, scratch: list[str]) -> tuple[DataFrame, bool]:
-    """Links between nodes (id, words, shingles), and whether variants with more members than `paired` remain.
+    """Links between nodes (id, bands, sample), and whether bands with more members than `paired` remain.
 
     Their members are compared with the least one, unless `everything` asks for all of them.
     """
-    keys = [
-        masked.bitwiseOR(F.lit((s * SEGMENT_BITS + b) << SEGMENT_BITS))
-        for s in range(SEGMENTS) for b, masked in enumerate(without_each_bit(F.col("words")[s], SEGMENT_BITS))
-    ]
-    # Only keys and ids are shuffled for all nodes; words are added where a variant has more than one member.
     by_key = Window.partitionBy("key")
-    index = nodes.select("id", F.explode(F.array(*keys)).alias("key"))
+    index = nodes.select("id", F.explode("bands").alias("key"))
     shared = kept(index.select(
         "key", "id", F.count(F.lit(1)).over(by_key).alias("n"), F.min("id").over(by_key).alias("least"),
     ).where("n > 1"), "variants", scratch)
-    words = nodes.select("id", "words")
     few = shared if everything else shared.where(F.col("n") <= paired)
-    few = few.select("key", "id").join(words, "id")
-    left = few.select("key", F.col("id").alias("u"), F.col("words").alias("wu"))
-    right = few.select("key", F.col("id").alias("v"), F.col("words").alias("wv"))
-    near = array_distance("wu", "wv", SEGMENTS) <= SEARCH_LIMIT
-    found = left.join(right, "key").where((F.col("u") < F.col("v")) & near).select("u", "v")
+    found = few.select("key", F.col("id").alias("u")).join(few.select("key", F.col("id").alias("v")), "key").where("u < v").select("u", "v")
     many = shared.where(F.col("n") > paired)
     if not everything:
-        led = many.where("id != least").select(F.col("least").alias("u"), F.col("id").alias("v")).distinct()
-        led = led.join(words.select(F.col("id").alias("u"), F.col("words").alias("wu")), "u").join(
-            words.select(F.col("id").alias("v"), F.col("words").alias("wv")), "v").where(near)
-        found = found.union(led.select("u", "v"))
-    found = found.distinct()
-    shingles = nodes.select("id", "shingles")
-    close = found.join(shingles.select(F.col("id").alias("u"), F.col("shingles").alias("su")), "u").join(
-        shingles.select(F.col("id").alias("v"), F.col("shingles").alias("sv")), "v",
-    ).where(array_distance("su", "sv", SHINGLE_LONGS) <= most_bits(similarity, 64 * SHINGLE_LONGS)).select("u", "v")
+        found = found.union(many.where("id != least").select(F.col("least").alias("u"), F.col("id").alias("v")))
+    samples = nodes.select("id", "sample")
+    close = found.distinct().join(samples.select(F.col("id").alias("u"), F.col("sample").alias("su")), "u").join(
+        samples.select(F.col("id").alias("v"), F.col("sample").alias("sv")), "v",
+    ).where(equal_bytes("su", "sv") >= least_equal(similarity)).select("u", "v")
     return resembling(close, texts, similarity, scratch), (not everything) and not many.isEmpty()
 
 
@@ -255,7 +252,7 @@ def copies(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     """(id, kept_id) of the rows that are near copies of a row with a smaller id, which stays in their place.
 
     Rows resemble each other when their five-word shingles do by `similarity` or more; resemblance
-    is carried on from row to row. Variants with more than `paired` members are thinned in rounds: members are compared
+    is carried on from row to row. Bands with more than `paired` members are thinned in rounds: members are compared
     with the least one, of each group found one stays, and the rest is searched again, until a round finds nothing; what
     is then left is compared in full. Null, empty and wordless texts are copies of each other.
     """
@@ -263,9 +260,9 @@ def copies(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     scratch: list[str] = []
     texts = df.where(F.col(f"`{id_column}`").isNotNull()).select(F.col(f"`{id_column}`").alias("id"), text_or_empty(text_column).alias("text"))
     rows = kept(texts.select("id", signature(F.col("text")).alias("s")).select("id", "s.*"), "signatures", scratch)
-    least = rows.groupBy("words", "shingles").agg(F.min("id").alias("least"))
-    nodes = kept(least.select(F.col("least").alias("id"), "words", "shingles"), "nodes", scratch)
-    equal = rows.join(least, ["words", "shingles"]).where("id != least")
+    least = kept(rows.groupBy("whole").agg(F.min("id").alias("least")), "least", scratch)
+    nodes = kept(rows.join(least.select("whole", F.col("least").alias("id")), ["whole", "id"]).dropDuplicates(["whole"]), "nodes", scratch)
+    equal = rows.select("id", "whole").join(least, "whole").where("id != least")
     out = kept(equal.select(F.col("id").alias("node"), F.col("least").alias("component")), "moved", scratch)
     everything = False
     while True:

@@ -217,6 +217,25 @@ def test_shingles_decide_near_copies(frame):
     assert set(r.doc_id for r in copies(frame(rows)).collect()) <= want
 
 
+def test_search_finds_copies_of_every_kind(frame):
+    rng, rows, want, at = random.Random(8), [], {}, 0
+    for share in (0.81, 0.85, 0.9):
+        for kind in ("appended", "block", "scattered"):
+            for _ in range(15):
+                base = unlike_words(rng, 400)
+                gone = int(400 * (1 - share) / share) if kind == "appended" else int(396 * (1 - share) / (1 + share)) - 4
+                copy = base + unlike_words(rng, gone) if kind == "appended" else base[:100] + unlike_words(rng, gone) + base[100 + gone:]
+                if kind == "scattered":
+                    copy = list(base)
+                    for k in rng.sample(range(5, 395, 6), int(396 * (1 - share) / (1 + share) / 5)):
+                        copy[k] = unlike_words(rng, 1)[0]
+                assert 0.8 <= jaccard(" ".join(base), " ".join(copy)) < share + 0.03
+                rows += [(at, " ".join(base)), (at + 1, " ".join(copy))]
+                want[at + 1] = at
+                at += 2
+    assert {r.doc_id: r.kept_id for r in copies(frame(rows)).collect()} == want
+
+
 # --- fingerprints ------------------------------------------------------------------------------------------------------
 
 def shingles(text):
