@@ -144,6 +144,8 @@ SIMILARITY, COPY_WORDS = 0.8, 5
 BANDS, BAND_ROWS = 32, 6
 #: Standard deviations by which pairs may look less alike than they are before their shingles are compared.
 SLACK = 5
+#: Most turns in which one member of each band is compared before all that are left are.
+TURNS = 4
 _ROW_MIX = mixed(np.arange(1, 2 * BANDS * BAND_ROWS + 1, dtype=np.uint64)).reshape(2, -1)
 
 
@@ -217,7 +219,6 @@ def shingle_set(text: Column) -> Column:
 
 def resembling(pairs: DataFrame, texts: DataFrame, similarity: float, scratch: list[str]) -> DataFrame:
     """The pairs (u, v) whose texts (id, text) share at least `similarity` of the distinct shingles of either."""
-    pairs = kept(pairs, "pairs", scratch)
     ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     sets = kept(texts.join(ids, "id").select("id", shingle_set(F.col("text")).alias("s")), "shingles", scratch)
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("su")), "u").join(
@@ -226,59 +227,70 @@ def resembling(pairs: DataFrame, texts: DataFrame, similarity: float, scratch: l
     return both.where(shared / (F.size("su") + F.size("sv") - shared) >= similarity).select("u", "v")
 
 
-def copy_links(nodes: DataFrame, texts: DataFrame, similarity: float, paired: int, everything: bool, scratch: list[str]) -> tuple[DataFrame, bool]:
-    """Links between nodes (id, bands, sample), and whether bands with more members than `paired` remain.
+def band_groups(members: DataFrame, turn: int) -> DataFrame:
+    """Per band (key) with members (key, id, component) of several components: n of them, the largest component as `most`
+    with its m members, and the id and component that lead in this turn."""
+    order = F.xxhash64("id", F.lit(turn)) if turn else F.lit(0).cast("bigint")
+    parts = members.groupBy("key", "component").agg(
+        F.count(F.lit(1)).alias("m"), F.min(F.struct(order.alias("o"), "id", "component")).alias("lead"))
+    return parts.groupBy("key").agg(
+        F.sum("m").alias("n"), F.max(F.struct("m", "component")).alias("most"), F.min("lead").alias("lead"), F.count(F.lit(1)).alias("parts"),
+    ).where("parts > 1")
 
-    Their members are compared with the least one, unless `everything` asks for all of them.
-    """
-    by_key = Window.partitionBy("key")
-    index = nodes.select("id", F.explode("bands").alias("key"))
-    shared = kept(index.select(
-        "key", "id", F.count(F.lit(1)).over(by_key).alias("n"), F.min("id").over(by_key).alias("least"),
-    ).where("n > 1"), "variants", scratch)
-    few = shared if everything else shared.where(F.col("n") <= paired)
-    found = few.select("key", F.col("id").alias("u")).join(few.select("key", F.col("id").alias("v")), "key").where("u < v").select("u", "v")
-    many = shared.where(F.col("n") > paired)
-    if not everything:
-        found = found.union(many.where("id != least").select(F.col("least").alias("u"), F.col("id").alias("v")))
-    samples = nodes.select("id", "sample")
-    close = found.distinct().join(samples.select(F.col("id").alias("u"), F.col("sample").alias("su")), "u").join(
-        samples.select(F.col("id").alias("v"), F.col("sample").alias("sv")), "v",
-    ).where(equal_bytes("su", "sv") >= least_equal(similarity)).select("u", "v")
-    return resembling(close, texts, similarity, scratch), (not everything) and not many.isEmpty()
+
+def copy_pairs(members: DataFrame, turn: int | None) -> DataFrame:
+    """Pairs (u, v) of a band's members in different components: of its leader in this turn and all others; of all without a turn."""
+    inside = members.join(band_groups(members, turn or 0), "key")
+    if turn is not None:
+        pairs = inside.where("component != lead.component").select(F.col("lead.id").alias("u"), F.col("id").alias("v"))
+    else:
+        # Every pair has a member outside the largest component, so that this is not paired with itself.
+        others = inside.where("component != most.component").select("key", F.col("id").alias("u"), F.col("component").alias("cu"))
+        right = inside.select("key", F.col("id").alias("v"), F.col("component").alias("cv"), F.col("most.component").alias("top"))
+        pairs = others.join(right, "key").where("cu != cv AND (cv = top OR u < v)")
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def copies(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY, paired: int = 16) -> DataFrame:
     """(id, kept_id) of the rows that are near copies of a row with a smaller id, which stays in their place.
 
-    Rows resemble each other when their five-word shingles do by `similarity` or more; resemblance
-    is carried on from row to row. Bands with more than `paired` members are thinned in rounds: members are compared
-    with the least one, of each group found one stays, and the rest is searched again, until a round finds nothing; what
-    is then left is compared in full. Null, empty and wordless texts are copies of each other.
+    Rows resemble each other when their five-word shingles do by `similarity` or more; resemblance is carried on from row
+    to row. In turns one member of each band is compared with all others, while bands have more than `paired` members
+    outside their largest component, TURNS times at most; then all pairs of a band's members are compared that are not in
+    one component yet. No row leaves before that. Null, empty and wordless texts are copies of each other.
     """
-    tuned(df.sparkSession)
+    spark = tuned(df.sparkSession)
     scratch: list[str] = []
     texts = df.where(F.col(f"`{id_column}`").isNotNull()).select(F.col(f"`{id_column}`").alias("id"), text_or_empty(text_column).alias("text"))
     rows = kept(texts.select("id", signature(F.col("text")).alias("s")).select("id", "s.*"), "signatures", scratch)
     least = kept(rows.groupBy("whole").agg(F.min("id").alias("least")), "least", scratch)
     nodes = kept(rows.join(least.select("whole", F.col("least").alias("id")), ["whole", "id"]).dropDuplicates(["whole"]), "nodes", scratch)
-    equal = rows.select("id", "whole").join(least, "whole").where("id != least")
-    out = kept(equal.select(F.col("id").alias("node"), F.col("least").alias("component")), "moved", scratch)
-    everything = False
-    while True:
-        close, more = copy_links(nodes, texts, similarity, paired, everything, scratch)
-        step = kept(connected(close, scratch).where("node != component"), "moved", scratch)
-        empty = step.isEmpty()
-        if not empty:
-            later = step.select(F.col("node").alias("component"), F.col("component").alias("to"))
-            moved = out.join(later, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-            out = kept(moved.union(step), "moved", scratch)
-            nodes = kept(nodes.join(step.select(F.col("node").alias("id")), "id", "left_anti"), "nodes", scratch)
-        if everything or not more:
-            break
-        everything = empty
-    out = kept(out.select(F.col("node").alias(id_column), F.col("component").alias("kept_id")), "copies")
-    release(df.sparkSession, scratch)
+    samples = nodes.select("id", "sample")
+    index = nodes.select("id", F.explode("bands").alias("key"))
+    shared = kept(index.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1").select("key", "id"), "bands", scratch)
+    members = shared.withColumn("component", F.col("id"))
+    pair = "u {0}, v {0}".format(nodes.schema["id"].dataType.simpleString())
+    compared = found = spark.createDataFrame([], pair)
+    for turn in [*range(TURNS), None]:
+        if turn and band_groups(members, turn).where(F.col("n") - F.col("most.m") > paired).isEmpty():
+            continue
+        alike = copy_pairs(members, turn).join(samples.select(F.col("id").alias("u"), F.col("sample").alias("su")), "u").join(
+            samples.select(F.col("id").alias("v"), F.col("sample").alias("sv")), "v",
+        ).where(equal_bytes("su", "sv") >= least_equal(similarity)).select("u", "v")
+        new = kept(alike.join(compared, ["u", "v"], "left_anti"), "pairs", scratch)
+        compared = compared.union(new)
+        links = kept(resembling(new, texts, similarity, scratch), "links", scratch)
+        if links.isEmpty():
+            continue
+        stars = kept(connected(found.union(links), scratch).where("node != component"), "components", scratch)
+        found = stars.select(F.col("component").alias("u"), F.col("node").alias("v"))
+        named = shared.join(stars.withColumnRenamed("node", "id"), "id", "left")
+        members = kept(named.select("key", "id", F.coalesce("component", "id").alias("component")), "members", scratch)
+    near = found.select(F.col("v").alias("id"), F.col("u").alias("component"))
+    equal = rows.select("id", "whole").join(least, "whole").where("id != least").select("id", "least")
+    equal = equal.join(near.withColumnRenamed("id", "least"), "least", "left").select("id", F.coalesce("component", "least").alias("component"))
+    out = kept(near.union(equal).select(F.col("id").alias(id_column), F.col("component").alias("kept_id")), "copies")
+    release(spark, scratch)
     return out
 
 

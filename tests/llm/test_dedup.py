@@ -236,6 +236,19 @@ def test_search_finds_copies_of_every_kind(frame):
     assert {r.doc_id: r.kept_id for r in copies(frame(rows)).collect()} == want
 
 
+def test_links_of_copies_are_kept_in_crowded_bands(frame):
+    """100 and 900 resemble 500 and its many copies, but not each other."""
+    rng = random.Random(5)
+    base = unlike_words(rng, 400)
+    rows = [(500, base), (100, unlike_words(rng, 36) + base[36:]), (900, base[:364] + unlike_words(rng, 36))]
+    for k in range(40):
+        rows.append((600 + k, [*base[:150 + 2 * k], *unlike_words(rng, 1), *base[151 + 2 * k:]]))
+    rows = [(i, " ".join(t)) for i, t in rows]
+    assert jaccard(rows[0][1], rows[1][1]) > 0.8 < jaccard(rows[0][1], rows[2][1]) and jaccard(rows[1][1], rows[2][1]) < 0.75
+    for paired in (16, 1000):
+        assert {r.doc_id: r.kept_id for r in copies(frame(rows), paired=paired).collect()} == {i: 100 for i, _ in rows if i != 100}
+
+
 # --- fingerprints ------------------------------------------------------------------------------------------------------
 
 def shingles(text):
