@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -12,17 +13,21 @@ import numpy as np
 # Fixed values of the format: what doesn't end a block, has no end, isn't text, and closes an open element of its kind.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|textarea|select|svg|math|iframe|object|canvas|head|title"
+RAW = "script style noscript template textarea select svg math iframe object canvas title".split()
+# Without an end tag these run to the page's end; of the others only the start tag is left out.
+TO_END = frozenset("script style textarea title".split())
+IN_HEAD = frozenset("base basefont bgsound link meta".split())
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
 }
 SCOPES = frozenset("ul ol dl table tr tbody thead tfoot select body html".split())
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|$)|<(?P<raw>{RAW})(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|$)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>|(?P<text>[^<]+|<)",
+    r"<!--.*?(?:-->|$)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
+_CLOSED = re.compile(r"""(?:^|[\s"'])/\s*$""")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 
@@ -43,12 +48,32 @@ def names_of(attributes: str) -> tuple[str, ...]:
     return tuple(found)
 
 
+def tokens_of(page: str) -> Iterator[re.Match]:
+    """The page's tokens in order, without what is inside elements of RAW. Self-closed ones have no inside."""
+    at, unclosed = 0, set()
+    while token := _TOKEN.match(page, at):
+        at = token.end()
+        tag = (token["tag"] or "").lower()
+        if tag in _RAW_END and not token["end"] and tag not in unclosed and not _CLOSED.search(token["attributes"]):
+            if end := _RAW_END[tag].search(page, at):
+                at = end.end()
+            elif tag in TO_END:
+                at = len(page)
+            else:
+                unclosed.add(tag)
+        yield token
+
+
 def blocks_of(page: str) -> list[Block]:
-    """The page's blocks in order: character references decoded, white space made one space, empty ones left out."""
+    """The page's blocks in order: character references decoded, white space made one space, empty ones left out.
+
+    A head ends with its end tag, or before the first text or tag that cannot stand in it.
+    """
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     held: list[str] = []
     linked, in_links, path = 0, 0, ()
+    in_head = False
 
     def finish():
         nonlocal linked, path
@@ -64,9 +89,12 @@ def blocks_of(page: str) -> list[Block]:
         in_links -= sum(tag == "a" for tag, _ in stack[at:])
         del stack[at:]
 
-    for token in _TOKEN.finditer(page):
+    for token in tokens_of(page):
         text = token["text"]
         if text:
+            if in_head and text.isspace():
+                continue
+            in_head = False
             if not held and not text.isspace():
                 path = tuple(x for tag, names in stack for x in (tag, *names))
             held.append(text)
@@ -74,8 +102,14 @@ def blocks_of(page: str) -> list[Block]:
                 linked += len(text)
             continue
         tag = (token["tag"] or "").lower()
-        if not tag:
+        if not tag or tag in _RAW_END and not token["end"]:
+            continue
+        if tag == "head":
+            in_head = not token["end"]
+            continue
+        if in_head and (token["end"] and tag not in ("body", "html") or tag in IN_HEAD):
             continue
+        in_head = False
         if tag not in INLINE:
             finish()
         if token["end"]:

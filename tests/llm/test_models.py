@@ -80,6 +80,18 @@ def test_blocks():
     assert len(blocks_of("<div>" * 3000 + "x")) == 1
 
 
+def test_elements_without_end_tag_lose_no_text():
+    head = "<html><head><meta charset=u><title>t</title><script>x</script>\n"
+    for page in (head + "<body><p>One<p>Two", head + "<p>One</p><p>Two</p>", head + "One<p>Two", head + "</head><body><p>One<p>Two"):
+        assert [b.text for b in blocks_of(page)] == ["One", "Two"]
+    for tag in "svg math iframe canvas object select noscript template".split():
+        for start in (f"<{tag}/>", f'<{tag} a="b" />', f"<{tag} class=x>"):
+            assert [b.text for b in blocks_of(f"<div>{start}<p>One</p></div><p>Two</p>")] == ["One", "Two"], start
+        assert [b.text for b in blocks_of(f"<p>One</p><{tag} a=b/>no</{tag}><p>Two</p>")] == ["One", "Two"]
+    assert [b.text for b in blocks_of("<p>One</p><script src='a'/><p>Two</p><style>no <p>no</p>")] == ["One", "Two"]
+    assert len(blocks_of("<canvas>" * 100000 + "<p>One")) == 1
+
+
 def test_gradients():
     rng = np.random.default_rng(1)
     model = Labeller(width=5, units=3)
