@@ -1,7 +1,7 @@
 """From documents to token ids: five stages, each working on all rows that its predecessor kept.
 
-1. quality: documents that the classifier rejects go. 2. near_duplicates: of each group of near copies (five-word
-shingles, similarity 0.8 or more) the one with the smallest id stays. 3. repeated_text: strings of 100 bytes that also
+1. quality: documents that the classifier rejects go. 2. near_duplicates: of each group whose SimHash fingerprints
+(three-word shingles) are linked at two bits or fewer the document with the smallest id stays. 3. repeated_text: strings of 100 bytes that also
 start earlier are cut out, whole characters only; documents of which nothing is left go. 4. decontamination: documents
 with a window of a benchmark item go. 5. tokens: the rest is encoded and decoded.
 
