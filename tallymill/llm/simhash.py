@@ -18,11 +18,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tallymill.llm.common import Texts, kept, mixed, release, struct_of, text_or_empty, tuned
+from tallymill.llm.common import Texts, kept, release, text_or_empty, tuned
 from tallymill.llm.components import connected
-from tallymill.llm.fingerprints import shingle_hashes
 
 SHINGLE_WORDS = 3
 #: Most fingerprints that share a variant and are still compared pair by pair.
@@ -94,7 +92,9 @@ def distance(a: Column, b: Column) -> Column:
 def links(nodes: DataFrame, paired: int = PAIRED, scratch: list[str] | None = None) -> DataFrame:
     """Links (u, v) that connect all fingerprints (column fp, distinct) at two or fewer differing bits."""
     index = nodes.select("fp", F.explode(variants(F.col("fp"))).alias("key"))
-    shared = kept(index.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1"), "variants", scratch)
+    # Counted before the shuffle and joined back: no task meets all members of a variant.
+    often = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = kept(index.join(often, "key"), "variants", scratch)
     few, many = shared.where(F.col("n") <= paired).select("key", "fp"), shared.where(F.col("n") > paired).select("key", "fp")
     left, right = few.withColumnRenamed("fp", "u"), few.withColumnRenamed("fp", "v")
     pairs = left.join(right, "key").where((F.col("u") < F.col("v")) & (distance(F.col("u"), F.col("v")) <= 2)).select("u", "v")
@@ -133,167 +133,16 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
         F.col("_id").alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# --- near copies of the default kind: five words, similarity 0.8 -------------------------------------------------------
-#
-# At that similarity fingerprints differ in more bits than any index of them bears. Documents are searched by MinHash: of
-# the distinct shingles the least under each of BANDS * BAND_ROWS hash functions. Texts of resemblance r agree in each with
-# probability r, whatever the kind of edit, and have a band in common with 1 - (1 - r**BAND_ROWS)**BANDS: 0.99994 at 0.8. A
-# byte of each value tells which pairs can be similar at all, and the shingles of those decide.
+def without_copies(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+    """df with one row of each component that `near_duplicates` finds: the one with the smallest id.
 
-SIMILARITY, COPY_WORDS = 0.8, 5
-BANDS, BAND_ROWS = 32, 6
-#: Standard deviations by which pairs may look less alike than they are before their shingles are compared.
-SLACK = 5
-#: Most turns in which one member of each band is compared before all that are left are.
-TURNS = 4
-_ROW_MIX = mixed(np.arange(1, 2 * BANDS * BAND_ROWS + 1, dtype=np.uint64)).reshape(2, -1)
-
-
-def least_hashes(hashes: np.ndarray) -> np.ndarray:
-    """The least of the hashes under each of the hash functions."""
-    flip, factor = _ROW_MIX[0, :, None], _ROW_MIX[1, :, None] | np.uint64(1)
-    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max)
-    for at in range(0, len(hashes), 256):
-        np.minimum(least, ((hashes[at:at + 256] ^ flip) * factor).min(axis=1), out=least)
-    return mixed(least)
-
-
-def signature(text: Column) -> Column:
-    """bands: BANDS keys; sample: eight bits of each least hash; whole: 128 bits of the set of shingles."""
-    kind = "struct<bands:array<bigint>,sample:array<bigint>,whole:array<bigint>>"
-
-    @F.arrow_udf(kind)
-    def sign(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        mix = np.uint64(0xD1342543DE82EF95)
-        for column in columns:
-            texts, bands, samples, wholes = Texts(column), [], [], []
-            for first, end, data, offsets in texts.slices():
-                hashes, bounds = shingle_hashes(data, offsets, COPY_WORDS)
-                for i in range(end - first):
-                    own = np.unique(hashes[bounds[i]:bounds[i + 1]])
-                    least = least_hashes(own)
-                    keys = mixed(np.arange(BANDS, dtype=np.uint64))
-                    for row in least.reshape(BANDS, BAND_ROWS).T:
-                        keys = mixed(keys * mix + row)
-                    bands.append(keys.view(np.int64))
-                    samples.append((least & np.uint64(255)).astype(np.uint8).view(np.int64))
-                    wholes.append(np.frombuffer(xxhash.xxh128_digest(own.tobytes()), np.int64))
-            longs = pa.list_(pa.int64())
-            yield struct_of({"bands": pa.array(bands, longs), "sample": pa.array(samples, longs), "whole": pa.array(wholes, longs)})
-
-    return sign(text)
-
-
-def least_equal(similarity: float) -> int:
-    """Hash functions in which sets of that resemblance agree at least: SLACK standard deviations under the average."""
-    n = BANDS * BAND_ROWS
-    return int(np.ceil(n * similarity - SLACK * np.sqrt(n * similarity * (1 - similarity))))
-
-
-def equal_bytes(a: str, b: str) -> Column:
-    """In how many bytes arrays of longs agree: those of the difference without a bit."""
-    def unlike(k: int) -> Column:
-        x = F.col(a)[k].bitwiseXOR(F.col(b)[k])
-        for n in (4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, n))
-        return F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
-
-    n = BANDS * BAND_ROWS // 8
-    return F.lit(8 * n) - sum((unlike(k) for k in range(1, n)), unlike(0))
-
-
-def shingle_set(text: Column) -> Column:
-    """The distinct hashes of the text's five-word shingles."""
-
-    @F.arrow_udf("array<bigint>")
-    def sets(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in columns:
-            texts, out = Texts(column), []
-            for first, end, data, offsets in texts.slices():
-                hashes, bounds = shingle_hashes(data, offsets, COPY_WORDS)
-                out += [np.unique(hashes[bounds[i]:bounds[i + 1]]).view(np.int64) for i in range(end - first)]
-            yield pa.array(out, pa.list_(pa.int64()))
-
-    return sets(text)
-
-
-def resembling(pairs: DataFrame, texts: DataFrame, similarity: float, scratch: list[str]) -> DataFrame:
-    """The pairs (u, v) whose texts (id, text) share at least `similarity` of the distinct shingles of either."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    sets = kept(texts.join(ids, "id").select("id", shingle_set(F.col("text")).alias("s")), "shingles", scratch)
-    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("su")), "u").join(
-        sets.select(F.col("id").alias("v"), F.col("s").alias("sv")), "v")
-    shared = F.size(F.array_intersect("su", "sv"))
-    return both.where(shared / (F.size("su") + F.size("sv") - shared) >= similarity).select("u", "v")
-
-
-def band_groups(members: DataFrame, turn: int) -> DataFrame:
-    """Per band (key) with members (key, id, component) of several components: n of them, the largest component as `most`
-    with its m members, and the id and component that lead in this turn."""
-    order = F.xxhash64("id", F.lit(turn)) if turn else F.lit(0).cast("bigint")
-    parts = members.groupBy("key", "component").agg(
-        F.count(F.lit(1)).alias("m"), F.min(F.struct(order.alias("o"), "id", "component")).alias("lead"))
-    return parts.groupBy("key").agg(
-        F.sum("m").alias("n"), F.max(F.struct("m", "component")).alias("most"), F.min("lead").alias("lead"), F.count(F.lit(1)).alias("parts"),
-    ).where("parts > 1")
-
-
-def copy_pairs(members: DataFrame, turn: int | None) -> DataFrame:
-    """Pairs (u, v) of a band's members in different components: of its leader in this turn and all others; of all without a turn."""
-    inside = members.join(band_groups(members, turn or 0), "key")
-    if turn is not None:
-        pairs = inside.where("component != lead.component").select(F.col("lead.id").alias("u"), F.col("id").alias("v"))
-    else:
-        # Every pair has a member outside the largest component, so that this is not paired with itself.
-        others = inside.where("component != most.component").select("key", F.col("id").alias("u"), F.col("component").alias("cu"))
-        right = inside.select("key", F.col("id").alias("v"), F.col("component").alias("cv"), F.col("most.component").alias("top"))
-        pairs = others.join(right, "key").where("cu != cv AND (cv = top OR u < v)")
-    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-
-
-def copies(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY, paired: int = 16) -> DataFrame:
-    """(id, kept_id) of the rows that are near copies of a row with a smaller id, which stays in their place.
-
-    Rows resemble each other when their five-word shingles do by `similarity` or more; resemblance is carried on from row
-    to row. In turns one member of each band is compared with all others, while bands have more than `paired` members
-    outside their largest component, TURNS times at most; then all pairs of a band's members are compared that are not in
-    one component yet. No row leaves before that. Null, empty and wordless texts are copies of each other.
+    Rows are told apart by a number of their own, so rows that only share an id are judged by their texts. Rows without
+    an id come after all others. Of equal ids in one component the first row in df's order stays. Columns keep their names
+    and order; an empty table gives an empty one.
     """
-    spark = tuned(df.sparkSession)
-    scratch: list[str] = []
-    texts = df.where(F.col(f"`{id_column}`").isNotNull()).select(F.col(f"`{id_column}`").alias("id"), text_or_empty(text_column).alias("text"))
-    rows = kept(texts.select("id", signature(F.col("text")).alias("s")).select("id", "s.*"), "signatures", scratch)
-    least = kept(rows.groupBy("whole").agg(F.min("id").alias("least")), "least", scratch)
-    nodes = kept(rows.join(least.select("whole", F.col("least").alias("id")), ["whole", "id"]).dropDuplicates(["whole"]), "nodes", scratch)
-    samples = nodes.select("id", "sample")
-    index = nodes.select("id", F.explode("bands").alias("key"))
-    shared = kept(index.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1").select("key", "id"), "bands", scratch)
-    members = shared.withColumn("component", F.col("id"))
-    pair = "u {0}, v {0}".format(nodes.schema["id"].dataType.simpleString())
-    compared = found = spark.createDataFrame([], pair)
-    for turn in [*range(TURNS), None]:
-        if turn and band_groups(members, turn).where(F.col("n") - F.col("most.m") > paired).isEmpty():
-            continue
-        alike = copy_pairs(members, turn).join(samples.select(F.col("id").alias("u"), F.col("sample").alias("su")), "u").join(
-            samples.select(F.col("id").alias("v"), F.col("sample").alias("sv")), "v",
-        ).where(equal_bytes("su", "sv") >= least_equal(similarity)).select("u", "v")
-        new = kept(alike.join(compared, ["u", "v"], "left_anti"), "pairs", scratch)
-        compared = compared.union(new)
-        links = kept(resembling(new, texts, similarity, scratch), "links", scratch)
-        if links.isEmpty():
-            continue
-        stars = kept(connected(found.union(links), scratch).where("node != component"), "components", scratch)
-        found = stars.select(F.col("component").alias("u"), F.col("node").alias("v"))
-        named = shared.join(stars.withColumnRenamed("node", "id"), "id", "left")
-        members = kept(named.select("key", "id", F.coalesce("component", "id").alias("component")), "members", scratch)
-    near = found.select(F.col("v").alias("id"), F.col("u").alias("component"))
-    equal = rows.select("id", "whole").join(least, "whole").where("id != least").select("id", "least")
-    equal = equal.join(near.withColumnRenamed("id", "least"), "least", "left").select("id", F.coalesce("component", "least").alias("component"))
-    out = kept(near.union(equal).select(F.col("id").alias(id_column), F.col("component").alias("kept_id")), "copies")
-    release(spark, scratch)
-    return out
-
-
-def without_copies(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """df without the rows that `copies` finds; rows without id stay."""
-    return df.join(copies(df, id_column, text_column, similarity).select(id_column), id_column, "left_anti")
+    rows = kept(df.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("number")), "rows")
+    own = F.col(f"row.`{id_column}`")
+    place = F.struct(own.isNull().alias("none"), own.alias("id"), "number").alias("place")
+    found = near_duplicates(rows.select(place, F.col(f"row.`{text_column}`").alias("text")), "place", "text", shingle_words)
+    stay = found.where("place.number = component_id.number").select("place.number")
+    return rows.join(stay, "number", "left_semi").select("row.*")
