@@ -92,9 +92,10 @@ def distance(a: Column, b: Column) -> Column:
 def links(nodes: DataFrame, paired: int = PAIRED, scratch: list[str] | None = None) -> DataFrame:
     """Links (u, v) that connect all fingerprints (column fp, distinct) at two or fewer differing bits."""
     index = nodes.select("fp", F.explode(variants(F.col("fp"))).alias("key"))
-    # Counted before the shuffle and joined back: no task meets all members of a variant.
+    # Counted before the shuffle and joined back: no task meets all members of a variant. Sizes are estimated without the
+    # 64 variants of a fingerprint, so a broadcast is ruled out here.
     often = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = kept(index.join(often, "key"), "variants", scratch)
+    shared = kept(index.join(often.hint("merge"), "key"), "variants", scratch)
     few, many = shared.where(F.col("n") <= paired).select("key", "fp"), shared.where(F.col("n") > paired).select("key", "fp")
     left, right = few.withColumnRenamed("fp", "u"), few.withColumnRenamed("fp", "v")
     pairs = left.join(right, "key").where((F.col("u") < F.col("v")) & (distance(F.col("u"), F.col("v")) <= 2)).select("u", "v")
