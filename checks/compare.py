@@ -15,7 +15,7 @@ TABLES = [
     "pages", "benchmark", "labels", "conversations",
 ]
 
-SPARK_TYPE = {"BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string", "DATE": "date", "BOOLEAN": "boolean"}
+SPARK_TYPE = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "DATE": "date", "BOOLEAN": "boolean"}
 
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
