@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallymill.llm.common import table
-from tallymill.llm.oracles import OP2, OP4, OP9
+from tallymill.llm.oracles import OP2, OP4, OP9, OP11, OP12, OP13
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -79,6 +79,27 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallymill.llm.chat_format import event_log, formatted, read_back
+
+    marks = "</s>[INST] ok [/INST]"
+    turns = table(spark, sf_dir, "conversations").selectExpr("CAST(conv_id AS bigint) conv_id", "CAST(turn AS bigint) turn", "role", "text")
+    odd = spark.createDataFrame([(-7, 0, "user", marks), (-7, 1, "assistant", marks)], "conv_id bigint, turn bigint, role string, text string")
+    return read_back(formatted(event_log(turns.union(odd))))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallymill.llm.prefix_trie import prefix_trie, shared_beginnings, turn_lists
+
+    return prefix_trie(shared_beginnings(turn_lists(table(spark, sf_dir, "conversations"))))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallymill.llm.lexical_search import search
+
+    return search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -96,6 +117,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_warc": op9_warc,
     "op10_quality": op10_quality,
+    "op11_chat_format": op11_chat_format,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_lexical_search": op13_lexical_search,
     "pipeline": pipeline,
 }
-ORACLE: dict[str, str] = {"op2_decontamination": OP2, "op4_suffix_dedup": OP4, "op9_warc": OP9}
+ORACLE: dict[str, str] = {
+    "op2_decontamination": OP2, "op4_suffix_dedup": OP4, "op9_warc": OP9, "op11_chat_format": OP11, "op12_prefix_trie": OP12,
+    "op13_lexical_search": OP13,
+}

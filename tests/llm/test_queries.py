@@ -21,5 +21,5 @@ def test_query_equals_sql(spark, name, monkeypatch):
 def test_all_are_registered():
     registered = __spark_entry__.queries()
     assert all(registered[name] is query for name, query in QUERIES.items())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 11)) and "pipeline" in QUERIES
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 14)) and "pipeline" in QUERIES
     assert all(__spark_entry__.oracle_sql()[name] == sql for name, sql in ORACLE.items())
