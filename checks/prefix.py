@@ -144,7 +144,7 @@ auto_rule AS (
   FROM kinds JOIN dim_category d ON d.spendingCategoryName = kinds.category),
 seed_rule(categoryRuleKey, ruleName, sourceAccountType, transactionType, descriptionMatchType, descriptionMatchText,
           category, transactionEventType, rulePriority) AS (VALUES {_seed_rules}),
-map_category_rule AS (
+map_category_rule AS MATERIALIZED (
   SELECT r.categoryRuleKey, r.ruleName, r.sourceAccountType, NULL::VARCHAR AS sourceCategoryName, r.transactionType,
          r.descriptionMatchType, r.descriptionMatchText, d.spendingCategoryKey, r.transactionEventType,
          'rule' AS categoryAssignmentSource, r.rulePriority
@@ -155,7 +155,7 @@ map_category_rule AS (
   FROM auto_rule
   UNION ALL
   SELECT -1, 'Unknown Category Rule', NULL, NULL, NULL, NULL, NULL, -1, 'other', 'fallback', 0),
-hit AS (
+hit AS MATERIALIZED (
   SELECT t.sourceAccountType, t.transactionType, t.text, arg_max(r.categoryRuleKey, r.rulePriority * 100000 + r.categoryRuleKey) AS ruleKey
   FROM (SELECT DISTINCT sourceAccountType, transactionType, transactionRuleMatchText AS text FROM prepared) t
   JOIN (SELECT *, {rule_text('descriptionMatchText')} AS wanted,

@@ -738,7 +738,7 @@ def _(spark, sf):
     return named.select("ruleName", "spendingCategoryName", "transactionEventType", "transactionCount")
 
 
-# Requests of one approval round: order, account, type, event, match type, text, category.
+# Requests: order, account, type, event, match type, text, category.
 REQUESTS = [
     (1, "creditCard", "Sale", "purchase", "contains", "widget brand", "Shopping"),
     (2, "creditCard", "Sale", "purchase", "startsWith", "red", "Gas"),
@@ -789,7 +789,7 @@ def approvals(query_text: str) -> str:
 
 
 def _approved(spark, sf):
-    """A copy of the loaded store in which the requests were approved, in rounds of three."""
+    """A copy of the loaded store in which the requests were approved."""
     from .fixtures import once
 
     def build():
@@ -798,7 +798,7 @@ def _approved(spark, sf):
         for name, rows in layers(spark, sf).tables.items():
             change.put(name, rows)
         change.commit()
-        result = approval.approve_rules(store, literal_rows(spark, REQUESTS, _REQUEST_DDL), batch=3)
+        result = approval.approve_rules(store, literal_rows(spark, REQUESTS, _REQUEST_DDL))
         return store, materialise(result, "approvals")
     return once(spark, sf, "approved", build)
 

@@ -78,8 +78,13 @@ def orphan_counts(facts: DataFrame, references: dict[str, tuple[DataFrame, str]]
 
 def one_row_join(left: DataFrame, right: DataFrame) -> DataFrame:
     """Put two one-row aggregates side by side."""
+    return one_row_beside(left, right)
+
+
+def one_row_beside(rows: DataFrame, one: DataFrame) -> DataFrame:
+    """Rows with the columns of a one-row frame."""
     key = F.lit(1).alias("_row")
-    return left.select("*", key).join(F.broadcast(right.select("*", key)), "_row").drop("_row")
+    return rows.select("*", key).join(F.broadcast(one.select("*", key)), "_row").drop("_row")
 
 
 def names_like(names: DataFrame, name_col: str, patterns: DataFrame, pattern_col: str) -> DataFrame:

@@ -1,17 +1,15 @@
 """Prioritised matching of transactions against a table of description rules.
 
-Whatever the number of rules, they are joined with the distinct texts through text anchors, see `winners_by_anchor`.
+Whatever the number of rules, they are joined with the distinct texts through text anchors, see `text_matches`.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import match_text, tokens
-from .joins import lookup
+from ..sources.store import materialise
+from .joins import lookup, one_row_beside
 
 CLASSIFIERS = ["rule", "manual", "ai"]
 WINNER = "categoryRuleKey long, spendingCategoryKey long, transactionEventType string"
@@ -36,17 +34,14 @@ def token_contains(text: Column, words: Column) -> Column:
     return (F.size(words) > 0) & F.forall(words, lambda w: F.contains(text, w))
 
 
-def text_condition(kind: str, rule_text: str, text: Column, whole_if_short: bool = False) -> Column:
-    """Match of one known rule. `whole_if_short`: a text of one-letter words is searched as a whole (approval);
-    otherwise such a rule never matches (load)."""
-    if kind == "exact":
-        return text == rule_text
-    if kind == "startsWith":
-        return text.startswith(rule_text)
-    words = [w for w in rule_text.split(" ") if len(w) > 1]
-    if not words and whole_if_short:
-        words = [rule_text]
-    return reduce(and_, [text.contains(w) for w in words]) if words else F.lit(False)
+# ---- candidates ------------------------------------------------------------------------------------------------
+#
+# A rule's anchors are pieces that every text it matches must have: the whole text (exact), its first letters
+# (startsWith), pieces of three letters of its words, or a word of two. One of them is enough to find the rule's texts; the
+# one that the fewest texts have finds the fewest that don't match.
+
+# Bits of the filter that tells which pieces of a text are worth keeping. Wrong yeses cost a row, never a match.
+FILTER_BITS = 1 << 16
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -54,43 +49,85 @@ def _grams(text: Column, size: int) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
 
 
+def _inside(text: Column) -> Column:
+    return F.transform(F.concat(_grams(text, 2), _grams(text, 3)), lambda g: F.concat(F.lit("*"), g))
+
+
 def _text_anchors(text: Column) -> Column:
     starts = F.array(*[F.concat(F.lit("^"), F.substring(text, 1, n)) for n in range(4)])
-    inside = F.transform(F.concat(_grams(text, 2), _grams(text, 3)), lambda g: F.concat(F.lit("*"), g))
-    return F.array_distinct(F.concat(F.array(F.concat(F.lit("="), text)), starts, inside))
+    return F.array_distinct(F.concat(F.array(F.concat(F.lit("="), text)), starts, _inside(text)))
+
 
+def _rule_anchors(kind: Column, rule_text: Column, whole_if_short: bool) -> Column:
+    def inside(text: Column) -> Column:
+        return F.transform(_grams(text, 3), lambda g: F.concat(F.lit("*"), g))
 
-def _rule_anchor(kind: Column, rule_text: Column) -> Column:
-    longest = F.element_at(F.array_sort(
-        tokens(rule_text), lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).otherwise(0)
-    ), 1)
+    one = lambda head, text: F.array(F.concat(F.lit(head), text))
+    of_words = F.flatten(F.transform(tokens(rule_text), lambda w: F.when(F.length(w) < 3, one("*", w)).otherwise(inside(w))))
+    # The start of length 0 is one that every text has.
+    short = F.when(F.length(rule_text) < 3, one("^", F.lit(""))).otherwise(inside(rule_text)) if whole_if_short else F.array().cast("array<string>")
     return (
-        F.when(kind == "exact", F.concat(F.lit("="), rule_text))
-        .when(kind == "startsWith", F.concat(F.lit("^"), F.substring(rule_text, 1, 3)))
-        .when(F.size(tokens(rule_text)) > 0, F.concat(F.lit("*"), F.substring(longest, 1, 3)))
+        F.when(kind == "exact", one("=", rule_text))
+        .when(kind == "startsWith", F.concat(one("^", F.substring(rule_text, 1, 3)), inside(rule_text)))
+        .when(kind == "contains", F.when(F.size(tokens(rule_text)) > 0, of_words).otherwise(short))
+        .otherwise(F.array().cast("array<string>"))
+    )
+
+
+def _with_anchors(texts: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(text, anchor) for the anchors of texts that are among the given ones, or take their place in the filter.
+
+    The filter is one row of FILTER_BITS bits, whatever the number of anchors; pieces are dropped before they become rows.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    words = anchors.select(place(F.col("anchor")).alias("p")).groupBy(F.shiftright("p", 6).alias("k")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(p % 64 AS INT))")).alias("w"))
+    held = F.map_from_entries(F.collect_list(F.struct("k", "w")))
+    bits = words.agg(F.transform(
+        F.sequence(F.lit(0), F.lit(FILTER_BITS // 64 - 1)), lambda k: F.coalesce(held[k.cast("bigint")], F.lit(0).cast("bigint"))).alias("bits"))
+
+    def wanted(anchor: Column) -> Column:
+        word = F.element_at("bits", (F.shiftright(place(anchor), 6) + 1).cast("int"))
+        return F.call_function("getbit", word, F.pmod(place(anchor), F.lit(64)).cast("int")) == 1
+
+    return one_row_beside(texts.select("text"), bits).select("text", F.explode(F.filter(_text_anchors(F.col("text")), wanted)).alias("anchor"))
+
+
+def text_matches(texts: DataFrame, rules: DataFrame, whole_if_short: bool = False) -> DataFrame:
+    """Rules (ruleText, descriptionMatchType and further columns), each with every `text` of texts that it matches.
+
+    `texts` has one column `text`, distinct; `rules` a distinct `ruleId`. `whole_if_short`: a contains text of one-letter
+    words is searched as a whole (approval); otherwise such a rule never matches (load).
+    """
+    kind, rule_text = F.col("descriptionMatchType"), F.col("ruleText")
+    anchored = rules.select("ruleId", F.explode(F.array_distinct(_rule_anchors(kind, rule_text, whole_if_short))).alias("anchor"))
+    often = _with_anchors(texts, anchored).groupBy("anchor").agg(F.count("*").alias("texts"))
+    # A rule with an anchor that no text has matches none.
+    rank = F.struct(F.coalesce("texts", F.lit(0)).alias("n"), "anchor")
+    chosen = anchored.join(often, "anchor", "left").groupBy("ruleId").agg(F.min(rank).alias("best")).filter("best.n > 0")
+    chosen = rules.join(chosen.select("ruleId", "best.anchor"), "ruleId")
+    words = tokens(rule_text)
+    contains = F.when(F.size(words) > 0, token_contains(F.col("text"), words)).otherwise(
+        F.contains("text", rule_text) if whole_if_short else F.lit(False))
+    hit = (
+        ((kind == "exact") & (F.col("text") == rule_text)) | ((kind == "startsWith") & F.startswith("text", rule_text))
+        | ((kind == "contains") & contains)
     )
+    return _with_anchors(texts, chosen).join(chosen, "anchor").filter(hit).drop("anchor")
 
 
 def winners_by_anchor(evidence: DataFrame, rules: DataFrame) -> DataFrame:
     """EVIDENCE columns plus the winning rule, for those combinations that any rule matches.
 
-    Every rule has one anchor: its whole text (exact), its first three letters (startsWith) or the first three
-    letters of its longest word (contains). A text that a rule matches has that anchor among its own, so an equi-join
-    on anchors finds all candidates, and the full condition decides. `evidence` should be distinct.
+    Distinct texts meet the rules through `text_matches`, then the combinations of each text the rules it has. `evidence`
+    should be distinct.
     """
-    anchored = rules.withColumn("anchor", _rule_anchor(F.col("descriptionMatchType"), F.col("ruleText")))
-    r = anchored.filter(F.col("anchor").isNotNull()).alias("r")
-    t = evidence.withColumn("anchor", F.explode(_text_anchors(F.col("transactionRuleMatchText")))).alias("t")
-    text, rule_text, kind = F.col("t.transactionRuleMatchText"), F.col("r.ruleText"), F.col("r.descriptionMatchType")
-
-    condition = F.col("t.anchor") == F.col("r.anchor")
+    texts = evidence.select(F.col("transactionRuleMatchText").alias("text")).distinct()
+    r = text_matches(texts, rules.withColumn("ruleId", F.col("categoryRuleKey"))).alias("r")
+    t = evidence.alias("t")
+    condition = F.col("t.transactionRuleMatchText") == F.col("r.text")
     for name in ("sourceAccountType", "sourceCategoryName", "transactionType"):
         condition = condition & (F.col(f"r.{name}").isNull() | (F.col(f"r.{name}") == F.col(f"t.{name}")))
-    condition = condition & (
-        ((kind == "exact") & (text == rule_text))
-        | ((kind == "startsWith") & F.startswith(text, rule_text))
-        | ((kind == "contains") & token_contains(text, tokens(rule_text)))
-    )
     outcome = F.struct(*[F.col(f"r.{c}") for c in ("categoryRuleKey", "spendingCategoryKey", "transactionEventType")])
     rank = F.struct(F.col("r.rulePriority"), F.col("r.categoryRuleKey"))
     return (
@@ -99,16 +136,17 @@ def winners_by_anchor(evidence: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def match_rules(transactions: DataFrame, rules: DataFrame) -> DataFrame:
+def match_rules(transactions: DataFrame, rules: DataFrame, spread: tuple[str, ...] = ("sourceRowIdentifier",)) -> DataFrame:
     """Transactions with a `winner` struct (WINNER), NULL where no rule matches. `rules`: classifying_rules(...).
 
     The highest priority wins, then the largest key; a rule without priority comes after all others, one of an unknown
     match type never matches.
     """
     combined = F.coalesce(F.col("sourceCategoryName"), F.lit(""))
-    winners = winners_by_anchor(transactions.select(EVIDENCE).distinct(), rules)
+    # Written out: the matching reads them several times, and the transactions may be dear to compute.
+    winners = winners_by_anchor(materialise(transactions.select(EVIDENCE).distinct(), "evidence"), rules)
     winners = winners.withColumn("_category", combined).drop("sourceCategoryName")
     on = ["sourceAccountType", "_category", "transactionType", "transactionRuleMatchText"]
     return lookup(
-        transactions.withColumn("_category", combined), winners, on, spread=["sourceRowIdentifier"]
+        transactions.withColumn("_category", combined), winners, on, spread=list(spread)
     ).drop("_category")

@@ -2,24 +2,20 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Row, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.classify import EVENT_TYPES, OPEN_CATEGORIES
 from ..functions.text import hash16, match_text
 from ..operators.constraints import MATCH_TYPES
 from ..operators.joins import lookup
 from ..operators.numbering import dedupe
-from ..operators.rules import text_condition
+from ..operators.rules import text_matches
 from ..sources.store import Store, materialise
 from .silver import upsert_rules
 
 # Fixed values.
 MANUAL_RULE = "Manual Category Rule "
 MANUAL_PRIORITY = 120
-# Requests that one pass over the open facts handles.
-ROUND_REQUESTS = 200
 FIELDS = [
     "sourceAccountType", "transactionType", "transactionEventType", "descriptionMatchType", "descriptionMatchText",
     "spendingCategoryName",
@@ -69,111 +65,82 @@ def manual_rules(prepared: DataFrame) -> DataFrame:
     )
 
 
-def _hits(request: Row) -> Column:
-    text = text_condition(request.descriptionMatchType, request.ruleText, F.col("_text"), whole_if_short=True)
-    return (
-        (F.col("accountType") == request.sourceAccountType) & (F.col("transactionType") == request.transactionType)
-        & (F.col("transactionEventType") == request.transactionEventType) & text
-    )
-
+# What decides whether a request matches an open fact.
+OPEN_EVIDENCE = ["financialAccountKey", "transactionType", "transactionEventType", "transactionDescriptionClean"]
 
-def applied_requests(fact: DataFrame, accounts: DataFrame, categories: DataFrame, requests: list[Row]) -> DataFrame:
-    """Open facts that any of the requests matches, with `applied`: the requests that update the fact, in order.
 
-    Requests act one after another. A fact stays open, and later requests can match it again, until one gives it
-    a real category; so a fact is updated by its matches up to and including the first with a real category.
-    """
+def open_evidence(fact: DataFrame, accounts: DataFrame, categories: DataFrame) -> DataFrame:
+    """The distinct OPEN_EVIDENCE of facts without a real category, with `facts` (how many), `accountType` and match `text`."""
     open_keys = categories.filter(F.col("spendingCategoryName").isin(OPEN_CATEGORIES)).select("spendingCategoryKey")
     rows = lookup(fact, open_keys, ["spendingCategoryKey"], ["transactionKey"], how="left_semi")
-    rows = lookup(
-        rows, accounts.select("financialAccountKey", "accountType"), ["financialAccountKey"], ["transactionKey"], how="inner"
-    ).withColumn("_text", match_text(F.col("transactionDescriptionClean")))
-    ordered = sorted(requests, key=lambda r: r.requestOrder)
-    entry = lambda r: F.struct(
-        F.lit(r.requestOrder).cast("long").alias("requestOrder"),
-        F.lit(r.spendingCategoryKey).cast("long").alias("spendingCategoryKey"),
-        F.lit(r.ruleName).alias("ruleName"),
-        F.lit(r.spendingCategoryName in OPEN_CATEGORIES).alias("staysOpen"),
+    seen = rows.groupBy(OPEN_EVIDENCE).agg(F.count("*").alias("facts"))
+    return seen.join(accounts.select("financialAccountKey", "accountType"), "financialAccountKey").withColumn(
+        "text", match_text(F.col("transactionDescriptionClean")))
+
+
+def applied_requests(evidence: DataFrame, rules: DataFrame) -> DataFrame:
+    """Evidence rows with each request that updates their facts: `rules` are valid prepared requests.
+
+    Requests act one after another. A fact stays open, and later requests can match it again, until one gives it a real
+    category; so a fact is updated by its matches up to and including the first with a real category. Requests meet the
+    distinct texts, all of them in one pass.
+    """
+    known = rules.select(
+        F.col("requestOrder").alias("ruleId"), "requestOrder", "descriptionMatchType", "ruleText", "ruleName", "spendingCategoryKey",
+        "sourceAccountType", F.col("transactionType").alias("_type"), F.col("transactionEventType").alias("_event"),
+        F.col("spendingCategoryName").isin(OPEN_CATEGORIES).alias("staysOpen"),
     )
-    matched = F.filter(
-        F.array(*[F.when(_hits(r), entry(r)) for r in ordered]), lambda m: m.isNotNull()
+    found = text_matches(evidence.select("text").distinct(), known, whole_if_short=True)
+    same = (
+        (F.col("accountType") == F.col("sourceAccountType")) & (F.col("transactionType") == F.col("_type"))
+        & (F.col("transactionEventType") == F.col("_event"))
     )
-    rows = rows.withColumn("_matched", matched).filter(F.size("_matched") > 0)
-    closing = F.array_position(F.transform("_matched", lambda m: m["staysOpen"]), F.lit(False))
-    length = F.when(closing > 0, closing.cast("int")).otherwise(F.size("_matched"))
-    return rows.select("transactionKey", "sourceRowIdentifier", F.slice("_matched", F.lit(1), length).alias("applied"))
+    matched = materialise(evidence.join(found, "text").filter(same).select(
+        *OPEN_EVIDENCE, "facts", "requestOrder", "ruleName", "spendingCategoryKey", "staysOpen"), "matched")
+    closing = matched.filter(~F.col("staysOpen")).groupBy(OPEN_EVIDENCE).agg(F.min("requestOrder").alias("_closing"))
+    both = matched.join(closing, OPEN_EVIDENCE, "left")
+    return both.filter(F.col("_closing").isNull() | (F.col("requestOrder") <= F.col("_closing"))).drop("_closing")
 
 
 def update_counts(applied: DataFrame) -> DataFrame:
     """(requestOrder, updatedTransactionCount) of the requests that updated anything."""
-    return applied.select(F.explode("applied").alias("a")).groupBy(F.col("a.requestOrder").alias("requestOrder")).agg(
-        F.count("*").alias("updatedTransactionCount")
-    )
-
+    return applied.groupBy("requestOrder").agg(F.sum("facts").alias("updatedTransactionCount"))
 
-def last_applied(rounds: list[DataFrame]) -> DataFrame:
-    """Per fact the request that acts last, over all rounds: (sourceRowIdentifier, last)."""
-    rows = None
-    for number, applied in enumerate(rounds):
-        one = applied.select("sourceRowIdentifier", F.element_at("applied", -1).alias("last"), F.lit(number).alias("round"))
-        rows = one if rows is None else rows.unionByName(one)
-    return rows.groupBy("sourceRowIdentifier").agg(F.max_by("last", "round").alias("last"))
 
-
-def updated_facts(fact: DataFrame, changes: DataFrame, rules: DataFrame) -> DataFrame:
-    """Facts with category and rule of the request applied last; event types stay as they are."""
-    keys = rules.select("ruleName", F.col("categoryRuleKey").alias("_rule"))
-    change = changes.select(
-        "sourceRowIdentifier", F.col("last.spendingCategoryKey").alias("_category"), F.col("last.ruleName").alias("ruleName")
-    ).join(keys, "ruleName").drop("ruleName")
-    rows = fact.join(change, "sourceRowIdentifier", "left")
-    hit = F.col("_rule").isNotNull()
-    return rows.withColumns({
-        "spendingCategoryKey": F.when(hit, F.col("_category")).otherwise(F.col("spendingCategoryKey")),
-        "categoryRuleKey": F.when(hit, F.col("_rule")).otherwise(F.col("categoryRuleKey")),
-        "modifiedDatetime": F.when(hit, F.current_timestamp()).otherwise(F.col("modifiedDatetime")),
-    }).select(fact.columns)
+def changed_facts(fact: DataFrame, categories: DataFrame, applied: DataFrame, rules: DataFrame) -> DataFrame:
+    """New values of the open facts that requests update: category and rule of the one that acts last. Event types stay."""
+    keys = rules.select("ruleName", "categoryRuleKey")
+    last = applied.groupBy(OPEN_EVIDENCE).agg(F.max_by(F.struct("spendingCategoryKey", "ruleName"), F.col("requestOrder")).alias("last"))
+    last = materialise(last.select(*OPEN_EVIDENCE, "last.*").join(keys, "ruleName").drop("ruleName"), "last")
+    open_keys = categories.filter(F.col("spendingCategoryName").isin(OPEN_CATEGORIES)).select("spendingCategoryKey")
+    rows = lookup(fact.select("transactionKey", "spendingCategoryKey", *OPEN_EVIDENCE), open_keys, ["spendingCategoryKey"], ["transactionKey"], how="left_semi")
+    return lookup(rows.drop("spendingCategoryKey"), last, OPEN_EVIDENCE, ["transactionKey"], how="inner").select(
+        "transactionKey", "spendingCategoryKey", "categoryRuleKey", "transactionEventType", F.current_timestamp().alias("modifiedDatetime"))
 
 
-def approve_rules(store: Store, requests: DataFrame, batch: int = ROUND_REQUESTS) -> DataFrame:
+def approve_rules(store: Store, requests: DataFrame) -> DataFrame:
     """Store the rules and update the facts, published together; returns one row per request.
 
-    (requestOrder, ruleName, categoryRuleKey, rejectReason, updatedTransactionCount). Requests beyond `batch` are
-    handled in further rounds of that size, in order. Only parts of the fact with updated rows are rewritten. Orders
-    that are missing or shared by requests fail, as nothing would say which of them acts first.
+    (requestOrder, ruleName, categoryRuleKey, rejectReason, updatedTransactionCount). Facts get their new values through a
+    change file; no part of the fact is rewritten. Orders that are missing or shared by requests fail, as nothing would
+    say which of them acts first.
     """
     odd = requests.groupBy("requestOrder").count().filter("count > 1 OR requestOrder IS NULL").limit(1).collect()
     if odd:
         raise ValueError(f"requestOrder {odd[0].requestOrder} is missing or not distinct")
     change = store.begin()
-    categories, accounts = store.table("dimSpendingCategory"), store.table("dimFinancialAccount")
+    categories, accounts, fact = (store.table(t) for t in ("dimSpendingCategory", "dimFinancialAccount", "factTransaction"))
     prepared = materialise(prepare_manual_rules(requests, categories), "requests")
     rules = change.put("mapCategoryRule", upsert_rules(
         store.table("mapCategoryRule"), manual_rules(prepared), order=["requestOrder"], unconditional=True
     ))
-    valid = prepared.filter("rejectReason IS NULL")
-    open_facts, rounds, last = store.table("factTransaction"), [], None
-    while True:
-        rest = valid if last is None else valid.filter(F.col("requestOrder") > last)
-        known = rest.orderBy("requestOrder").limit(batch).collect()
-        if not known:
-            break
-        last = known[-1].requestOrder
-        rounds.append(materialise(applied_requests(open_facts, accounts, categories, known), "applied"))
-        closed = rounds[-1].filter(~F.element_at("applied", -1)["staysOpen"]).select("sourceRowIdentifier")
-        open_facts = open_facts.join(closed, "sourceRowIdentifier", "left_anti")
+    evidence = materialise(open_evidence(fact, accounts, categories), "open-evidence")
+    applied = materialise(applied_requests(evidence, prepared.filter("rejectReason IS NULL")), "applied")
+    if not applied.isEmpty():
+        change.alter("factTransaction", changed_facts(fact, categories, applied, rules))
+    change.commit()
     keys = rules.select("ruleName", "categoryRuleKey")
     result = lookup(prepared.select("requestOrder", "ruleName", "rejectReason"), keys, ["ruleName"], ["requestOrder"]).select(
         "requestOrder", "ruleName", "categoryRuleKey", "rejectReason")
-    if rounds:
-        changes = materialise(last_applied(rounds), "changes")
-        parts = store.parts_with("factTransaction", "sourceRowIdentifier", changes)
-        if parts:
-            fact = store.table("factTransaction", parts=parts)
-            change.replace("factTransaction", parts, updated_facts(fact, changes, rules))
-        counts = reduce(DataFrame.unionByName, [update_counts(applied) for applied in rounds])
-        result = result.join(counts, "requestOrder", "left")
-    else:
-        result = result.withColumn("updatedTransactionCount", F.lit(None).cast("long"))
-    change.commit()
-    return result.withColumn("updatedTransactionCount", F.coalesce("updatedTransactionCount", F.lit(0)))
+    return result.join(update_counts(applied), "requestOrder", "left").withColumn(
+        "updatedTransactionCount", F.coalesce("updatedTransactionCount", F.lit(0)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -23,7 +23,7 @@ from ..operators.joins import lookup
 from ..operators.numbering import dedupe, file_offsets, keys_by_file
 from ..operators.rules import classifying_rules, match_rules
 from ..operators.upsert import changed, insert_ignore, merge_upsert, new_rows
-from ..sources.files import Stage, account_columns
+from ..sources.files import Stage
 from ..sources.seeds import INSTITUTION, seed_categories, seed_rule_rows
 from ..sources.store import Change, Store, materialise
 
@@ -259,19 +259,35 @@ def _file_keys(files: DataFrame, metadata: DataFrame, accounts: DataFrame) -> Da
     return files.select("sourceFileHash", "sourceFileKey").join(known, "sourceFileHash", "left")
 
 
+def auto_outcomes(kinds: DataFrame, rules: DataFrame) -> DataFrame:
+    """Per (account, category, type) its auto rule's key and category, written out, so that a join sees the true size."""
+    auto = rules.select("ruleName", F.col("categoryRuleKey").alias("_autoRule"), F.col("spendingCategoryKey").alias("_autoCategory"))
+    return materialise(kinds.join(auto, "ruleName", "left").select(
+        "sourceAccountType", F.coalesce("sourceCategoryName", F.lit("")).alias("_category"), "transactionType",
+        "defaultCategoryKey", "_autoRule", "_autoCategory", F.col("outcome.event").alias("_defaultEvent"),
+    ), "kinds")
+
+
+def classified(rows: DataFrame, kinds: DataFrame, rules: DataFrame, spread: list[str]) -> DataFrame:
+    """Rows of the unified shape with the category, rule and event that the rules and `auto_outcomes` give them."""
+    unknown = F.lit(-1).cast("long")
+    rows = match_rules(rows, classifying_rules(rules), tuple(spread)).withColumn("_category", F.coalesce("sourceCategoryName", F.lit("")))
+    return lookup(rows, kinds, ["sourceAccountType", "_category", "transactionType"], spread).withColumns({
+        "spendingCategoryKey": F.coalesce("winner.spendingCategoryKey", "_autoCategory", "defaultCategoryKey", unknown),
+        "categoryRuleKey": F.coalesce("winner.categoryRuleKey", "_autoRule", unknown),
+        "transactionEventType": F.coalesce("winner.transactionEventType", "_defaultEvent"),
+    }).drop("winner", "_category", "defaultCategoryKey", "_autoRule", "_autoCategory", "_defaultEvent")
+
+
 def fact_rows(
     prepared: DataFrame, metadata: DataFrame, kinds: DataFrame, tables: dict[str, DataFrame]
 ) -> DataFrame:
     """Staged facts: all keys resolved, final category and event chosen. Every lookup table has one row per key, so
     there is one fact per prepared row."""
     rules = tables["mapCategoryRule"]
-    auto = rules.select("ruleName", F.col("categoryRuleKey").alias("_autoRule"), F.col("spendingCategoryKey").alias("_autoCategory"))
     # One row per (account, category, type): the auto rule is resolved here instead of once per transaction.
     # Lookup tables are written out first, so that the broadcast decision sees their true size.
-    kinds = materialise(kinds.join(auto, "ruleName", "left").select(
-        "sourceAccountType", F.coalesce("sourceCategoryName", F.lit("")).alias("_category"), "transactionType",
-        "defaultCategoryKey", "_autoRule", "_autoCategory",
-    ), "kinds")
+    kinds = auto_outcomes(kinds, rules)
     files = materialise(_file_keys(tables["dimSourceFile"], metadata, tables["dimFinancialAccount"]), "file-keys")
     merchant_rules = tables["mapMerchantRule"].filter(F.col("descriptionMatchType") == "exact").select(
         F.col("descriptionMatchText").alias("merchantNormalizedName"), "merchantKey", "merchantRuleKey"
@@ -283,9 +299,7 @@ def fact_rows(
         .withColumnRenamed("merchantNormalizedName", "transactionDescriptionClean"), "merchant-keys"
     )
     spread = ["sourceRowIdentifier"]
-    rows = match_rules(prepared, classifying_rules(rules))
-    rows = rows.withColumn("_category", F.coalesce("sourceCategoryName", F.lit("")))
-    rows = lookup(rows, kinds, ["sourceAccountType", "_category", "transactionType"], spread)
+    rows = classified(prepared, kinds, rules, spread)
     rows = lookup(rows, files, ["sourceFileHash"], spread, how="inner")
     rows = lookup(rows, merchants, ["transactionDescriptionClean"], spread, {"merchantKey": -1, "merchantRuleKey": -1})
 
@@ -298,8 +312,8 @@ def fact_rows(
         date_key(F.col("postedDate")).alias("postedDateKey"),
         "merchantKey",
         "merchantRuleKey",
-        F.coalesce("winner.spendingCategoryKey", "_autoCategory", "defaultCategoryKey", unknown).alias("spendingCategoryKey"),
-        F.coalesce("winner.categoryRuleKey", "_autoRule", unknown).alias("categoryRuleKey"),
+        "spendingCategoryKey",
+        "categoryRuleKey",
         "sourceRowNumber",
         "sourceRowIdentifier",
         natural_key().alias("transactionNaturalKey"),
@@ -307,7 +321,7 @@ def fact_rows(
         "transactionDescriptionClean",
         "sourceCategoryName",
         "transactionType",
-        F.coalesce("winner.transactionEventType", "outcome.event").alias("transactionEventType"),
+        "transactionEventType",
         "transactionAmount",
     )
 
@@ -371,7 +385,7 @@ def load(store: Store, stage: Stage, fresh: bool = False) -> dict[str, DataFrame
     current = Store(store.spark, f"{store.root}/none") if fresh else store
     if fresh:
         for table in schemas.TABLES:
-            change.entries += [(table, part, None, None) for part in store.parts(table)]
+            change.drop(table)
     one_per_row = (lambda rows: rows) if stage.numbered else unique_grain
     metadata, checking, credit = together(
         store.spark,
@@ -450,18 +464,37 @@ def _transform(
     upsert_by_file(change, "factTransaction", rows, "sourceFileKey", known, before, merge_facts)
 
 
+# What decides a fact's classification, and what it is now.
+DECIDES = ["sourceFileType", "sourceCategoryName", "transactionType", "transactionDescription"]
+DECIDED = ["spendingCategoryKey", "categoryRuleKey", "transactionEventType"]
+
+
 def reclassify(store: Store) -> dict[str, DataFrame]:
-    """Run the Silver transform over all Bronze rows again, after rules have changed."""
+    """Classify all facts again, after rules have changed.
+
+    The rules meet the distinct combinations of what decides and what was decided. Facts of the combinations that come
+    out otherwise than they are get their new values through a change file; no part of the fact is rewritten.
+    """
     change = store.begin()
-    seen = store.table("dimSourceFile").filter(F.col("sourceFileKey") > 0)
-    known = seen.select("sourceFileHash", "sourceFileKey")
-    metadata = materialise(seen.select("sourceFileName", "sourceFileHash", "sourceFileType", "rowCount").withColumns(
-        account_columns(F.col("sourceFileName"), F.col("sourceFileType"))
-    ), "metadata")
-    kinds = {"rawChaseCheckingTransaction": schemas.CHECKING_TYPE, "rawChaseCreditTransaction": schemas.CREDIT_TYPE}
-    checking, credit = [store.table(n).withColumn("sourceFileType", F.lit(kind)) for n, kind in kinds.items()]
-    prepared = materialise(prepare(unify_sources(checking, credit)), "prepared")
-    _transform(change, store, prepared, metadata, known, store.table("mapCategoryRule"))
+    kinds_of = store.table("dimSourceFile").select("sourceFileKey", "sourceFileType")
+    fact = lookup(store.table("factTransaction"), kinds_of, ["sourceFileKey"], ["transactionKey"])
+    now = {f"_{c}": F.col(c) for c in DECIDED}
+    account = F.when(F.col("sourceFileType") == schemas.CREDIT_TYPE, "creditCard").otherwise("checking")
+    seen = fact.groupBy(*DECIDES, *DECIDED).agg(F.count("*").alias("facts"))
+    seen = materialise(seen.withColumns({
+        "sourceAccountType": account, "transactionRuleMatchText": match_text(F.col("transactionDescription")), **now,
+    }).drop(*DECIDED), "combinations")
+    kinds = materialise(observed_kinds(seen, store.table("dimSpendingCategory")), "kinds")
+    rules = change.put("mapCategoryRule", derive_category_rules(store.table("mapCategoryRule"), kinds))
+    again = classified(seen, auto_outcomes(kinds, rules), rules, ["transactionDescription"])
+    other = reduce(or_, [~F.col(c).eqNullSafe(F.col(f"_{c}")) for c in DECIDED])
+    differing = materialise(again.filter(other).select(*DECIDES, *now, *DECIDED), "differing")
+    if not differing.isEmpty():
+        keys = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in DECIDES}
+        plain = differing.withColumns(keys)
+        rows = fact.select("transactionKey", *[F.col(c).alias(f"_{c}") for c in DECIDED], *[value.alias(c) for c, value in keys.items()])
+        rows = lookup(rows, plain, [*DECIDES, *now], ["transactionKey"], how="inner")
+        change.alter("factTransaction", rows.withColumn("modifiedDatetime", F.current_timestamp()))
     tables = {name: change.table(name) for name in schemas.TABLES}
     change.commit()
     return tables

@@ -90,6 +90,15 @@ SILVER_TABLES = [name for name in TABLES if name not in BRONZE_TABLES]
 # How the rows of a large table lie in its files: gathered by the first expression, sorted by the columns after it.
 CLUSTERING = {"factTransaction": ("floor(transactionDateKey / 100)", ["transactionDateKey", "transactionKey"])}
 
+# Columns that a change file may set anew, by generated key, without rewriting the rows (see sources/store.py).
+CHANGEABLE = {"factTransaction": ["spendingCategoryKey", "categoryRuleKey", "transactionEventType", "modifiedDatetime"]}
+
+# Column whose smallest and largest value the commit log keeps for every part.
+PRUNED_BY = {
+    "factTransaction": "sourceFileKey", "rawChaseCheckingTransaction": "sourceFileHash",
+    "rawChaseCreditTransaction": "sourceFileHash", "dimMerchant": "merchantNormalizedName",
+}
+
 # Surrogate key of each table that has a generated one: first value and step are both 100.
 GENERATED_KEYS = {
     "rawChaseCheckingTransaction": "recordKey",

@@ -3,24 +3,35 @@
 A table is the union of its parts. A load writes new parts to fresh folders, then appends one small Parquet file
 to the commit log, which names the parts added and removed. Readers follow the log, so they see all of a load's
 tables or none. The log has one writer at a time.
+
+Values of single rows change without a rewrite: a change file has the generated key of each such row and its new values
+(schemas.CHANGEABLE), and readers put the newest ones in place of the row's own. Change files are parts as well, so they
+become visible with the rest of a commit. Rows that are rewritten take their changes in, and these leave the change files.
+
+The log keeps the number of rows of every part and the range of one column, so counts and the search for parts need no
+scan of the table. Parts are merged by size, see `Store.compact`.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 import re
 import tempfile
 import uuid
 
 from py4j.protocol import Py4JJavaError
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from .. import schemas
 from .literals import literal_rows
 from .seeds import seed_categories, seed_unknown_members
 
-_LOG = "commitId long, tableName string, part string, path string, lastKey long"
+_LOG = "commitId long, tableName string, part string, path string, lastKey long, rowCount long, low string, high string"
+# Parts of a size that are merged into one of the next, and rows from which a part stays as it is.
+FAN, FULL_ROWS = 8, 200_000_000
+# Change files are folded into the rows when they have more than this share of a table's rows.
+FOLD_SHARE = 1 / 16
 
 
 @functools.cache
@@ -43,6 +54,37 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def changes_of(table: str) -> str:
+    """Name under which the log lists a table's change files."""
+    return f"{table}.changes"
+
+
+def ddl_of(table: str) -> str:
+    """Columns of a table, or of its change files."""
+    base, _, changes = table.partition(".")
+    if not changes:
+        return schemas.TABLES[table]
+    kinds = {field.split()[0]: field for field in schemas.TABLES[base].split(", ")}
+    return ", ".join([kinds[schemas.GENERATED_KEYS[base]], "changeNumber long", *[kinds[c] for c in schemas.CHANGEABLE[base]]])
+
+
+def overlaid(table: str, rows: DataFrame, changes: DataFrame | None) -> DataFrame:
+    """Rows with the newest changed values in place of their own."""
+    if changes is None:
+        return rows
+    key, names = schemas.GENERATED_KEYS[table], schemas.CHANGEABLE[table]
+    newest = changes.groupBy(key).agg(F.max_by(F.struct(*names), F.col("changeNumber")).alias("_new"))
+    both, changed = rows.join(newest, key, "left"), F.col("_new").isNotNull()
+    return both.select(*[
+        F.when(changed, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in names else F.col(c) for c in rows.columns
+    ])
+
+
+def range_text(c: Column, kind: str) -> Column:
+    """A value as the log keeps it: text in the order of the values."""
+    return F.lpad(c.cast("string"), 20, "0") if kind == "bigint" else c.cast("string")
+
+
 class Store:
     """Current rows of all tables under one root folder."""
 
@@ -50,25 +92,29 @@ class Store:
         self.spark, self.root = spark, root.rstrip("/")
         self._seen: tuple[list, dict[str, int]] | None = None
 
+    def _file(self, name: str):
+        """A path below the root and its file system."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def _log(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema(_LOG).parquet(f"{self.root}/commits")
-        except AnalysisException as problem:
-            if problem.getCondition() == "PATH_NOT_FOUND":
-                return None
-            raise
+        path, system = self._file("commits")
+        return self.spark.read.schema(_LOG).parquet(f"{self.root}/commits") if system.exists(path) else None
 
     def _entries(self) -> tuple[list, dict[str, int]]:
-        """(tableName, part, path) of the parts that are current, and the last key of each table. What was replaced stays
-        in the log and is not collected."""
+        """The log's entries of the parts that are current, oldest first, and the last key of each table. What was replaced
+        stays in the log and is not collected."""
         if self._seen is None:
             log = self._log()
             if log is None:
                 self._seen = [], {}
             else:
-                newest = log.groupBy("tableName", "part").agg(F.max_by(F.col("path"), F.col("commitId")).alias("path"))
+                entry = F.struct("path", "rowCount", "low", "high", "commitId")
+                newest = log.groupBy("tableName", "part").agg(F.max_by(entry, F.col("commitId")).alias("e"))
                 keys = log.groupBy("tableName").agg(F.max("lastKey").alias("lastKey")).collect()
-                self._seen = newest.filter("path IS NOT NULL").collect(), {k.tableName: k.lastKey or 0 for k in keys}
+                current = newest.filter("e.path IS NOT NULL").select("tableName", "part", "e.*").collect()
+                current.sort(key=lambda e: (e.commitId, e.part))
+                self._seen = current, {k.tableName: k.lastKey or 0 for k in keys}
         return self._seen
 
     def last_commit(self) -> int:
@@ -78,8 +124,7 @@ class Store:
 
     def claim(self, number: int) -> None:
         """Take a commit number: its empty file is created, and must not be there yet."""
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/claims/{number}")
-        system = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        path, system = self._file(f"claims/{number}")
         try:
             system.create(path, False).close()
         except Py4JJavaError as problem:
@@ -101,6 +146,20 @@ class Store:
         """Last surrogate key ever given out, from the log instead of a scan."""
         return self._entries()[1].get(table, 0)
 
+    def sizes(self, table: str) -> dict[str, int | None]:
+        """Rows of each current part, from the log; None for parts of logs that don't have it."""
+        return {e.part: e.rowCount for e in self._entries()[0] if e.tableName == table}
+
+    def row_count(self, table: str) -> int | None:
+        """Rows of the table, from the log; None where it doesn't tell."""
+        sizes = list(self.sizes(table).values())
+        return sum(sizes) if sizes and None not in sizes else None
+
+    def changes(self, table: str) -> DataFrame | None:
+        """All rows of the table's change files, if there are any."""
+        paths = list(self.parts(changes_of(table)).values())
+        return self.spark.read.schema(ddl_of(changes_of(table))).parquet(*paths) if paths else None
+
     def table(self, table: str, parts: list[str] | None = None) -> DataFrame:
         """Current rows, or the seed rows of a table that was never written; `parts` reads only those."""
         known = self.parts(table)
@@ -111,26 +170,61 @@ class Store:
         paths = [path for part, path in known.items() if parts is None or part in parts]
         if not paths:
             return literal_rows(self.spark, [], schemas.TABLES[table])
-        return self.spark.read.schema(schemas.TABLES[table]).parquet(*paths)
+        return overlaid(table, self.spark.read.schema(schemas.TABLES[table]).parquet(*paths), self.changes(table))
 
     def parts_with(self, table: str, column: str, values: DataFrame) -> list[str]:
-        """Parts that hold rows with one of the given values (a frame with that column)."""
-        if not self.parts(table):
+        """Parts that hold rows with one of the given values (a frame with that column). Only parts whose range of the
+        column, by the log, meets that of the values are looked into."""
+        entries = [e for e in self._entries()[0] if e.tableName == table]
+        if schemas.PRUNED_BY.get(table) == column:
+            kind = schemas.struct(schemas.TABLES[table])[column].dataType.simpleString()
+            text = range_text(F.col(column), kind)
+            low, high = values.agg(F.min(text), F.max(text)).first()
+            entries = [e for e in entries if low is not None and (e.low is None or (e.low <= high and low <= e.high))]
+        if not entries:
             return []
         part = F.regexp_extract("_path", f"/{table}/([0-9a-f]+)/", 1).alias("part")
-        rows = self.table(table).select(column, F.col("_metadata.file_path").alias("_path"))
-        found = rows.join(values.select(column), column, "left_semi").select(part).distinct()
+        rows = self.spark.read.schema(schemas.TABLES[table]).parquet(*[e.path for e in entries])
+        rows = rows.select(column, F.col("_metadata.file_path").alias("_path"))
+        found = rows.join(values.select(column).distinct(), column, "left_semi").select(part).distinct()
         return [row.part for row in found.collect()]
 
-    def compact(self, most_parts: int = 16) -> list[str]:
-        """Write each table of more than `most_parts` parts as one part; returns the tables rewritten."""
-        many = [table for table in schemas.TABLES if len(self.parts(table)) > most_parts]
-        if many:
-            change = self.begin()
-            for table in many:
-                change.put(table, self.table(table))
+    def compact(self, fan: int = FAN, full_rows: int = FULL_ROWS, fold_share: float = FOLD_SHARE) -> dict[str, int]:
+        """Merge parts by size; returns the rows rewritten, by table.
+
+        A part's tier is the power of `fan` in its number of rows. `fan` neighbours (by age) of one tier become one
+        part of a higher tier, so a row is rewritten once per tier: over n loads as n log n, and a part of `full_rows`
+        never again. Change files are merged likewise; the parts that they are about are rewritten once the files
+        have more than `fold_share` of the table's rows.
+        """
+        change, written = self.begin(), {}
+
+        def merge(table: str, parts: list[str]) -> None:
+            if table in schemas.TABLES:
+                change.replace(table, parts, self.table(table, parts=parts))
+            else:
+                paths = [self.parts(table)[part] for part in parts]
+                change.replace(table, parts, self.spark.read.schema(ddl_of(table)).parquet(*paths))
+            written[table] = written.get(table, 0) + change.entry_rows(table)
+
+        for table in schemas.TABLES:
+            changes = changes_of(table)
+            sizes = {part: n or 0 for part, n in self.sizes(table).items()}
+            changed = sum(n or 0 for n in self.sizes(changes).values())
+            if changed > fold_share * sum(sizes.values()):
+                key = schemas.GENERATED_KEYS[table]
+                parts = self.parts_with(table, key, self.changes(table).select(key))
+                for part in parts:
+                    merge(table, [part])
+                sizes = {part: n for part, n in sizes.items() if part not in parts}
+            else:
+                for group in neighbours({p: n or 0 for p, n in self.sizes(changes).items()}, fan, math.inf):
+                    merge(changes, group)
+            for group in neighbours(sizes, fan, full_rows):
+                merge(table, group)
+        if change.entries:
             change.commit()
-        return many
+        return written
 
     def begin(self) -> "Change":
         return Change(self)
@@ -141,6 +235,22 @@ class Store:
             self.table(name).createOrReplaceTempView(f"{layer}_{name}")
 
 
+def tier(rows: int, fan: int) -> int:
+    found = 0
+    while rows >= fan:
+        rows, found = rows // fan, found + 1
+    return found
+
+
+def neighbours(sizes: dict[str, int], fan: int, full_rows: float) -> list[list[str]]:
+    """Groups of `fan` parts of one tier, in the order given; parts of `full_rows` are left out."""
+    by_tier: dict[int, list[str]] = {}
+    for part, rows in sizes.items():
+        if rows < full_rows:
+            by_tier.setdefault(tier(rows, fan), []).append(part)
+    return [parts[k:k + fan] for parts in by_tier.values() for k in range(0, len(parts) - fan + 1, fan)]
+
+
 class Change:
     """New parts written by one load; readers see none of them before `commit`."""
 
@@ -149,42 +259,86 @@ class Change:
         self.base = store.last_commit()
 
     def last_key(self, table: str) -> int:
-        written = [key for name, _, path, key in self.entries if name == table and path and key]
+        written = [key for name, _, path, key, *_ in self.entries if name == table and path and key]
         return max([self.store.last_key(table), *written])
 
+    def entry_rows(self, table: str) -> int:
+        """Rows of the part of the table that was written last."""
+        return next(rows for name, _, path, _, rows, *_ in reversed(self.entries) if name == table and path)
+
     def append(self, table: str, df: DataFrame) -> DataFrame:
         """Add rows as a new part; existing parts are not read or written. Returns the new rows."""
         part = uuid.uuid4().hex
         path = f"{self.store.root}/{table}/{part}"
-        rows = df.select(schemas.columns(table))
+        kinds = {f.name: f.dataType.simpleString() for f in schemas.struct(ddl_of(table))}
+        rows = df.select(*kinds)
+        key, pruned = schemas.GENERATED_KEYS.get(table), schemas.PRUNED_BY.get(table)
+        # Counted while the part is written: no second pass over its rows.
+        numbers = {"n": F.count(F.lit(1))}
+        if key:
+            numbers["key"] = F.max(key)
+        if pruned:
+            numbers |= {"low": F.min(range_text(F.col(pruned), kinds[pruned])), "high": F.max(range_text(F.col(pruned), kinds[pruned]))}
         if table in schemas.CLUSTERING:
             # Files of even size, however uneven the groups are; a date window then reads few of them.
             group, order = schemas.CLUSTERING[table]
             rows = rows.withColumn("_group", F.expr(group)).hint("rebalance", "_group").sortWithinPartitions(*order).drop("_group")
-        rows.write.parquet(path)
-        written = self.spark.read.schema(schemas.TABLES[table]).parquet(path)
-        key = schemas.GENERATED_KEYS.get(table)
-        self.entries.append((table, part, path, written.agg(F.max(key)).first()[0] if key else None))
-        return written
+        seen = Observation()
+        rows.observe(seen, *[value.alias(name) for name, value in numbers.items()]).write.parquet(path)
+        found = seen.get
+        self.entries.append((table, part, path, found.get("key"), found["n"], found.get("low"), found.get("high")))
+        return self.spark.read.schema(ddl_of(table)).parquet(path)
+
+    def remove(self, table: str, parts: list[str]) -> None:
+        """Parts that were current go with the commit; those of this change have not been seen by anyone."""
+        self.entries = [e for e in self.entries if e[0] != table or e[1] not in parts]
+        known = self.store.parts(table)
+        self.entries += [(table, part, None, None, None, None, None) for part in parts if part in known]
 
     def replace(self, table: str, parts: list[str], df: DataFrame) -> DataFrame:
-        """Put rows in place of whole parts. Returns the new rows."""
+        """Put rows in place of whole parts. Returns the new rows.
+
+        The rows have been read with their changes, so these are taken out of the change files.
+        """
         written = self.append(table, df)
-        self.entries += [(table, part, None, None) for part in parts]
+        self.remove(table, parts)
+        changes = changes_of(table)
+        if table in schemas.CHANGEABLE and parts and (paths := self._paths(changes)):
+            key = schemas.GENERATED_KEYS[table]
+            rows = self.spark.read.schema(ddl_of(changes)).parquet(*paths.values())
+            left = materialise(rows.join(written.select(key), key, "left_anti"), "changes-left")
+            if not left.isEmpty():
+                self.append(changes, left)
+            self.remove(changes, list(paths))
         return written
 
     def put(self, table: str, df: DataFrame) -> DataFrame:
         """Replace the whole table."""
-        return self.replace(table, list(self.store.parts(table)), df)
+        written = self.append(table, df)
+        self.drop(table)
+        return written
 
-    def table(self, table: str) -> DataFrame:
-        """The table as it will be after the commit."""
+    def drop(self, table: str) -> None:
+        """Remove the parts and change files that were there before."""
+        for name in (table, changes_of(table)):
+            self.remove(name, list(self.store.parts(name)))
+
+    def alter(self, table: str, rows: DataFrame) -> None:
+        """Give rows new values: `rows` has the generated key and the columns of schemas.CHANGEABLE, one row per key."""
+        self.append(changes_of(table), rows.withColumn("changeNumber", F.lit(self.base + 1).cast("long")))
+
+    def _paths(self, table: str) -> dict[str, str]:
         paths = self.store.parts(table)
-        for name, part, path, _ in self.entries:
+        for name, part, path, *_ in self.entries:
             if name == table:
                 paths[part] = path
-        current = [path for path in paths.values() if path]
-        return self.spark.read.schema(schemas.TABLES[table]).parquet(*current)
+        return {part: path for part, path in paths.items() if path}
+
+    def table(self, table: str) -> DataFrame:
+        """The table as it will be after the commit."""
+        rows = self.spark.read.schema(schemas.TABLES[table]).parquet(*self._paths(table).values())
+        changes = self._paths(changes_of(table))
+        return overlaid(table, rows, self.spark.read.schema(ddl_of(changes_of(table))).parquet(*changes.values()) if changes else None)
 
     def commit(self) -> int:
         """Make the parts current. Of two writers that saw the same log, the second fails and publishes nothing."""

@@ -187,9 +187,11 @@ def test_approval(spark, loaded, tmp_path):
         (8, "checking", "DEBIT_CARD", "purchase", "contains", "one", "Yachts"),
         (9, "creditCard", "Sale", "purchase", "exact", " CAFE!", "Dining"),
     ], REQUEST)
-    for batch in (200, 2):
-        copy = copy_of(store, tmp_path / f"copy{batch}")
-        result = {r.requestOrder: r for r in approval.approve_rules(copy, requests, batch=batch).collect()}
+    for order in ("requestOrder", "-requestOrder"):
+        copy = copy_of(store, tmp_path / f"copy{order}")
+        parts = copy.parts("factTransaction")
+        result = {r.requestOrder: r for r in approval.approve_rules(copy, requests.orderBy(F.expr(order))).collect()}
+        assert copy.parts("factTransaction") == parts and len(copy.parts("factTransaction.changes")) == 1
         assert {n: r.updatedTransactionCount for n, r in result.items()} == {1: 2, 2: 2, 3: 0, 4: 1, 5: 0, 6: 0, 7: 0, 8: 0, 9: 0}
         assert {n: r.rejectReason for n, r in result.items() if r.rejectReason} == {
             6: "match type", 7: "blank match text", 8: "unknown or inactive category",
@@ -202,6 +204,11 @@ def test_approval(spark, loaded, tmp_path):
         manual = copy.table("mapCategoryRule").filter("categoryAssignmentSource = 'manual'").orderBy("categoryRuleKey").collect()
         assert len(manual) == 5 and {r.rulePriority for r in manual} == {120}
         assert manual[0].descriptionMatchText == "SHOP"
+        # Rows that are rewritten take their changes in: the table stays as it is, and the change files go.
+        change = copy.begin()
+        change.replace("factTransaction", list(parts), copy.table("factTransaction"))
+        change.commit()
+        assert facts({name: copy.table(name) for name in schemas.TABLES}) == after and not copy.parts("factTransaction.changes")
 
 
 def test_approval_of_one_letter_text_searches_the_whole_text(spark, loaded, tmp_path):
@@ -289,7 +296,8 @@ def test_a_date_window_reads_few_files_and_parts_are_compacted(spark, tmp_path):
             change.append("factTransaction", rows(start))
             change.commit()
         assert len(store.parts("factTransaction")) == 3
-        assert store.compact(most_parts=3) == [] and store.compact(most_parts=2) == ["factTransaction"]
+        assert store.row_count("factTransaction") == 18000
+        assert store.compact(fan=4) == {} and store.compact(fan=3, full_rows=6000) == {} and store.compact(fan=3) == {"factTransaction": 18000}
     finally:
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     fact = store.table("factTransaction")
@@ -300,6 +308,71 @@ def test_a_date_window_reads_few_files_and_parts_are_compacted(spark, tmp_path):
     assert everything > 4 and window <= everything / 2
 
 
+def test_rows_are_rewritten_once_per_tier(spark, tmp_path):
+    """Of 32 loads each row is written at most log(32) times again, and the largest parts stay."""
+    store, rewritten, most = Store(spark, str(tmp_path / "store")), 0, 0
+    rows = spark.range(20).select(*[
+        (F.col("id") if f.name == "merchantKey" else F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.struct(schemas.TABLES["dimMerchant"])])
+    for load in range(32):
+        change = store.begin()
+        change.append("dimMerchant", rows.withColumn("merchantKey", F.col("merchantKey") + 100 * load))
+        change.commit()
+        rewritten += sum(store.compact(fan=4, full_rows=320).values())
+        most = max(most, len(store.parts("dimMerchant")))
+    while more := store.compact(fan=4, full_rows=320):
+        rewritten += sum(more.values())
+    assert store.row_count("dimMerchant") == 640 == store.table("dimMerchant").select("merchantKey").distinct().count()
+    assert sorted(store.sizes("dimMerchant").values()) == [320, 320] and most <= 8
+    assert rewritten == 640 * 2
+
+
+def test_change_files(spark, tmp_path):
+    """The newest change counts, is merged and folded, and counts again after its row was rewritten."""
+    store, names = Store(spark, str(tmp_path / "store")), schemas.columns("factTransaction")
+    ddl = {f.name: f.dataType for f in schemas.struct(schemas.TABLES["factTransaction"])}
+
+    def alter(keys, category):
+        change = store.begin()
+        change.alter("factTransaction", spark.createDataFrame([(k,) for k in keys], "transactionKey long").selectExpr(
+            "transactionKey", f"{category}L AS spendingCategoryKey", "1L AS categoryRuleKey", "'fee' AS transactionEventType", "current_timestamp() AS modifiedDatetime"))
+        change.commit()
+
+    def categories():
+        return {r.transactionKey: r.spendingCategoryKey for r in Store(spark, store.root).table("factTransaction").collect()}
+
+    want = {}
+    for part in range(3):
+        change = store.begin()
+        filled = {"transactionKey": F.col("id"), "spendingCategoryKey": F.lit(0), "sourceFileKey": F.lit(part)}
+        change.append("factTransaction", spark.range(100 * part, 100 * part + 100).select(*[filled.get(n, F.lit(None)).cast(ddl[n]).alias(n) for n in names]))
+        change.commit()
+        want |= dict.fromkeys(range(100 * part, 100 * part + 100), 0)
+    parts = store.parts("factTransaction")
+    for keys, category in (([1, 2, 150], 7), ([2, 250], 8), ([2], 9)):
+        alter(keys, category)
+        want |= dict.fromkeys(keys, category)
+    assert categories() == want and store.parts("factTransaction") == parts and len(store.parts("factTransaction.changes")) == 3
+    assert store.table("factTransaction", parts=[p for p in parts][:1]).filter("spendingCategoryKey > 0").count() == 2
+    # Three files of one size become one; nothing else is rewritten.
+    assert set(store.compact(fan=3, full_rows=1)) <= {"factTransaction.changes"} and categories() == want
+    # A rewritten part takes its changes in, the others keep theirs.
+    first = store.parts_with("factTransaction", "transactionKey", spark.range(1, 2).withColumnRenamed("id", "transactionKey"))
+    change = store.begin()
+    change.replace("factTransaction", first, store.table("factTransaction", parts=first).withColumn(
+        "spendingCategoryKey", F.when(F.col("transactionKey") == 2, 5).otherwise(F.col("spendingCategoryKey")).cast("long")))
+    assert {r.transactionKey: r.spendingCategoryKey for r in change.table("factTransaction").collect()} == want | {2: 5}
+    change.commit()
+    want[2] = 5
+    assert categories() == want and store.changes("factTransaction").count() == 2
+    alter([2], 6)
+    want[2] = 6
+    assert categories() == want
+    # Beyond the share, changes are folded into the parts that they are about.
+    untouched = store.parts("factTransaction")
+    assert store.compact(fan=50, fold_share=0.001) == {"factTransaction": 300} or len(untouched) == 3
+    assert categories() == want and store.changes("factTransaction") is None and store.row_count("factTransaction") == 300
+
+
 def test_commit_log_faults_and_second_writers(spark, tmp_path):
     from pyspark.errors import AnalysisException
 
