@@ -14,11 +14,14 @@ from .. import schemas
 from ..operators.joins import lookup
 from ..operators.numbering import dedupe
 from .literals import literal_rows
+from .records import broken_files, one_spelling, read_broken
 from .store import materialise
 
 CSV_GLOB = "*.[cC][sS][vV]"
 # Bytes of a file that are in memory at once while it is profiled.
 CHUNK_BYTES = 8 << 20
+# Files that one scan is planned from.
+GROUP_FILES = 20_000
 # Fixed value: an isolated group of exactly four digits in a file name.
 FOUR_DIGITS = r"(?<!\d)(\d{4})(?!\d)"
 
@@ -40,6 +43,9 @@ class Stage:
 def _binary_files(spark: SparkSession, root: str | list[str]) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if isinstance(root, str):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return literal_rows(spark, [], "path string, length long")
         reader = reader.option("pathGlobFilter", CSV_GLOB)
     return reader.load(root)
 
@@ -50,9 +56,8 @@ def discover_files(spark: SparkSession, root: str | list[str]) -> DataFrame:
 
 
 def _profile(chunk_bytes: int):
-    """Profile of whole files, read in chunks: hash, first line, and whether a line break stands inside quotes."""
+    """Profile of whole files, read in chunks: hash and first line."""
     def profile(batches):
-        import numpy as np
         from pyarrow import fs
 
         for batch in batches:
@@ -62,7 +67,7 @@ def _profile(chunk_bytes: int):
                     system, name = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
                 else:
                     system, name = fs.FileSystem.from_uri(quote(path, safe=":/@"))
-                digest, head, in_head, quotes, broken = hashlib.sha256(), [], True, 0, False
+                digest, head, in_head = hashlib.sha256(), [], True
                 with system.open_input_stream(name) as stream:
                     while chunk := stream.read(chunk_bytes):
                         digest.update(chunk)
@@ -70,22 +75,18 @@ def _profile(chunk_bytes: int):
                             line = re.split(rb"[\r\n]", chunk, maxsplit=1)
                             head.append(line[0])
                             in_head = len(line) == 1
-                        data = np.frombuffer(chunk, np.uint8)
-                        before = quotes + np.cumsum(data == 34)
-                        broken = broken or bool((before[data == 10] % 2).any())
-                        quotes = int(before[-1])
                 # Bytes that are no UTF-8 may spoil a name, and so the file's shape, but not the load.
-                rows.append((path, digest.hexdigest(), b"".join(head).decode("utf-8", "replace"), broken))
-            yield pd.DataFrame(rows, columns=["path", "sourceFileHash", "head", "brokenLines"])
+                rows.append((path, digest.hexdigest(), b"".join(head).decode("utf-8", "replace")))
+            yield pd.DataFrame(rows, columns=["path", "sourceFileHash", "head"])
 
     return profile
 
 
 def file_contents(spark: SparkSession, root: str | list[str], chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(path, sourceFileHash, head, brokenLines): SHA-256 of the bytes, the header line, and whether any row has a line
-    break inside quotes. Files are streamed, so their size does not matter."""
+    """(path, sourceFileHash, head): SHA-256 of the bytes, and the header line. Files are streamed, so their size does
+    not matter."""
     paths = _binary_files(spark, root).select("path")
-    return paths.mapInPandas(_profile(chunk_bytes), "path string, sourceFileHash string, head string, brokenLines boolean")
+    return paths.mapInPandas(_profile(chunk_bytes), "path string, sourceFileHash string, head string")
 
 
 def header_names(head: Column) -> Column:
@@ -129,7 +130,7 @@ def classify_files(contents: DataFrame) -> DataFrame:
         .withColumns(account_columns(F.col("sourceFileName"), F.col("sourceFileType")))
         .select(
             "sourceFileName", F.col("path").alias("sourceFilePath"), "sourceFileHash", "sourceFileType",
-            "accountType", "accountLastFour", "layout", "brokenLines",
+            "accountType", "accountLastFour", "layout",
         )
     )
 
@@ -139,30 +140,33 @@ def skipped_files(contents: DataFrame) -> DataFrame:
     return shaped_files(contents).filter(F.col("sourceFileType").isNull()).select("path", "sourceFileHash", "head").orderBy("path")
 
 
-def _one_spelling(path: Column) -> Column:
-    """Scans write a local path as file:///a%20b where listings write file:/a b."""
-    return F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
+# A field of a record, with the comma before it.
+_FIELDS = r'(?:^|,)("(?:[^"]|"")*"[^,]*|[^,]*)'
 
 
-def read_rows(
-    spark: SparkSession, paths: list[str], layout: list[str], headers: dict[str, str], multi_line: bool = False
-) -> DataFrame:
+def _named(rows: DataFrame, path: Column, layout: list[str], headers: dict[str, str], *place: str) -> DataFrame:
+    """The wanted columns of parsed rows. A row with anything in a field beyond the header fails, wherever it stands: such
+    rows come with their text, as they have more fields than columns."""
+    beyond = F.slice(F.regexp_extract_all("_corrupt", F.lit(_FIELDS), F.lit(1)), len(layout) + 1, 1 << 20)
+    surplus = F.exists(beyond, lambda f: F.regexp_replace(f, r'[\s"]', "") != "")
+    checked = F.when(F.coalesce(surplus, F.lit(False)), F.raise_error(F.concat(F.lit("a row has more fields than the header: "), path))).otherwise(path)
+    return rows.select(*[F.col(f"`{header}`").alias(name) for header, name in headers.items()], checked.alias("_path"), *place)
+
+
+def _row_schema(layout: list[str]) -> str:
+    return ", ".join(f"`{name.replace('`', '``')}` string" for name in [*layout, "_corrupt"])
+
+
+def read_rows(spark: SparkSession, paths: list[str], layout: list[str], headers: dict[str, str]) -> DataFrame:
     """All-text rows of files that share one header layout, with their place: block and slot.
 
-    A row with more fields than the header fails. Line breaks inside quotes need `multi_line`, which keeps Spark
-    from splitting a file. Blocks depend on how this scan splits the files: number rows from one written copy.
+    No record has more than one line. Blocks depend on how this scan splits the files: number rows from one written copy.
     """
-    surplus = "_surplus"
-    schema = ", ".join(f"`{name.replace('`', '``')}` string" for name in [*layout, surplus])
-    raw = spark.read.schema(schema).options(header=True, quote='"', escape='"', multiLine=multi_line).csv(paths)
-    path = _one_spelling(F.col("_metadata.file_path"))
-    checked = F.when(F.col(surplus).isNull(), path).otherwise(
-        F.raise_error(F.concat(F.lit("a row has more fields than the header: "), path)))
-    return raw.select(
-        *[F.col(f"`{header}`").alias(name) for header, name in headers.items()],
-        checked.alias("_path"), F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_slot"),
-    )
+    raw = spark.read.schema(_row_schema(layout)).options(
+        header=True, quote='"', escape='"', columnNameOfCorruptRecord="_corrupt").csv(paths)
+    rows = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                      F.monotonically_increasing_id().alias("_slot"))
+    return _named(rows, one_spelling(F.col("_file")), layout, headers, "_block", "_slot")
 
 
 def file_blocks(rows: DataFrame) -> DataFrame:
@@ -187,35 +191,52 @@ def with_row_number(rows: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def with_lineage(rows: DataFrame, files: DataFrame) -> DataFrame:
     lineage = files.select(
-        _one_spelling(F.col("sourceFilePath")).alias("_path"), "sourceFileName", "sourceFileHash", "sourceFileType"
+        one_spelling(F.col("sourceFilePath")).alias("_path"), "sourceFileName", "sourceFileHash", "sourceFileType"
     )
     return lookup(rows, lineage, ["_path"], spread=["sourceRowNumber"], how="inner").drop("_path")
 
 
-def _stage_rows(spark: SparkSession, files: DataFrame, kind: str, headers: dict[str, str], ddl: str, multi_line: bool):
-    """Staged rows of one file type and the rows per path. Only file names go through the driver, as for any
-    listing that Spark plans a scan from. Rows are read once, into a copy that both numbers and counts come from."""
-    groups: dict[tuple, list[str]] = {}
-    listed = files.filter(F.col("sourceFileType") == kind).select("layout", "brokenLines", "sourceFilePath")
-    for row in sorted(listed.collect(), key=lambda r: r.sourceFilePath):
-        groups.setdefault((tuple(row.layout), multi_line or row.brokenLines), []).append(row.sourceFilePath)
+def _in_groups(rows: DataFrame, size: int):
+    """(layout, paths) of up to `size` files each; the driver holds the paths of one group at a time."""
+    for row in rows.select("layout").distinct().collect():
+        same, last = rows.filter(F.col("layout") == F.lit(row.layout)).select("sourceFilePath"), ""
+        while paths := [r.sourceFilePath for r in same.filter(F.col("sourceFilePath") > last).orderBy("sourceFilePath").limit(size).collect()]:
+            yield list(row.layout), paths
+            last = paths[-1]
+
+
+def _stage_rows(
+    spark: SparkSession, files: DataFrame, kind: str, headers: dict[str, str], ddl: str, multi_line: bool, group: int
+) -> tuple[DataFrame, DataFrame]:
+    """Staged rows of one file type and the rows per path. Rows are read once, into a copy that both numbers and counts
+    come from. Files are scanned in groups, whose paths alone go through the driver."""
     staged, counts = literal_rows(spark, [], ddl), literal_rows(spark, [], "_path string, rowCount long")
-    for (layout, broken), paths in groups.items():
-        rows = materialise(read_rows(spark, paths, list(layout), headers, broken), "raw")
-        blocks = materialise(file_blocks(rows), "blocks")
-        staged = staged.unionByName(with_lineage(with_row_number(rows, blocks), files))
-        counts = counts.unionByName(blocks.groupBy("_path").agg(F.sum("_n").alias("rowCount")))
+    for layout, paths in _in_groups(files.filter(F.col("sourceFileType") == kind), group):
+        spelled = dict(literal_rows(spark, [(p,) for p in paths], "p string").select("p", one_spelling(F.col("p"))).collect())
+        found = set(spelled.values() if multi_line else broken_files(spark, paths))
+        broken, plain = [p for p in paths if spelled[p] in found], [p for p in paths if spelled[p] not in found]
+        if plain:
+            rows = materialise(read_rows(spark, plain, layout, headers), "raw")
+            blocks = materialise(file_blocks(rows), "blocks")
+            staged = staged.unionByName(with_lineage(with_row_number(rows, blocks), files))
+            counts = counts.unionByName(blocks.groupBy("_path").agg(F.sum("_n").alias("rowCount")))
+        if broken:
+            parsed = read_broken(spark, broken, _row_schema(layout))
+            rows = materialise(_named(parsed, F.col("_path"), layout, headers, "sourceRowNumber"), "raw")
+            staged = staged.unionByName(with_lineage(rows, files))
+            counts = counts.unionByName(rows.groupBy("_path").agg(F.count("*").alias("rowCount")))
     return staged, counts
 
 
 def stage_files(
-    spark: SparkSession, root: str | list[str], known_hashes: DataFrame | None = None, multi_line: bool = False
+    spark: SparkSession, root: str | list[str], known_hashes: DataFrame | None = None, multi_line: bool = False,
+    group: int = GROUP_FILES,
 ) -> Stage:
     """Profile and read all supported files below the root, or the given ones.
 
     Of files with equal bytes the one with the lowest name is read. With `known_hashes` (a sourceFileHash
-    column), files already loaded are skipped. Files with line breaks inside quotes are found and read unsplit;
-    `multi_line` reads all files that way.
+    column), files already loaded are skipped. Files with line breaks inside quotes are found and read by `records`;
+    `multi_line` reads all files that way. A folder that does not exist is an empty one.
     """
     contents = materialise(file_contents(spark, root), "contents")
     files = classify_files(contents)
@@ -223,13 +244,13 @@ def stage_files(
         files = new_files(files, known_hashes)
     files = materialise(dedupe(files, ["sourceFileHash"], [F.col("sourceFileName"), F.col("sourceFilePath")]), "files")
     checking, checking_counts = _stage_rows(
-        spark, files, schemas.CHECKING_TYPE, schemas.CHECKING_HEADERS, schemas.STAGED_CHECKING, multi_line
+        spark, files, schemas.CHECKING_TYPE, schemas.CHECKING_HEADERS, schemas.STAGED_CHECKING, multi_line, group
     )
     credit, credit_counts = _stage_rows(
-        spark, files, schemas.CREDIT_TYPE, schemas.CREDIT_HEADERS, schemas.STAGED_CREDIT, multi_line
+        spark, files, schemas.CREDIT_TYPE, schemas.CREDIT_HEADERS, schemas.STAGED_CREDIT, multi_line, group
     )
     metadata = (
-        files.withColumn("_path", _one_spelling(F.col("sourceFilePath")))
+        files.withColumn("_path", one_spelling(F.col("sourceFilePath")))
         .join(checking_counts.unionByName(credit_counts), "_path", "left")
         .withColumn("rowCount", F.coalesce("rowCount", F.lit(0)))
         .select(schemas.struct(schemas.FILE_METADATA).names)

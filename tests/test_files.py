@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallymill import schemas
-from tallymill.sources import files
+from tallymill.sources import files, records
 
 CHECKING = "Details,Posting Date,Description,Amount,Type,Balance,Check or Slip #"
 CREDIT = "Transaction Date,Post Date,Description,Category,Type,Amount,Memo"
@@ -111,9 +111,12 @@ def test_headers_of_any_length_and_letters_anywhere(spark, tmp_path):
 
 
 def test_rows_with_too_many_fields_fail(spark, tmp_path):
-    write(tmp_path / "a.csv", f"{CHECKING}\nDEBIT,01/01/2026,d,-1,X,,,\nDEBIT,01/01/2026,d,-1,X,,,surplus\n")
-    with pytest.raises(Exception, match="more fields than the header"):
-        files.stage_files(spark, str(tmp_path))
+    for k, bad in enumerate([",surplus", ",,surplus", ',"",,,"x"', ',"two\nlines"']):
+        write(tmp_path / f"in{k}" / "a.csv", f"{CHECKING}\nDEBIT,01/01/2026,d,-1,X,,,\nDEBIT,01/01/2026,d,-1,X,,{bad}\n")
+        with pytest.raises(Exception, match="more fields than the header"):
+            files.stage_files(spark, str(tmp_path / f"in{k}"))
+    write(tmp_path / "good" / "a.csv", f"{CHECKING}\nDEBIT,01/01/2026,d,-1,X,,,\nDEBIT,01/01/2026,d,-1,X,,, ,\"\"\nDEBIT,01/01/2026\n")
+    assert files.stage_files(spark, str(tmp_path / "good")).checking.count() == 3
 
 
 def test_files_are_listed_by_path(spark, tmp_path):
@@ -132,11 +135,86 @@ def test_equal_bytes_are_read_once_under_the_lowest_name(spark, tmp_path):
 
 
 def test_line_breaks_in_quotes_are_found(spark, tmp_path):
-    write(tmp_path / "a.csv", f'{CHECKING}\nDEBIT,01/01/2026,"two\nlines",-1,X,,\nDEBIT,01/01/2026,next,-1,X,,\n')
+    write(tmp_path / "a.csv", f'{CHECKING}\nDEBIT,01/01/2026,"two\nlines",-1,X,,\n\nDEBIT,01/01/2026,next,-1,X,,\n')
     write(tmp_path / "b.csv", f"{CHECKING}\n{checking_rows(3)}")
     for multi_line in (False, True):
-        rows = files.stage_files(spark, str(tmp_path), multi_line=multi_line).checking.filter("sourceFileName = 'a.csv'").collect()
+        stage = files.stage_files(spark, str(tmp_path), multi_line=multi_line)
+        rows = stage.checking.filter("sourceFileName = 'a.csv'").collect()
         assert {(r.sourceRowNumber, r.description) for r in rows} == {(1, "two\nlines"), (2, "next")}
+        assert {r.sourceFileName: r.rowCount for r in stage.metadata.collect()} == {"a.csv": 2, "b.csv": 3}
+
+
+def odd_record(rng):
+    """Fields as a writer would quote them, with line breaks, quotes and commas."""
+    text = "".join(rng.choice(["a", "b ", ",", '"', "\n", "\n\n", '""', "é", "x" * 30]) for _ in range(rng.randrange(12)))
+    bare = "".join(rng.choice(["a", '5"', " b", "c"]) for _ in range(rng.randrange(1, 4)))
+    return text, bare
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_broken_files_are_split_anywhere(spark, tmp_path, seed):
+    """Records over many blocks, against a plain reader."""
+    import csv
+    import io
+    import random
+
+    rng, out = random.Random(seed), io.StringIO()
+    out.write(CHECKING + "\n")
+    for k in range(1500):
+        text, bare = odd_record(rng)
+        out.write(f'DEBIT,01/01/2026,"{text.replace(chr(34), chr(34) * 2)}",-{k},{bare},"",\n' + rng.choice(["", "", "\n", "  \n"]))
+    path = write(tmp_path / "a.csv", out.getvalue())
+    with open(path, newline="", encoding="utf-8") as file:
+        want = [r for r in csv.reader(file) if any(x.strip() for x in r)][1:]
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        lines = records.read_lines(spark, [str(path)])
+        assert lines.select("_block").distinct().count() > 50 and not lines.filter("opens").isEmpty()
+        got = files.stage_files(spark, str(tmp_path)).checking.orderBy("sourceRowNumber").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.sourceRowNumber for r in got] == list(range(1, 1501))
+    assert [(r.description or "", r.amount, r.type) for r in got] == [(w[2], w[3], w[4]) for w in want]
+
+
+def test_a_large_broken_file_is_read_by_many_tasks(spark, tmp_path):
+    """No task reads more than a block, though every record has a line break in quotes."""
+    row = 'DEBIT,01/01/2026,"two\nlines ' + "x" * 80 + '",-1,X,,\n'
+    write(tmp_path / "a.csv", f"{CHECKING}\n" + row * 300_000)
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(4 << 20))
+        sizes = records.read_lines(spark, [str(tmp_path / "a.csv")]).groupBy(F.spark_partition_id()).agg(F.sum(F.length("line"))).collect()
+        assert len(sizes) >= 8 and max(n for _, n in sizes) <= 4 << 20
+        stage = files.stage_files(spark, str(tmp_path))
+        assert stage.checking.agg(F.count("*"), F.max("sourceRowNumber"), F.countDistinct("sourceRowNumber")).first() == (300_000,) * 3
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_only_quotes_at_a_fields_start_open_one(spark, tmp_path):
+    """Two inch marks break no file; a quoted field without an end is an error."""
+    write(tmp_path / "a.csv", f'{CHECKING}\nDEBIT,01/01/2026,5" pipe,-1,X,,\nDEBIT,01/01/2026,7" pipe,-2,X,,\n')
+    assert records.broken_files(spark, [str(tmp_path / "a.csv")]) == []
+    assert [r.description for r in files.stage_files(spark, str(tmp_path)).checking.orderBy("sourceRowNumber").collect()] == ['5" pipe', '7" pipe']
+    write(tmp_path / "b.csv", f'{CHECKING}\nDEBIT,01/01/2026,"no end,-1,X,,\nDEBIT,01/01/2026,d,-2,X,,\n')
+    with pytest.raises(Exception, match="has no end"):
+        files.stage_files(spark, str(tmp_path))
+
+
+def test_missing_and_empty_folders_are_empty(spark, tmp_path):
+    (tmp_path / "empty").mkdir()
+    for name in ("empty", "missing"):
+        stage = files.stage_files(spark, str(tmp_path / name))
+        assert stage.metadata.count() == stage.checking.count() == stage.credit.count() == 0
+        assert files.discover_files(spark, str(tmp_path / name)).count() == 0
+
+
+def test_files_in_small_groups(spark, folder):
+    for name in ("d", "e", "f"):
+        write(folder / f"{name}.csv", f"{CHECKING}\n{checking_rows(4, ord(name))}")
+    whole, groups = (files.stage_files(spark, str(folder), group=n) for n in (100, 2))
+    for a, b in ((whole.checking, groups.checking), (whole.credit, groups.credit), (whole.metadata, groups.metadata)):
+        assert sorted(a.collect(), key=str) == sorted(b.collect(), key=str)
 
 
 def test_known_files_are_skipped(spark, folder):
