@@ -1256,7 +1256,7 @@ _trust = [
 ]
 query("dq16_se02_trust_report", sql.gold(" UNION ALL ".join(
     f"SELECT {a}::BIGINT AS sectionOrder, {b}::BIGINT AS metricOrder, '{c}' AS sectionName, '{d}' AS metricName, "
-    f"{'any_value(' + e + ')' if 'SELECT' in e else e} AS metricValue, {sql.lit(quality.SECTION_DETAILS[c])} AS detail FROM ledger"
+    f"{'any_value(' + e + ')' if 'SELECT' in e else e} AS metricValue, {sql.lit(quality.METRIC_DETAILS[d])} AS detail FROM ledger"
     for a, b, c, d, e in _trust)))(lambda spark, sf: quality.trust_report(layers(spark, sf).tables, layers(spark, sf).gold))
 
 

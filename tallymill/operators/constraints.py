@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.classify import ASSIGNMENT_SOURCES, EVENT_TYPES
 from .aggregates import unpivot_metrics
-from .joins import orphan_counts
+from .joins import orphan_counts, unknown_keys
+from .summaries import key_use
 
 # Closed domains of the columns.
 MATCH_TYPES = ["exact", "startsWith", "contains"]
@@ -135,7 +136,9 @@ def check_foreign_keys(tables: dict[str, DataFrame]) -> DataFrame:
     """(tableName, constraintName, violationCount) for the eight keys of the fact and the two of the rule maps."""
     frames = []
     for table, references in {"factTransaction": FACT_REFERENCES, **MAP_REFERENCES}.items():
-        found = orphan_counts(tables[table], {k: (tables[t], key) for k, (t, key) in references.items()})
+        known = {k: (tables[t], key) for k, (t, key) in references.items()}
+        sums = getattr(tables, "sums", None) if table == "factTransaction" else None
+        found = unknown_keys(key_use(sums), known) if sums else orphan_counts(tables[table], known)
         frames.append(found.select(
             F.lit(table).alias("tableName"), F.concat(F.col("keyColumn"), F.lit(" known")).alias("constraintName"),
             F.col("orphanRowCount").alias("violationCount"),

@@ -63,14 +63,17 @@ def orphan_counts(facts: DataFrame, references: dict[str, tuple[DataFrame, str]]
     pairs = F.explode(F.array(*[
         F.struct(F.lit(name).alias("keyColumn"), F.col(name).cast("long").alias("keyValue")) for name in references
     ])).alias("pair")
-    used = (
-        facts.select(pairs).select("pair.*").groupBy("keyColumn", "keyValue").agg(F.count("*").alias("rowCount"))
-    )
+    used = facts.select(pairs).select("pair.*").groupBy("keyColumn", "keyValue").agg(F.count("*").alias("rowCount"))
+    return unknown_keys(used, references)
+
+
+def unknown_keys(used: DataFrame, references: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """(keyColumn, orphanRowCount) of counted keys (keyColumn, keyValue, rowCount)."""
     known = None
     for name, (dim, dim_key) in references.items():
         keys = dim.select(F.lit(name).alias("keyColumn"), F.col(dim_key).cast("long").alias("keyValue"))
         known = keys if known is None else known.unionByName(keys)
-    found = used.join(known.withColumn("_known", F.lit(1)), ["keyColumn", "keyValue"], "left")
+    found = used.filter(F.col("keyColumn").isin(*references)).join(known.withColumn("_known", F.lit(1)), ["keyColumn", "keyValue"], "left")
     return found.groupBy("keyColumn").agg(
         F.sum(F.when(F.col("_known").isNull(), F.col("rowCount")).otherwise(0)).alias("orphanRowCount")
     )

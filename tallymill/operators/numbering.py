@@ -50,10 +50,19 @@ def assign_keys(new: DataFrame, key: str, order: list[str], last: int) -> DataFr
 
 
 def file_offsets(rows: DataFrame, by: str) -> DataFrame:
-    """(by, _before): per file, the row numbers taken by the files before it. One row per file."""
+    """(by, _before): per file, the row numbers taken by the files before it. One row per file.
+
+    Files are range-sorted into a written copy; sums run within a partition, and over the partitions' sums.
+    """
     sizes = rows.groupBy(by).agg(F.max("sourceRowNumber").alias("_size"))
-    earlier = Window.partitionBy(F.lit(0)).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.select(by, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    placed = sizes.repartitionByRange(by).sortWithinPartitions(by).withColumn("_slot", F.monotonically_increasing_id())
+    placed = materialise(placed, "file-sizes").withColumn("_part", F.shiftright("_slot", 33))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy(F.col("_part").alias("_run")).agg(F.sum("_size").alias("_n"))
+    parts = parts.select("_run", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first"))
+    inside = Window.partitionBy("_part").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("_inside", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
+    return placed.join(parts, F.col("_part") == F.col("_run")).select(by, (F.col("_first") + F.col("_inside")).alias("_before"))
 
 
 def keys_by_file(rows: DataFrame, key: str, by: str, offsets: DataFrame, last: int) -> DataFrame:

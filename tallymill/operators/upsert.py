@@ -8,7 +8,6 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import schemas
-from ..sources.store import materialise
 from .numbering import assign_keys, last_key
 
 
@@ -60,16 +59,13 @@ def merge_upsert(
             return old | apply
         return old
 
-    # One full outer join: rows of the target stay or change, rows of the source without a partner are new.
+    # Rows of the target stay or change; of the source only rows without a partner are new, and need a key.
     same = reduce(lambda a, b: a & b, [F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys])
-    old, flagged = target.withColumn("_old", F.lit(True)), source.withColumn("_hit", F.lit(True))
-    both = old.alias("t").join(flagged.alias("s"), same, "full")
-    if key := schemas.GENERATED_KEYS.get(table):
-        both = materialise(both.select(F.struct("t.*").alias("t"), F.struct("s.*").alias("s")), "merged")
-        if last is None:
-            last = last_key(target, key)
-    existing = both.where("t._old").select(*[kept(name).alias(name) for name in names])
-    fresh = both.where("t._old IS NULL").select(*[F.col(f"s.{c}").alias(c) for c in source.columns])
+    both = target.alias("t").join(source.withColumn("_hit", F.lit(True)).alias("s"), same, "left")
+    existing = both.select(*[kept(name).alias(name) for name in names])
+    fresh = source.join(target.select(keys), keys, "left_anti")
+    if (key := schemas.GENERATED_KEYS.get(table)) and last is None:
+        last = last_key(target, key)
     return existing.unionByName(new_rows(table, fresh, order or keys, last, inserts))
 
 

@@ -1,7 +1,8 @@
 """Gold views over Silver tables.
 
 The aggregating views sum the fact by its own keys first and join the few resulting rows to the dimensions, so no
-fact row is shuffled for a dimension join and a frequent merchant or account is one row before any join.
+fact row is shuffled for a dimension join and a frequent merchant or account is one row before any join. All but the
+merchant view take those sums from the summaries that the store keeps, and read no fact.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from ..functions.classify import OPEN_CATEGORIES
 from ..functions.text import key_date
 from ..operators.aggregates import with_previous
 from ..operators.joins import lookup
+from ..operators.summaries import MONEY, SUMMARIES
 
-MONEY = "decimal(38,2)"
 MONTH = ["yearMonth", "monthStartDate"]
 CATEGORY = ["parentSpendingCategoryName", "spendingCategoryName"]
 
@@ -24,12 +25,16 @@ def _total(name: str):
     return F.sum(name).cast(MONEY).alias(name)
 
 
-def event_totals(fact: DataFrame, keys: list[str]) -> DataFrame:
+def summary_of(tables: dict[str, DataFrame], name: str) -> DataFrame:
+    """A summary of the fact as the store keeps it (see sources/store.py), or counted from the rows where it has none."""
+    kept = getattr(tables, "sums", {}).get(name)
+    return SUMMARIES[name].of(tables["factTransaction"]) if kept is None else kept
+
+
+def event_totals(tables: dict[str, DataFrame], keys: list[str]) -> DataFrame:
     """Per key combination and event type: rows (n), signed sum, sum of absolute amounts."""
-    amount = F.col("transactionAmount")
-    return fact.groupBy(*keys, "transactionEventType").agg(
-        F.count("*").alias("n"), F.sum(amount).cast(MONEY).alias("signed"),
-        F.sum(F.abs(amount)).cast(MONEY).alias("absolute"),
+    return summary_of(tables, "totals").groupBy(*keys, "transactionEventType").agg(
+        F.sum("n").alias("n"), F.sum("signed").cast(MONEY).alias("signed"), F.sum("absolute").cast(MONEY).alias("absolute"),
     )
 
 
@@ -58,7 +63,7 @@ def _amount(event: str, column: str = "absolute"):
 def monthly_spending(tables: dict[str, DataFrame]) -> DataFrame:
     """Purchases, refunds and their difference per month, account type and category. A group that holds other
     events only has zeros."""
-    totals = event_totals(tables["factTransaction"], ["transactionDateKey", "financialAccountKey", "spendingCategoryKey"])
+    totals = event_totals(tables, ["transactionDateKey", "financialAccountKey", "spendingCategoryKey"])
     rows = _categories(_accounts(_months(totals, tables), tables), tables)
     return rows.groupBy(*MONTH, "accountType", *CATEGORY).agg(
         _count("purchase").alias("purchaseTransactionCount"), _count("refund").alias("refundTransactionCount"),
@@ -69,7 +74,7 @@ def monthly_spending(tables: dict[str, DataFrame]) -> DataFrame:
 def monthly_cashflow(tables: dict[str, DataFrame]) -> DataFrame:
     """Counts and amounts per event type, month and account type. Income and transfers are signed sums, the rest
     sums of absolute amounts; payments, debt payments and transfers are no outflow."""
-    totals = event_totals(tables["factTransaction"], ["transactionDateKey", "financialAccountKey"])
+    totals = event_totals(tables, ["transactionDateKey", "financialAccountKey"])
     events = {
         "income": "income", "purchase": "purchase", "refund": "refund", "fee": "fee", "payment": "internalPayment",
         "debtPayment": "debtPayment", "transfer": "transfer",
@@ -116,9 +121,7 @@ def top_merchants(tables: dict[str, DataFrame]) -> DataFrame:
 
 def uncategorized_summary(tables: dict[str, DataFrame]) -> DataFrame:
     open_keys = tables["dimSpendingCategory"].filter(F.col("spendingCategoryName").isin(OPEN_CATEGORIES))
-    totals = event_totals(
-        tables["factTransaction"], ["transactionDateKey", "financialAccountKey", "spendingCategoryKey", "transactionType"]
-    )
+    totals = event_totals(tables, ["transactionDateKey", "financialAccountKey", "spendingCategoryKey", "transactionType"])
     rows = totals.join(open_keys.select("spendingCategoryKey"), "spendingCategoryKey")
     return _accounts(_months(rows, tables), tables).groupBy(
         *MONTH, "accountType", "transactionType", "transactionEventType"
@@ -127,7 +130,7 @@ def uncategorized_summary(tables: dict[str, DataFrame]) -> DataFrame:
 
 def category_trend(tables: dict[str, DataFrame]) -> DataFrame:
     """Net spending per month and category with the preceding listed month; months without rows are not filled in."""
-    totals = event_totals(tables["factTransaction"], ["transactionDateKey", "spendingCategoryKey"])
+    totals = event_totals(tables, ["transactionDateKey", "spendingCategoryKey"])
     monthly = _categories(_months(totals, tables), tables).groupBy(*MONTH, *CATEGORY).agg(
         (_amount("purchase") - _amount("refund")).cast(MONEY).alias("netSpendingAmount")
     )
@@ -185,6 +188,12 @@ VIEWS = {
 }
 
 
+def merchant_groups(tables: dict[str, DataFrame]) -> DataFrame:
+    """The groups of `top_merchants`, without their figures: from the summaries."""
+    used = summary_of(tables, "merchants").join(tables["dimMerchant"].select("merchantKey", "merchantDisplayName"), "merchantKey")
+    return _categories(_accounts(used, tables), tables).select("merchantDisplayName", "accountType", *CATEGORY).distinct()
+
+
 def register_views(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """All Gold views as temporary views named gold_<view>."""
     views = {name: build(tables) for name, build in VIEWS.items()}

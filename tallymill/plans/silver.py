@@ -24,6 +24,7 @@ from ..operators.numbering import dedupe, file_offsets, keys_by_file
 from ..operators.rules import classifying_rules, match_rules
 from ..operators.upsert import changed, insert_ignore, merge_upsert, new_rows
 from ..sources.files import Stage
+from ..sources.literals import literal_rows
 from ..sources.seeds import INSTITUTION, seed_categories, seed_rule_rows
 from ..sources.store import Change, Store, materialise
 
@@ -425,7 +426,7 @@ def load(store: Store, stage: Stage, fresh: bool = False) -> dict[str, DataFrame
         lambda: bronze("rawChaseCreditTransaction", credit),
     )
     _transform(change, current, prepared, metadata, known, rules)
-    tables = {name: change.table(name) for name in schemas.TABLES}
+    tables = change.tables()
     change.commit()
     return tables
 
@@ -495,7 +496,7 @@ def reclassify(store: Store) -> dict[str, DataFrame]:
         rows = fact.select("transactionKey", *[F.col(c).alias(f"_{c}") for c in DECIDED], *[value.alias(c) for c, value in keys.items()])
         rows = lookup(rows, plain, [*DECIDES, *now], ["transactionKey"], how="inner")
         change.alter("factTransaction", rows.withColumn("modifiedDatetime", F.current_timestamp()))
-    tables = {name: change.table(name) for name in schemas.TABLES}
+    tables = change.tables()
     change.commit()
     return tables
 
@@ -510,6 +511,7 @@ def population_summary(metadata: DataFrame, tables: dict[str, DataFrame]) -> Dat
     )
     for name in schemas.TABLES:
         if name != "dimSpendingCategory":
-            rows = tables[name].agg(F.count("*").alias("rowCount"))
+            known = getattr(tables, "counts", {}).get(name)
+            rows = tables[name].agg(F.count("*").alias("rowCount")) if known is None else literal_rows(metadata.sparkSession, [(known,)], "rowCount long")
             summary = summary.unionByName(rows.select(F.lit(name).alias("item"), "rowCount"))
     return summary

@@ -9,7 +9,8 @@ Values of single rows change without a rewrite: a change file has the generated
 become visible with the rest of a commit. Rows that are rewritten take their changes in, and these leave the change files.
 
 The log keeps the number of rows of every part and the range of one column, so counts and the search for parts need no
-scan of the table. Parts are merged by size, see `Store.compact`.
+scan of the table. Summaries (operators/summaries.py) are kept per part, too, written right after it: those of all current
+parts, and of what change files moved, add up to those of the table. Parts are merged by size, see `Store.compact`.
 """
 
 from __future__ import annotations
@@ -19,11 +20,15 @@ import math
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from py4j.protocol import Py4JJavaError
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from .. import schemas
+from ..operators.summaries import BITS_DDL, BITS_OF, SUMMARIES, row_bits
 from .literals import literal_rows
 from .seeds import seed_categories, seed_unknown_members
 
@@ -59,11 +64,21 @@ def changes_of(table: str) -> str:
     return f"{table}.changes"
 
 
+def summaries_of(table: str) -> list[str]:
+    """Names under which the log lists what is kept about the table's parts, and what its change files moved."""
+    sums = [f"{table}.{name}" for name in SUMMARIES] if table in schemas.CHANGEABLE else []
+    return sums + [f"{name}.moved" for name in sums] + [f"{table}.bits"] * (table in BITS_OF)
+
+
 def ddl_of(table: str) -> str:
-    """Columns of a table, or of its change files."""
+    """Columns of a table, of its change files, or of a summary."""
     base, _, changes = table.partition(".")
     if not changes:
         return schemas.TABLES[table]
+    if changes == "bits":
+        return BITS_DDL
+    if changes != "changes":
+        return SUMMARIES[changes.removesuffix(".moved")].ddl
     kinds = {field.split()[0]: field for field in schemas.TABLES[base].split(", ")}
     return ", ".join([kinds[schemas.GENERATED_KEYS[base]], "changeNumber long", *[kinds[c] for c in schemas.CHANGEABLE[base]]])
 
@@ -85,6 +100,34 @@ def range_text(c: Column, kind: str) -> Column:
     return F.lpad(c.cast("string"), 20, "0") if kind == "bigint" else c.cast("string")
 
 
+class Tables(dict):
+    """Tables by name, with what the store knows about them. As a plain dictionary, or with other tables put in, nothing is
+    known, and everything is counted from the rows."""
+
+    def __init__(self, rows: dict[str, DataFrame], sums: dict[str, DataFrame], bits: dict[str, DataFrame], counts: dict[str, int]):
+        super().__init__(rows)
+        self.sums, self.bits, self.counts = sums, bits, counts
+
+
+def _tables(spark: SparkSession, paths: Callable[[str], dict[str, str]], rows: Callable[[str], DataFrame], counts: dict[str, int]) -> Tables:
+    """`paths`: current parts by name. Summaries are used where every part of the table has one."""
+    def read(name: str) -> DataFrame | None:
+        found = list(paths(name).values())
+        return spark.read.schema(ddl_of(name)).parquet(*found) if found else None
+
+    def complete(table: str, name: str) -> bool:
+        return bool(paths(table)) and set(paths(table)) == set(paths(name))
+
+    sums: dict[str, DataFrame] = {}
+    if all(complete("factTransaction", f"factTransaction.{name}") for name in SUMMARIES):
+        for name, summary in SUMMARIES.items():
+            parts, moved = read(f"factTransaction.{name}"), read(f"factTransaction.{name}.moved")
+            # Rows that went elsewhere leave a sum of none behind.
+            sums[name] = summary.added(parts if moved is None else parts.unionByName(moved)).filter("n <> 0")
+    bits = {table: read(f"{table}.bits") for table in BITS_OF if complete(table, f"{table}.bits")}
+    return Tables({table: rows(table) for table in schemas.TABLES}, sums, bits, counts)
+
+
 class Store:
     """Current rows of all tables under one root folder."""
 
@@ -157,8 +200,17 @@ class Store:
 
     def changes(self, table: str) -> DataFrame | None:
         """All rows of the table's change files, if there are any."""
-        paths = list(self.parts(changes_of(table)).values())
-        return self.spark.read.schema(ddl_of(changes_of(table))).parquet(*paths) if paths else None
+        return self.read(changes_of(table))
+
+    def read(self, name: str) -> DataFrame | None:
+        """All parts that the log lists under a name, as they are."""
+        paths = list(self.parts(name).values())
+        return self.spark.read.schema(ddl_of(name)).parquet(*paths) if paths else None
+
+    def tables(self) -> Tables:
+        """All tables, with their summaries and counts."""
+        counts = {table: n for table in schemas.TABLES if (n := self.row_count(table)) is not None}
+        return _tables(self.spark, self.parts, self.table, counts)
 
     def table(self, table: str, parts: list[str] | None = None) -> DataFrame:
         """Current rows, or the seed rows of a table that was never written; `parts` reads only those."""
@@ -287,19 +339,41 @@ class Change:
         rows.observe(seen, *[value.alias(name) for name, value in numbers.items()]).write.parquet(path)
         found = seen.get
         self.entries.append((table, part, path, found.get("key"), found["n"], found.get("low"), found.get("high")))
-        return self.spark.read.schema(ddl_of(table)).parquet(path)
+        written = self.spark.read.schema(ddl_of(table)).parquet(path)
+        self._summarise(table, part, written)
+        return written
+
+    def _summarise(self, table: str, part: str, rows: DataFrame) -> None:
+        """Write the summaries of a part, side by side."""
+        jobs = {f"{table}.{name}": summary.of(rows) for name, summary in SUMMARIES.items()} if table in schemas.CHANGEABLE else {}
+        if table in BITS_OF:
+            jobs[f"{table}.bits"] = row_bits(table, rows)
+        self._write_all(jobs, part)
+
+    def _write_all(self, jobs: dict[str, DataFrame], part: str) -> None:
+        def write(name: str) -> None:
+            jobs[name].write.parquet(f"{self.store.root}/{name}/{part}")
+
+        if jobs:
+            with ThreadPoolExecutor(len(jobs)) as pool:
+                running = [pool.submit(inheritable_thread_target(self.spark)(write), name) for name in jobs]
+                for job in running:
+                    job.result()
+        self.entries += [(name, part, f"{self.store.root}/{name}/{part}", None, None, None, None) for name in jobs]
 
     def remove(self, table: str, parts: list[str]) -> None:
         """Parts that were current go with the commit; those of this change have not been seen by anyone."""
-        self.entries = [e for e in self.entries if e[0] != table or e[1] not in parts]
-        known = self.store.parts(table)
-        self.entries += [(table, part, None, None, None, None, None) for part in parts if part in known]
+        for name in [table, *[n for n in summaries_of(table) if not n.endswith(".moved")]]:
+            self.entries = [e for e in self.entries if e[0] != name or e[1] not in parts]
+            known = self.store.parts(name)
+            self.entries += [(name, part, None, None, None, None, None) for part in parts if part in known]
 
     def replace(self, table: str, parts: list[str], df: DataFrame) -> DataFrame:
         """Put rows in place of whole parts. Returns the new rows.
 
         The rows have been read with their changes, so these are taken out of the change files.
         """
+        before = self._paths(table)
         written = self.append(table, df)
         self.remove(table, parts)
         changes = changes_of(table)
@@ -307,11 +381,22 @@ class Change:
             key = schemas.GENERATED_KEYS[table]
             rows = self.spark.read.schema(ddl_of(changes)).parquet(*paths.values())
             left = materialise(rows.join(written.select(key), key, "left_anti"), "changes-left")
-            if not left.isEmpty():
+            if left.isEmpty():
+                for name in SUMMARIES:
+                    self.remove(f"{table}.{name}.moved", list(self._paths(f"{table}.{name}.moved")))
+            else:
+                # The new part's own sums have what these changes moved.
+                taken = rows.join(written.select(key), key, "left_semi")
+                old = self.spark.read.schema(schemas.TABLES[table]).parquet(*[before[p] for p in parts if p in before])
+                old = materialise(old.join(taken.select(key).distinct(), key, "left_semi"), "changed-rows")
+                self._move(table, overlaid(table, old, taken), old)
                 self.append(changes, left)
             self.remove(changes, list(paths))
         return written
 
+    def _move(self, table: str, old: DataFrame, new: DataFrame) -> None:
+        self._write_all({f"{table}.{name}.moved": summary.moved(old, new) for name, summary in SUMMARIES.items()}, uuid.uuid4().hex)
+
     def put(self, table: str, df: DataFrame) -> DataFrame:
         """Replace the whole table."""
         written = self.append(table, df)
@@ -320,12 +405,15 @@ class Change:
 
     def drop(self, table: str) -> None:
         """Remove the parts and change files that were there before."""
-        for name in (table, changes_of(table)):
+        for name in (table, changes_of(table), *[n for n in summaries_of(table) if n.endswith(".moved")]):
             self.remove(name, list(self.store.parts(name)))
 
     def alter(self, table: str, rows: DataFrame) -> None:
         """Give rows new values: `rows` has the generated key and the columns of schemas.CHANGEABLE, one row per key."""
-        self.append(changes_of(table), rows.withColumn("changeNumber", F.lit(self.base + 1).cast("long")))
+        new = self.append(changes_of(table), rows.withColumn("changeNumber", F.lit(self.base + 1).cast("long")))
+        key = schemas.GENERATED_KEYS[table]
+        old = materialise(self.store.table(table).join(new.select(key), key, "left_semi"), "changed-rows")
+        self._move(table, old, overlaid(table, old, new))
 
     def _paths(self, table: str) -> dict[str, str]:
         paths = self.store.parts(table)
@@ -340,6 +428,12 @@ class Change:
         changes = self._paths(changes_of(table))
         return overlaid(table, rows, self.spark.read.schema(ddl_of(changes_of(table))).parquet(*changes.values()) if changes else None)
 
+    def tables(self) -> Tables:
+        """All tables as they will be after the commit, with their summaries and counts."""
+        rows = {(e.tableName, e.part): e.rowCount for e in self.store._entries()[0]} | {(e[0], e[1]): e[4] for e in self.entries}
+        sizes = {table: [rows[table, part] for part in self._paths(table)] for table in schemas.TABLES}
+        return _tables(self.spark, self._paths, self.table, {table: sum(n) for table, n in sizes.items() if None not in n})
+
     def commit(self) -> int:
         """Make the parts current. Of two writers that saw the same log, the second fails and publishes nothing."""
         number = self.base + 1

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallymill import schemas
 from tallymill.operators import constraints
+from tallymill.operators.summaries import BITS_OF, SUMMARIES, names_are_distinct, repeated_numbers, row_bits
 from tallymill.plans import approval, gold, quality, silver
 from tallymill.sources.files import Stage, stage_files
 from tallymill.sources.literals import literal_rows
@@ -57,11 +58,14 @@ def facts(tables):
     return {(r.sourceRowIdentifier.split(":")[0], r.sourceRowNumber): r for r in rows}
 
 
-def content(tables, drop=("createdDatetime", "modifiedDatetime")):
-    rows = tables["factTransaction"].drop(*drop)
+def listed(rows):
     return sorted(map(str, rows.select(sorted(rows.columns)).collect()))
 
 
+def content(tables, drop=("createdDatetime", "modifiedDatetime")):
+    return listed(tables["factTransaction"].drop(*drop))
+
+
 def test_edge_rows(loaded):
     tables = loaded[2]
     found = facts(tables)
@@ -373,6 +377,66 @@ def test_change_files(spark, tmp_path):
     assert categories() == want and store.changes("factTransaction") is None and store.row_count("factTransaction") == 300
 
 
+def recounted(store, reports=False):
+    """What the store keeps about its rows, which must be what a count of them gives."""
+    kept = Store(store.spark, store.root).tables()
+    fact = kept["factTransaction"]
+    for name, summary in SUMMARIES.items():
+        assert listed(kept.sums[name]) == listed(summary.of(fact)), name
+    for table in BITS_OF:
+        assert kept.counts[table] == kept[table].count()
+        merged = lambda bits: {(r.file, r.bucket, r.n, bytes(r.bits)) for r in bits.groupBy("file", "bucket").agg(F.sum("n").alias("n"), F.bitmap_or_agg("bits").alias("bits")).collect()}
+        assert merged(kept.bits[table]) == merged(row_bits(table, kept[table]))
+    if reports:
+        plain = dict(kept)
+        for name, view in gold.VIEWS.items():
+            if name != "vw_TransactionLedger":
+                assert listed(view(kept)) == listed(view(plain)), name
+        made = [[tuple(r) for r in report(t, {n: v(t) for n, v in gold.VIEWS.items()}).collect()]
+                for t in (kept, plain) for report in (quality.integrity_report, quality.trust_report, quality.row_counts)]
+        assert made[:3] == made[3:]
+    return {name: sorted(map(str, kept.sums[name].collect())) for name in SUMMARIES}
+
+
+def test_summaries_follow_every_change(spark, loaded, tmp_path):
+    folder, store, _ = loaded
+    store = copy_of(store, tmp_path / "copy")
+    states = [recounted(store)]
+    write(tmp_path / "more" / "Chase7777.csv", f"{CHECKING}\n" + row(description="Capital One pmt", amount="-9") + row(description="One shop", amount="-5"))
+    silver.load(store, stage_files(spark, str(tmp_path / "more")))
+    states.append(recounted(store))
+    requests = [(1, "checking", "DEBIT_CARD", "purchase", None, "shop", "Shopping"), (2, "creditCard", "Sale", "purchase", "exact", "cafe", "Dining")]
+    approval.approve_rules(store, spark.createDataFrame(requests, REQUEST)).collect()
+    states.append(recounted(store))
+    approval.approve_rules(store, spark.createDataFrame([(1, "checking", "DEBIT_CARD", "purchase", None, "capital", "Gas")], REQUEST)).collect()
+    states.append(recounted(store))
+    # Files loaded again are merged: the rules apply to all their rows, and one part takes its changes in.
+    silver.load(store, stage_files(spark, str(tmp_path / "more")))
+    states.append(recounted(store))
+    silver.reclassify(store)
+    states.append(recounted(store, reports=True))
+    before = store.refresh().table("factTransaction").count()
+    assert store.compact(fan=2, fold_share=0) and store.changes("factTransaction") is None
+    assert recounted(store) == states[-1] and store.table("factTransaction").count() == before
+    assert len({str(s) for s in states}) >= 4
+    # A kept bitmap tells of doubled rows, and only their files are looked into.
+    failed = lambda tables: {r.checkName: r.failedRowCount for r in quality.all_checks(tables, {n: v(tables) for n, v in gold.VIEWS.items()}).collect() if r.failedRowCount}
+    known = failed(store.tables())
+    change = store.begin()
+    change.append("factTransaction", store.table("factTransaction").filter("transactionKey = 100").withColumn("transactionKey", F.lit(999_999).cast("long")))
+    change.commit()
+    assert failed(store.tables()) == known | {quality.CHECKS[0]: 1, quality.CHECKS[4]: 1, quality.CHECKS[5]: 1}
+
+
+def test_names_shared_by_files_are_found(spark):
+    rows = lambda *names: spark.createDataFrame([(f, n, name) for f, n, name in names], "sourceFileKey long, sourceRowNumber long, sourceRowIdentifier string")
+    bits = lambda *names: row_bits("factTransaction", rows(*names))
+    assert names_are_distinct(bits((1, 1, "t:a:1"), (1, 2, "t:a:2"), (2, 1, "t:b:1")))
+    for bad in ([(1, 1, "t:a:1"), (2, 1, "t:a:1")], [(1, 1, "t:a:2")], [(1, 1, None)], [(1, 1, "t:a:1"), (1, 2, "t:b:2")]):
+        assert not names_are_distinct(bits(*bad))
+    assert [r.file for r in repeated_numbers(bits((1, 7, "t:a:7"), (1, 7, "t:a:7"), (2, 40_000, "t:b:40000"))).collect()] == ["1"]
+
+
 def test_commit_log_faults_and_second_writers(spark, tmp_path):
     from pyspark.errors import AnalysisException
 
