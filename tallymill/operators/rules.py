@@ -41,7 +41,7 @@ def token_contains(text: Column, words: Column) -> Column:
 # one that the fewest texts have finds the fewest that don't match.
 
 # Bits of the filter that tells which pieces of a text are worth keeping. Wrong yeses cost a row, never a match.
-FILTER_BITS = 1 << 16
+FILTER_BITS = 1 << 15
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -79,16 +79,14 @@ def _with_anchors(texts: DataFrame, anchors: DataFrame) -> DataFrame:
 
     The filter is one row of FILTER_BITS bits, whatever the number of anchors; pieces are dropped before they become rows.
     """
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    words = anchors.select(place(F.col("anchor")).alias("p")).groupBy(F.shiftright("p", 6).alias("k")).agg(
-        F.bit_or(F.expr("shiftleft(1L, CAST(p % 64 AS INT))")).alias("w"))
-    held = F.map_from_entries(F.collect_list(F.struct("k", "w")))
-    bits = words.agg(F.transform(
-        F.sequence(F.lit(0), F.lit(FILTER_BITS // 64 - 1)), lambda k: F.coalesce(held[k.cast("bigint")], F.lit(0).cast("bigint"))).alias("bits"))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).cast("int")
+    held = anchors.agg(F.bitmap_construct_agg(place(F.col("anchor"))).alias("b"))
+    byte = lambda k: F.conv(F.hex(F.substring(F.col("b"), k, F.lit(1))), 16, 10).cast("int")
+    bits = held.select(F.transform(F.sequence(F.lit(1), F.lit(FILTER_BITS // 8)), byte).alias("bits"))
 
     def wanted(anchor: Column) -> Column:
-        word = F.element_at("bits", (F.shiftright(place(anchor), 6) + 1).cast("int"))
-        return F.call_function("getbit", word, F.pmod(place(anchor), F.lit(64)).cast("int")) == 1
+        at = place(anchor)
+        return F.call_function("getbit", F.element_at("bits", F.shiftright(at, 3) + 1), F.pmod(at, F.lit(8))) == 1
 
     return one_row_beside(texts.select("text"), bits).select("text", F.explode(F.filter(_text_anchors(F.col("text")), wanted)).alias("anchor"))
 
@@ -100,12 +98,13 @@ def text_matches(texts: DataFrame, rules: DataFrame, whole_if_short: bool = Fals
     words is searched as a whole (approval); otherwise such a rule never matches (load).
     """
     kind, rule_text = F.col("descriptionMatchType"), F.col("ruleText")
-    anchored = rules.select("ruleId", F.explode(F.array_distinct(_rule_anchors(kind, rule_text, whole_if_short))).alias("anchor"))
+    anchors = F.explode(F.array_distinct(_rule_anchors(kind, rule_text, whole_if_short)))
+    anchored = rules.select(F.struct(*rules.columns).alias("rule"), anchors.alias("anchor"))
     often = _with_anchors(texts, anchored).groupBy("anchor").agg(F.count("*").alias("texts"))
     # A rule with an anchor that no text has matches none.
     rank = F.struct(F.coalesce("texts", F.lit(0)).alias("n"), "anchor")
-    chosen = anchored.join(often, "anchor", "left").groupBy("ruleId").agg(F.min(rank).alias("best")).filter("best.n > 0")
-    chosen = rules.join(chosen.select("ruleId", "best.anchor"), "ruleId")
+    chosen = anchored.join(often, "anchor", "left").groupBy("rule.ruleId").agg(F.min(rank).alias("best"), F.first("rule").alias("rule"))
+    chosen = materialise(chosen.filter("best.n > 0").select("best.anchor", "rule.*"), "anchors")
     words = tokens(rule_text)
     contains = F.when(F.size(words) > 0, token_contains(F.col("text"), words)).otherwise(
         F.contains("text", rule_text) if whole_if_short else F.lit(False))
