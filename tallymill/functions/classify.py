@@ -38,6 +38,7 @@ CARD_CATEGORIES = {
 # Card type -> (event, category when the source category is not mapped).
 CARD_EVENTS = {"Sale": ("purchase", "Uncategorized"), "Return": ("refund", "Refund")}
 MAPPED = "chaseMapped"
+# Event types, where an assignment comes from, and the categories that are none yet.
 EVENT_TYPES = ["purchase", "refund", "payment", "income", "transfer", "fee", "debtPayment", "other"]
 ASSIGNMENT_SOURCES = ["chaseMapped", "rule", "fallback", "manual", "ai"]
 OPEN_CATEGORIES = ["Uncategorized", "Unknown"]

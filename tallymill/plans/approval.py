@@ -10,7 +10,7 @@ from ..operators.constraints import MATCH_TYPES
 from ..operators.joins import lookup
 from ..operators.numbering import dedupe
 from ..operators.rules import text_matches
-from ..sources.store import Store, materialise
+from ..sources.store import Store, materialise, temporary
 from .silver import upsert_rules
 
 # Fixed values.
@@ -128,6 +128,11 @@ def approve_rules(store: Store, requests: DataFrame) -> DataFrame:
     odd = requests.groupBy("requestOrder").count().filter("count > 1 OR requestOrder IS NULL").limit(1).collect()
     if odd:
         raise ValueError(f"requestOrder {odd[0].requestOrder} is missing or not distinct")
+    with temporary(store.spark):
+        return materialise(_approve(store, requests), "approvals", keep=True)
+
+
+def _approve(store: Store, requests: DataFrame) -> DataFrame:
     change = store.begin()
     categories, accounts, fact = (store.table(t) for t in ("dimSpendingCategory", "dimFinancialAccount", "factTransaction"))
     prepared = materialise(prepare_manual_rules(requests, categories), "requests")

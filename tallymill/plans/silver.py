@@ -26,7 +26,7 @@ from ..operators.upsert import changed, insert_ignore, merge_upsert, new_rows
 from ..sources.files import Stage
 from ..sources.literals import literal_rows
 from ..sources.seeds import INSTITUTION, seed_categories, seed_rule_rows
-from ..sources.store import Change, Store, materialise
+from ..sources.store import Change, Store, materialise, temporary
 
 AUTO_CATEGORY, AUTO_MERCHANT = "Auto Category Rule ", "Auto Merchant Rule "
 GRAIN = ["sourceFileHash", "sourceRowNumber"]
@@ -380,8 +380,13 @@ def load(store: Store, stage: Stage, fresh: bool = False) -> dict[str, DataFrame
     """Load staged input into all Bronze and Silver tables and commit them together.
 
     Rerunning with the same input changes nothing. `fresh` rebuilds every table from this input alone (full
-    refresh); readers keep seeing the old tables until the commit.
+    refresh); readers keep seeing the old tables until the commit. Intermediate results go when it is made.
     """
+    with temporary(store.spark):
+        return _load(store, stage, fresh)
+
+
+def _load(store: Store, stage: Stage, fresh: bool) -> dict[str, DataFrame]:
     change = store.begin()
     current = Store(store.spark, f"{store.root}/none") if fresh else store
     if fresh:
@@ -476,6 +481,11 @@ def reclassify(store: Store) -> dict[str, DataFrame]:
     The rules meet the distinct combinations of what decides and what was decided. Facts of the combinations that come
     out otherwise than they are get their new values through a change file; no part of the fact is rewritten.
     """
+    with temporary(store.spark):
+        return _reclassify(store)
+
+
+def _reclassify(store: Store) -> dict[str, DataFrame]:
     change = store.begin()
     kinds_of = store.table("dimSourceFile").select("sourceFileKey", "sourceFileType")
     fact = lookup(store.table("factTransaction"), kinds_of, ["sourceFileKey"], ["transactionKey"])

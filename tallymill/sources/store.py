@@ -22,6 +22,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
 from pyspark import inheritable_thread_target
@@ -52,11 +53,39 @@ def shared_folder(spark: SparkSession) -> str:
     return (named or _local_scratch()).rstrip("/")
 
 
-def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Write an intermediate result to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+_SCRATCH = "tallymill.scratch"
+
+
+@contextmanager
+def temporary(spark: SparkSession):
+    """What is materialised inside is deleted at the end, that of an inner block with its outermost one.
+
+    The folder's name is a local property of the thread, which threads started with inheritable_thread_target take over.
+    """
+    context = spark.sparkContext
+    if context.getLocalProperty(_SCRATCH):
+        yield
+        return
+    name = f"scratch-{uuid.uuid4().hex}"
+    context.setLocalProperty(_SCRATCH, name)
+    try:
+        yield
+    finally:
+        context.setLocalProperty(_SCRATCH, None)
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}")
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def materialise(df: DataFrame, what: str, keep: bool = False) -> DataFrame:
+    """Write an intermediate result to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Inside of `temporary` it lasts as long as that, unless it is to be kept.
+    """
+    spark = df.sparkSession
+    scratch = None if keep else spark.sparkContext.getLocalProperty(_SCRATCH)
+    path = "/".join(filter(None, [shared_folder(spark), scratch, f"{what}-{uuid.uuid4().hex}"]))
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def changes_of(table: str) -> str:
@@ -249,6 +278,10 @@ class Store:
         never again. Change files are merged likewise; the parts that they are about are rewritten once the files
         have more than `fold_share` of the table's rows.
         """
+        with temporary(self.spark):
+            return self._compact(fan, full_rows, fold_share)
+
+    def _compact(self, fan: int, full_rows: int, fold_share: float) -> dict[str, int]:
         change, written = self.begin(), {}
 
         def merge(table: str, parts: list[str]) -> None:

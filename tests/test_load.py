@@ -459,6 +459,25 @@ def test_commit_log_faults_and_second_writers(spark, tmp_path):
     assert not (isinstance(problem.value, AnalysisException) and problem.value.getCondition() == "PATH_NOT_FOUND")
 
 
+def test_intermediate_results_go(spark, tmp_path, monkeypatch):
+    from tallymill.sources import store as module
+
+    monkeypatch.setattr(module, "shared_folder", lambda spark: str(tmp_path / "shared"))
+    fill(tmp_path)
+    stage = stage_files(spark, str(tmp_path / "in"))
+    there = lambda: {p.name for p in (tmp_path / "shared").iterdir()}
+    before, store = there(), Store(spark, str(tmp_path / "store"))
+    tables = silver.load(store, stage)
+    silver.reclassify(store)
+    assert there() == before and tables["factTransaction"].count() == 8
+    answer = approval.approve_rules(store, spark.createDataFrame([(1, "checking", "DEBIT_CARD", "purchase", None, "shop", "Gas")], REQUEST))
+    assert len(there() - before) == 1 and answer.first().updatedTransactionCount == 2
+    with module.temporary(spark):
+        silver.load(store, stage)
+        assert len(there() - before) == 2
+    assert len(there() - before) == 1
+
+
 def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     from types import SimpleNamespace
 

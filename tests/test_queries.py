@@ -1,9 +1,7 @@
-"""Registered queries against their SQL. ALL_QUERIES=1 compares every one; otherwise a quick selection."""
+"""Every registered query against its SQL."""
 
 from __future__ import annotations
 
-import os
-
 import pytest
 
 import __spark_entry__
@@ -11,21 +9,12 @@ from checks.compare import connect, difference
 from checks.queries import ORACLE, QUERIES
 from conftest import SF
 
-QUICK = [
-    "prj03_prj06_default_outcome", "jn_spread_join", "wn_number_rows", "sc08_calendar", "sc14_sc16_rule_words",
-    "rul02_category_rules", "rul04_jn05_wn02_rule_match", "rul04_rule_match_by_anchor", "rul09_rul10_suggest_rules",
-    "slv07_fact_transaction", "gld01_monthly_spending", "gld02_monthly_cashflow", "gld03_top_merchants",
-    "gld04_uncategorized_summary", "gld05_category_trend", "gld06_jn01_jn02_transaction_ledger", "dsh01_summary_cards",
-    "led03_search_amount", "led07_insights", "dq15_integrity_report", "dq16_se02_trust_report", "dq18_row_counts",
-]
-
-
 @pytest.fixture(scope="module")
 def duck():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", list(QUERIES) if os.environ.get("ALL_QUERIES") else QUICK)
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, duck, name):
     assert difference(spark, duck, SF, name) is None
 
