@@ -27,6 +27,10 @@ from tallymill.llm.html_blocks import WIDTH, Block, blocks_of, vectors
 #: Most pages of the training sample, layouts made from them, units per direction, passes.
 MAX_PAGES, LAYOUTS, UNITS, EPOCHS = 256, 2400, 16, 8
 BATCH = 16
+#: Bytes of the largest page, and most blocks of one, that the sample takes.
+MAX_PAGE_BYTES, MAX_BLOCKS = 1 << 20, 400
+#: Blocks whose vectors are held at once, and whose gate inputs are.
+SLICE_BLOCKS, KEPT_BLOCKS = 1024, 20_000
 
 # Words that mark the parts of a page, as the layouts use them.
 MARKS = {
@@ -45,6 +49,7 @@ NEUTRAL_MARKS = "wrap wrapper container row col inner outer block box page layou
 ELEMENTS = {"menu": "nav div ul", "header": "header div", "footer": "footer div", "sidebar": "aside aside div section", "notice": "div section aside",
             "advert": "div aside section", "form": "form div", "comment": "section div ol ul", "share": "div ul"}
 SURROUND = frozenset("nav header footer aside form button".split())
+_MARKED = frozenset(word for words in MARKS.values() for word in words.split())
 
 
 # --- the network -----------------------------------------------------------------------------------------------------
@@ -83,18 +88,22 @@ class Labeller:
         h = c = np.zeros((x.shape[1], u), np.float32)
         out = np.empty((*x.shape[:2], u), np.float32)
         for t in range(len(x)):
-            z = wx[t] + h @ self.w[f"h{side}"]
-            gates, g = sigmoid(z[:, :3 * u]), np.tanh(z[:, 3 * u:])
-            i, f, o = gates[:, :u], gates[:, u:2 * u], gates[:, 2 * u:]
             before = h, c
-            c = f * c + i * g
-            s = np.tanh(c)
-            h = o * s
+            h, c, *parts = self._cell(side, wx[t], h, c)
             out[t] = h
             if trace is not None:
-                trace.append((i, f, o, g, s, *before))
+                trace.append((*parts, *before))
         return out
 
+    def _cell(self, side: str, wx: np.ndarray, h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, ...]:
+        """h and c after one step, and the gates i, f, o, the input g and the squashed state."""
+        u, z = self.units, wx + h @ self.w[f"h{side}"]
+        gates, g = sigmoid(z[:, :3 * u]), np.tanh(z[:, 3 * u:])
+        i, f, o = gates[:, :u], gates[:, u:2 * u], gates[:, 2 * u:]
+        c = f * c + i * g
+        s = np.tanh(c)
+        return o * s, c, i, f, o, g, s
+
     def _back(self, side: str, x: np.ndarray, trace: list, dh_out: np.ndarray) -> dict[str, np.ndarray]:
         u, wh = self.units, self.w[f"h{side}"]
         dz_all = np.empty((*x.shape[:2], 4 * u), np.float32)
@@ -128,11 +137,42 @@ class Labeller:
         at = np.where(mask, lengths[None, :] - 1 - step, step)
         return np.take_along_axis(states, at[:, :, None], 0)
 
-    def chances(self, pages: list[np.ndarray]) -> list[np.ndarray]:
-        ahead, back, mask = self.padded(pages)
-        states = np.concatenate([self._run("f", ahead), self.turned(self._run("b", back), mask)], 2)
-        p = sigmoid(states @ self.w["o"] + self.w["b"])[:, :, 0]
-        return [p[:len(page), k] for k, page in enumerate(pages)]
+    def _gates(self, page: list[Block], first: int, end: int, columns: slice = slice(None)) -> np.ndarray:
+        """Gate inputs of the page's blocks, both directions side by side; block vectors are made a slice at a time."""
+        w, c = self._input
+        return np.concatenate([vectors(page, k, min(k + SLICE_BLOCKS, end)) @ w[:, columns] + c[columns] for k in range(first, end, SLICE_BLOCKS)])
+
+    def chances(self, pages: list[list[Block]]) -> list[np.ndarray]:
+        """Every block's chance to be content. Each direction goes over the pages side by side in slices, and leaves one
+        number per block; gate inputs of up to KEPT_BLOCKS blocks are kept for the second direction, others made anew."""
+        self._input = [np.concatenate([self.w[f"{kind}f"], self.w[f"{kind}b"]], -1) for kind in "xc"]
+        u, sizes = self.units, np.array([len(p) for p in pages])
+        known = [self._gates(p, 0, len(p)) for p in pages] if sizes.sum() <= KEPT_BLOCKS else None
+        sums = [np.full(n, self.w["b"][0], np.float32) for n in sizes]
+        for side in "fb":
+            columns = slice(0, 4 * u) if side == "f" else slice(4 * u, 8 * u)
+            out = self.w["o"][:u, 0] if side == "f" else self.w["o"][u:, 0]
+            h = c = np.zeros((len(pages), u), np.float32)
+            for first in range(0, sizes.max(), SLICE_BLOCKS):
+                steps = min(SLICE_BLOCKS, sizes.max() - first)
+                wx = np.zeros((steps, len(pages), 4 * u), np.float32)
+                for k, n in enumerate(sizes):
+                    m = min(steps, n - first)
+                    if m > 0:
+                        low, high = (first, first + m) if side == "f" else (n - first - m, n - first)
+                        part = known[k][low:high, columns] if known else self._gates(pages[k], low, high, columns)
+                        wx[:m, k] = part[::1 if side == "f" else -1]
+                states = np.empty((steps, len(pages), u), np.float32)
+                for t in range(steps):
+                    h, c, *_ = self._cell(side, wx[t], h, c)
+                    states[t] = h
+                added = states @ out
+                for k, n in enumerate(sizes):
+                    m = min(steps, n - first)
+                    if m > 0:
+                        low, high = (first, first + m) if side == "f" else (n - first - m, n - first)
+                        sums[k][low:high] += added[:m, k][::1 if side == "f" else -1]
+        return [sigmoid(s) for s in sums]
 
     def step(self, pages: list[np.ndarray], labels: list[np.ndarray]) -> tuple[float, dict[str, np.ndarray]]:
         ahead, back, mask = self.padded(pages)
@@ -173,10 +213,15 @@ class Labeller:
 
 def told(block: Block) -> int | None:
     """1: its page calls it the article; 0: its page calls it something else; None: it doesn't say."""
-    inside = [x for x in block.path if x in ("article", "main")]
-    around = any(x in SURROUND for x in block.path)
-    marked = any(x in words.split() for words in MARKS.values() for x in block.path)
-    return 0 if around or marked else 1 if inside else None
+    unsaid, path = [], block.where
+    while path and path.told is None:
+        unsaid.append(path)
+        path = path.outer
+    for path in reversed(unsaid):  # each element is looked at once, however many blocks it is around
+        outer = path.outer.told if path.outer else ""
+        around = outer == "around" or any(x in SURROUND or x in _MARKED for x in path.own)
+        path.told = "around" if around else "inside" if outer == "inside" or "article" in path.own or "main" in path.own else ""
+    return {"around": 0, "inside": 1}.get(block.where.told) if block.where else None
 
 
 class Layouts:
@@ -264,13 +309,14 @@ class Layouts:
             if not marks:
                 continue
             text = " ".join(w for w in words if w not in marks) or "text"
-            blocks.append(Block(text, block.path, min(block.linked, len(text))))
+            blocks.append(Block(text, block.where, min(block.linked, len(text))))
             labels.append(int(marks[0][1]))
         return blocks, np.array(labels, np.float32)
 
 
-def train_on(pages: list[str], layouts: int = LAYOUTS, epochs: int = EPOCHS) -> Labeller:
-    """A model of these pages: half layouts of their texts, half the pages that say what their article is."""
+def train_on(pages: list[str], layouts: int = LAYOUTS, epochs: int = EPOCHS, max_blocks: int = MAX_BLOCKS) -> Labeller:
+    """A model of these pages: half layouts of their texts, half the pages that say what their article is. Of a page with
+    more than max_blocks blocks the sample has that many; every page is labelled whole."""
     content, around, real = [], [], []
     for page in pages:
         blocks = blocks_of(page)
@@ -281,17 +327,20 @@ def train_on(pages: list[str], layouts: int = LAYOUTS, epochs: int = EPOCHS) ->
             real.append((blocks, np.array(labels, np.float32)))
     made = Layouts(content, around)
     examples = [x for x in (made.page() for _ in range(layouts)) if x[0]] + real
-    examples = [(b[:400], y[:400]) for b, y in examples]  # of training pages only; every page is labelled whole
+    examples = [(b[:max_blocks], y[:max_blocks]) for b, y in examples]
     return Labeller().fit([vectors(b) for b, _ in examples], [y for _, y in examples], epochs)
 
 
-def train(pages: DataFrame, html_column: str = "html", id_column: str = "page_id", max_pages: int = MAX_PAGES) -> bytes:
-    """Parameters of a model trained on the max_pages pages with the smallest hash of their id."""
+def train(pages: DataFrame, html_column: str = "html", id_column: str = "page_id", max_pages: int = MAX_PAGES,
+          max_page_bytes: int = MAX_PAGE_BYTES) -> bytes:
+    """Parameters of a model trained on the max_pages pages with the smallest hash of their id, of max_page_bytes at most.
+    Of rows with one id the one with the least text counts."""
+    pages = pages.where(F.octet_length(text_or_empty(html_column)) <= max_page_bytes)
     ids = pages.select(F.col(f"`{id_column}`").alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(max_pages)
     sample = pages.select(F.col(f"`{id_column}`").alias("_id"), text_or_empty(html_column).alias("_html")).join(F.broadcast(ids), "_id")
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("_id").sort_values("_id")
+        rows = rows.sort_values(["_id", "_html"]).drop_duplicates("_id")
         return pd.DataFrame({"w": [train_on(list(rows["_html"])).save()]})
 
     found = sample.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(fit, "w binary").first()  # max_pages rows at most
@@ -300,16 +349,16 @@ def train(pages: DataFrame, html_column: str = "html", id_column: str = "page_id
 
 # --- extraction ------------------------------------------------------------------------------------------------------
 
-def texts_of(model: Labeller, pages: list[str], batch_blocks: int = 20_000) -> list[str]:
+def texts_of(model: Labeller, pages: list[str], batch_blocks: int = KEPT_BLOCKS) -> list[str]:
     parsed = [blocks_of(page) for page in pages]
     out = [""] * len(pages)
     order = sorted((k for k in range(len(pages)) if parsed[k]), key=lambda k: len(parsed[k]))
     at = 0
     while at < len(order):
-        end, longest = at, 0
+        end = at
         while end < len(order) and (end == at or len(parsed[order[end]]) * (end - at + 1) <= batch_blocks):
             end += 1
-        for k, chances in zip(order[at:end], model.chances([vectors(parsed[k]) for k in order[at:end]])):
+        for k, chances in zip(order[at:end], model.chances([parsed[k] for k in order[at:end]])):
             out[k] = "\n".join(b.text for b, p in zip(parsed[k], chances) if p >= 0.5)
         at = end
     return out

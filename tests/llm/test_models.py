@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import html
+import random
+import time
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
+from tallymill.llm import html_blocks, html_extraction
 from tallymill.llm.common import Texts
 from tallymill.llm.html_blocks import blocks_of, vectors
 from tallymill.llm.html_extraction import Labeller, Layouts, extract_pages, texts_of, train_on
@@ -92,6 +95,49 @@ def test_elements_without_end_tag_lose_no_text():
     assert len(blocks_of("<canvas>" * 100000 + "<p>One")) == 1
 
 
+@pytest.mark.parametrize("page", [
+    "<a " * 500_000, "<a " * 500_000 + '">', "<a '\"" * 200_000 + ">", "<!x" * 400_000, "</x " * 300_000, "<div>x" * 150_000, "<div>" * 200_000 + "</p>" * 100_000,
+    "<p><li>" + "<b>" * 100_000 + "<div>x</div>" * 30_000, "<li><ul>" + "<div>" * 100_000 + "<li></li>" * 50_000,
+], ids=range(9))
+def test_any_page_is_read_in_one_pass(page):
+    start = time.process_time()
+    blocks_of(page)
+    assert time.process_time() - start < 5
+
+
+def test_ends_of_tags_are_those_of_the_pattern():
+    """Tags with and without end, against trying each of them; texts come out whole."""
+    rng = random.Random(3)
+    for _ in range(300):
+        page = "".join(rng.choice(["<a ", "<b", ">", '"', "'", "x", " ", "</p", "<!d", "<", "é"]) for _ in range(40))
+        at, want = 0, []
+        while at < len(page):
+            token = html_blocks._TOKEN.match(page, at)
+            want.append((token["text"], (token["tag"] or "").lower(), token["end"] or "", token["attributes"] or ""))
+            at = token.end()
+        assert list(html_blocks.tokens_of(page)) == want
+
+
+def test_slices_do_not_change_a_page(model, monkeypatch):
+    pages = ["".join(f'<p class="c{k % 7}">word{k} text</p><nav>menu {k}</nav>' for k in range(n)) for n in (1, 40, 90)]
+    whole = texts_of(model, pages)
+    monkeypatch.setattr(html_extraction, "SLICE_BLOCKS", 16)
+    assert texts_of(model, pages) == whole
+    monkeypatch.setattr(html_extraction, "KEPT_BLOCKS", 0)
+    assert texts_of(model, pages) == whole and texts_of(model, pages, 1) == whole
+
+
+def test_a_large_page_is_held_once(model):
+    import tracemalloc
+
+    page = "".join(f'<p class="c{k % 9}">word {k}</p>' for k in range(80_000))
+    tracemalloc.start()
+    texts_of(model, [page])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 30 * len(page)  # 550 floats a block would be 80 times the page
+
+
 def test_gradients():
     rng = np.random.default_rng(1)
     model = Labeller(width=5, units=3)
@@ -119,7 +165,7 @@ def model(spark):
 
 def test_layouts_never_seen(model):
     made = Layouts(["Some words of a story that goes on and on, with signs. And more of it, much more."] * 3, ["Home", "About us and more"], seed=77)
-    right = [((model.chances([vectors(b)])[0] >= 0.5) == y) for b, y in (made.page() for _ in range(250)) if b]
+    right = [((model.chances([b])[0] >= 0.5) == y) for b, y in (made.page() for _ in range(250)) if b]
     assert np.mean(np.concatenate(right)) > 0.93
 
 
