@@ -180,7 +180,8 @@ def together(df: DataFrame, id_column: str, text_column: str, parts: int) -> Dat
     salt = F.lit(0).cast("long")
     if hot:
         splits = F.create_map(*[F.lit(x) for pair in hot.items() for x in pair])
-        salt = F.pmod(F.xxhash64(id_column), F.coalesce(splits[F.col("_home")], F.lit(1)))
+        # By id and text, so that repeated and null ids are dealt out as well, and a stage run again deals alike.
+        salt = F.pmod(F.xxhash64(id_column, text_column), F.coalesce(splits[F.col("_home")], F.lit(1)))
     return sized.repartition(parts, F.col("_home"), salt).drop("_home")
 
 

@@ -2,8 +2,8 @@
 
 The items' words, lower-cased, are cut into windows; each window is a pattern " w1 w2 ... wn " of the automaton. A
 document's words, written in the same way, are scanned once; a match gives word numbers, and these the places in the
-original text. An automaton holds windows of up to `block_bytes`; a larger benchmark is scanned block by block, and the
-spans of the blocks are united.
+original text. An automaton holds windows of up to `block_bytes`, and a long item's windows may be in several; a larger
+benchmark is scanned block by block, in jobs one after another, and the spans of the blocks are united.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm.common import FOLD, Texts, struct_of, text_or_empty, tuned
+from tallymill.llm.common import FOLD, Texts, kept, release, struct_of, text_or_empty, tuned
 
 WINDOW_WORDS = 10
 BLOCK_BYTES = 16 << 20
@@ -102,16 +102,28 @@ def found(text: Column, items: list[tuple[str, bytes]], window: int) -> Column:
     return search(text)
 
 
-def blocks(benchmark: DataFrame, item_column: str, text_column: str, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
+def cut(text: bytes, window: int, limit: int) -> Iterator[bytes]:
+    """A long item as runs of its windows: every window is in one of them, and none is new."""
+    words = folded(text)
+    step = max(1, limit * len(words) // max(1, len(text) * window))
+    if len(words) <= step + window - 1:
+        yield text
+    else:
+        for k in range(0, len(words) - window + 1, step):
+            yield b" ".join(words[k:k + step + window - 1])
+
+
+def blocks(benchmark: DataFrame, item_column: str, text_column: str, block_bytes: int, window: int) -> Iterator[list[tuple[str, bytes]]]:
     """The items in blocks that fit one automaton; the driver holds one block at a time."""
     rows = benchmark.select(F.col(f"`{item_column}`").cast("string").alias("_i"), text_or_empty(text_column).alias("_t"))
     block, held = [], 0
     for row in rows.toLocalIterator():
-        block.append((row["_i"], row["_t"].encode()))
-        held += len(block[-1][1]) * WINDOW_WORDS
-        if held >= block_bytes:
-            yield block
-            block, held = [], 0
+        for part in cut(row["_t"].encode(), window, block_bytes):
+            block.append((row["_i"], part))
+            held += len(part) * window
+            if held >= block_bytes:
+                yield block
+                block, held = [], 0
     if block:
         yield block
 
@@ -123,21 +135,28 @@ def contaminated_spans(df: DataFrame, benchmark: DataFrame, text_column: str = "
 
     A window is `window` consecutive words of an item; an item of fewer words is one window, one without words is none.
     Null texts have no words; items with equal ids are one item; an item without id is found but not counted; columns
-    named n_words or found are replaced. Empty tables give no hits, or no rows.
+    named n_words or found are replaced. Empty tables give no hits, or no rows. Each block of items is a job of its own
+    over the written result of the one before, so a worker holds one automaton.
     """
-    tuned(df.sparkSession)
-    text, parts = text_or_empty(text_column), []
-    for block in blocks(benchmark, item_column, item_text, block_bytes):
-        parts.append(found(text, block, window))
-    if not parts:
-        parts = [found(text, [], window)]
-    out = df.drop("n_words", "found").withColumns({f"_found{k}": part for k, part in enumerate(parts)})
-    names = [f"_found{k}" for k in range(len(parts))]
-    if len(parts) == 1:
-        merged = F.struct(F.col("_found0.spans").alias("spans"), F.col("_found0.items").alias("items"))
-    else:
-        merged = united([F.col(n) for n in names])
-    return out.withColumn("found", merged).withColumn("n_words", F.col("_found0.n_words")).drop(*names)
+    spark = tuned(df.sparkSession)
+    columns = [c for c in df.columns if c not in ("n_words", "found")]
+    text = F.coalesce(F.col(f"row.`{text_column}`").cast("string"), F.lit(""))
+    rows, before = df.select(F.struct("*").alias("row")), []
+    for k, block in enumerate(blocks(benchmark, item_column, item_text, block_bytes, window)):
+        if not k:
+            rows = rows.withColumn("found", found(text, block, window))
+            continue
+        written: list[str] = []
+        rows = kept(rows, "spans", written)
+        release(spark, before)
+        before = written
+        both = united([F.col("found"), F.col("more")])
+        rows = rows.withColumn("more", found(text, block, window)).select(
+            "row", F.struct(F.col("found.n_words").alias("n_words"), both["spans"].alias("spans"), both["items"].alias("items")).alias("found"))
+    if "found" not in rows.columns:
+        rows = rows.withColumn("found", found(text, [], window))
+    merged = F.struct(F.col("found.spans").alias("spans"), F.col("found.items").alias("items"))
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in columns], F.col("found.n_words").alias("n_words"), merged.alias("found"))
 
 
 def united(parts: list[Column]) -> Column:

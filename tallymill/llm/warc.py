@@ -8,10 +8,12 @@ and, as the format has it, carry no block.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm.common import shared_folder, text_or_empty
+from tallymill.llm.common import kept, release, shared_folder, text_or_empty
 
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
@@ -29,49 +31,58 @@ def base32(hexadecimal: Column) -> Column:
     return F.concat(*groups)
 
 
-def record_id(record: Column) -> Column:
-    return F.concat(F.lit("<urn:tallymill:page:"), F.coalesce(record.cast("string"), F.lit("null")), F.lit(">"))
+def record_id(record: Column, number: Column) -> Column:
+    """A record's own URI: its number within the archive tells records of one id apart."""
+    name = F.when(record.isNull(), F.lit("record")).otherwise(F.concat(F.lit("page:"), F.url_encode(record.cast("string"))))
+    return F.concat(F.lit("<urn:tallymill:"), name, F.lit(":"), number.cast("string"), F.lit(">"))
 
 
-def header(kind: str) -> Column:
+def header(kind: str, date: str) -> Column:
     """The header block of a record, up to and with the empty line."""
     common = [
-        F.lit(VERSION), F.concat(F.lit("WARC-Type: "), F.lit(kind)), F.concat(F.lit("WARC-Record-ID: "), record_id(F.col("_id"))),
+        F.lit(VERSION), F.concat(F.lit("WARC-Type: "), F.lit(kind)),
+        F.concat(F.lit("WARC-Record-ID: "), record_id(F.col("_id"), F.col("_number"))), F.lit(f"WARC-Date: {date}"),
         F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace(F.coalesce(F.col("_url"), F.lit("")), r"[\r\n]+", " ")),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("payload_digest")),
     ]
     if kind == "response":
-        own = [F.concat(F.lit("Content-Length: "), F.col("payload_bytes").cast("string"))]
+        own = [F.lit("Content-Type: text/html; charset=UTF-8"), F.concat(F.lit("Content-Length: "), F.col("payload_bytes").cast("string"))]
     else:
         own = [
             F.concat(F.lit("WARC-Profile: "), F.lit(REVISIT_PROFILE)),
-            F.concat(F.lit("WARC-Refers-To: "), record_id(F.col("_first"))), F.lit("Content-Length: 0"),
+            F.concat(F.lit("WARC-Refers-To: "), record_id(F.col("_first.id"), F.col("_first.number"))), F.lit("Content-Length: 0"),
         ]
     return F.concat(F.concat_ws(END, *common, *own), F.lit(END + END))
 
 
 def write_archive(pages: DataFrame, path: str, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html",
-                  least_bytes: int = 0) -> None:
-    """Write one record per row of pages below `path`.
+                  least_bytes: int = 0, date: dt.datetime | None = None) -> None:
+    """Write one record per row of pages below `path`; `date` is when they were fetched (default: now).
 
     Null payloads are empty ones, null urls are written empty. Payloads of fewer than `least_bytes` bytes are responses
-    every time (stored once all the same). Repeated rows are a record each, of the same type. A null id comes after all
-    others. Further columns are ignored; no rows make an empty archive.
+    every time (stored once all the same). Repeated rows are a record each, of the same type, with a record id of its own;
+    a revisit names the first of several. A null id comes after all others. Further columns are ignored; no rows make an
+    empty archive.
     """
     spark = pages.sparkSession
+    when = (date or dt.datetime.now(dt.timezone.utc)).astimezone(dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     payload = F.encode(text_or_empty(payload_column), "UTF-8")
     rows = pages.select(F.col(f"`{id_column}`").alias("_id"), F.col(f"`{url_column}`").cast("string").alias("_url"), payload.alias("payload"))
-    facts = rows.select(
+    # Written, so that a record's number is the same wherever it is named.
+    scratch: list[str] = []
+    facts = kept(rows.select(
         "_id", "_url", F.sha2("payload", 256).alias("sha256"), F.sha1("payload").alias("_sha1"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-    )
+        F.octet_length("payload").cast("long").alias("payload_bytes"), F.monotonically_increasing_id().alias("_number"),
+    ), "facts", scratch)
     # A hot payload leaves one row per task here: the smallest id of a digest is taken before anything is shuffled.
-    first = facts.groupBy("sha256").agg(F.min("_id").alias("_first"))
+    least = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_number").alias("number"))
+    first = facts.groupBy("sha256").agg(F.min(least).alias("_first"))
     joined = facts.join(first, "sha256").withColumn("payload_digest", base32(F.col("_sha1")))
-    response = (F.col("payload_bytes") < least_bytes) | F.col("_id").eqNullSafe(F.col("_first"))
+    response = (F.col("payload_bytes") < least_bytes) | F.col("_id").eqNullSafe(F.col("_first.id"))
     joined.select(
-        F.col("_id").alias("record"), F.when(response, header("response")).otherwise(header("revisit")).alias("header"), "sha256",
+        F.col("_id").alias("record"), F.when(response, header("response", when)).otherwise(header("revisit", when)).alias("header"), "sha256",
     ).write.parquet(f"{path}/records")
+    release(spark, scratch)
     # One row per digest and task is shuffled, so a payload that a third of all pages share is no hot key.
     rows.select(F.sha2("payload", 256).alias("sha256"), "payload").dropDuplicates(["sha256"]).write.parquet(f"{path}/payloads")
 
@@ -84,18 +95,18 @@ def verified_payloads(spark: SparkSession, path: str) -> DataFrame:
 
 
 def headers(spark: SparkSession, path: str, record_type: str = "bigint") -> DataFrame:
-    """The stored header blocks and what they say: record, kind, digest, refers_to."""
+    """The stored header blocks and what they say: record_id, date, record, kind, digest, refers_to."""
     stored = spark.read.parquet(f"{path}/records")
 
     def field(name: str) -> Column:
         return F.regexp_extract("header", rf"\n{name}: ([^\r\n]*)", 1)
 
     def of_id(value: Column) -> Column:
-        number = F.regexp_extract(value, r"^<urn:tallymill:page:(.*)>$", 1)
-        return F.when(~number.isin("", "null"), number).cast(record_type)
+        name = F.regexp_extract(value, r"^<urn:tallymill:page:(.*):\d+>$", 1)
+        return F.when(value.startswith("<urn:tallymill:page:"), F.url_decode(name)).cast(record_type)
 
     return stored.select(
-        of_id(field("WARC-Record-ID")).alias("record"), field("WARC-Type").alias("kind"), field("WARC-Target-URI").alias("url"),
+        field("WARC-Record-ID").alias("record_id"), field("WARC-Date").alias("date"), of_id(field("WARC-Record-ID")).alias("record"), field("WARC-Type").alias("kind"), field("WARC-Target-URI").alias("url"),
         F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "").alias("digest"), of_id(field("WARC-Refers-To")).alias("refers_to"),
         "header", "sha256",
     )
@@ -127,9 +138,9 @@ def reconstruct(spark: SparkSession, path: str, record_type: str = "bigint") ->
 
 
 def archive_pages(pages: DataFrame, path: str | None = None, id_column: str = "page_id", url_column: str = "url",
-                  payload_column: str = "html", least_bytes: int = 0) -> DataFrame:
+                  payload_column: str = "html", least_bytes: int = 0, date: dt.datetime | None = None) -> DataFrame:
     """Write the archive (in the shared folder if no path is given), then read its index back."""
     spark = pages.sparkSession
     path = path or shared_folder(spark, "warc")
-    write_archive(pages, path, id_column, url_column, payload_column, least_bytes)
+    write_archive(pages, path, id_column, url_column, payload_column, least_bytes, date)
     return read_index(spark, path, pages.schema[id_column].dataType.simpleString()).withColumnRenamed("record", id_column)

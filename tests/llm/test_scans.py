@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import base64
+import datetime as dt
 import hashlib
 import re
 
-from tallymill.llm.decontamination import contaminated_spans, summary
+from tallymill.llm.decontamination import contaminated_spans, cut, folded, summary
 from tallymill.llm.license_scan import PHRASES, TEMPLATES, scan_licenses
 from tallymill.llm.queries import op2_decontamination, op3_license_scan, op9_warc
-from tallymill.llm.warc import archive_pages, reconstruct
+from tallymill.llm.warc import archive_pages, headers, reconstruct
 
 from .conftest import SF
 
@@ -53,10 +54,24 @@ def test_decontamination_edges(spark, frame):
         assert got == sorted([(i, *brute_hits(t, items)) for i, t in docs], key=str)
         span = found.where("doc_id = 3").first().found.spans[0]
         assert docs[2][1][span.start:span.end] == "What is -- THE answer"
+    clash = frame(docs).withColumnRenamed("n_words", "_found0")
+    for block in (1, 1 << 24):
+        out = contaminated_spans(clash, bench, block_bytes=block)
+        assert out.columns == ["doc_id", "text", "_found0", "n_words", "found"] and {r["_found0"] for r in out.collect()} == {"x"}
     assert summary(contaminated_spans(frame([]), bench)).count() == 0
     assert not any(r.contaminated for r in summary(contaminated_spans(frame(docs), bench.limit(0))).collect())
 
 
+def test_long_items_are_cut_into_runs_of_windows():
+    for n in (1, 9, 10, 11, 60):
+        text = " ".join(f"Word{k}" for k in range(n)).encode()
+        for limit in (1, 300, 2000, 1 << 20):
+            parts = list(cut(text, 10, limit))
+            windows = lambda t: [tuple(folded(t)[k:k + 10]) for k in range(max(1, len(folded(t)) - 9))]
+            assert [w for p in parts for w in windows(p)] == windows(text)
+            assert limit > 300 or n < 60 or len(parts) > 1
+
+
 def brute_phrases(text):
     own, at = words(text), []
     for phrase in PHRASES:
@@ -121,3 +136,21 @@ def test_archive_round_trip(spark, tmp_path):
     kinds = archive_pages(pages, str(tmp_path / "b"), least_bytes=100).where("page_id = 3").first()
     assert kinds.record_type == "response" and kinds.refers_to is None
     assert archive_pages(pages.limit(0), str(tmp_path / "c")).count() == 0
+    said = headers(spark, str(tmp_path / "a")).collect()
+    assert len({r.record_id for r in said}) == len(rows) and all(re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", r.date) for r in said)
+    names = {r.record_id: r for r in said}
+    for r in said:
+        if r.kind == "revisit":
+            target = names[re.search(r"WARC-Refers-To: (\S+)", r.header)[1]]
+            assert target.kind == "response" and target.record == r.refers_to and target.sha256 == r.sha256
+
+
+def test_archive_of_odd_ids(spark, tmp_path):
+    rows = [("null", "a"), (None, "a"), (None, "b"), (None, "b"), ("x:1> \n", "c"), ("y", "c"), ("", "d")]
+    pages = spark.createDataFrame([(i, "u", t) for i, t in rows], "page_id string, url string, html string")
+    day = dt.datetime(2024, 5, 6, 7, 8, 9, tzinfo=dt.timezone.utc)
+    got = sorted((str(r.page_id), r.record_type, r.refers_to) for r in archive_pages(pages, str(tmp_path / "a"), date=day).collect())
+    assert got == sorted([("null", "response", None), ("None", "revisit", "null"), ("None", "response", None), ("None", "response", None),
+                          ("x:1> \n", "response", None), ("y", "revisit", "x:1> \n"), ("", "response", None)])
+    said = headers(spark, str(tmp_path / "a"), "string").collect()
+    assert {r.date for r in said} == {"2024-05-06T07:08:09Z"} and len({r.record_id for r in said}) == len(rows)
