@@ -30,6 +30,7 @@ from ..sources.store import Change, Store, materialise, temporary
 
 AUTO_CATEGORY, AUTO_MERCHANT = "Auto Category Rule ", "Auto Merchant Rule "
 GRAIN = ["sourceFileHash", "sourceRowNumber"]
+CHECKING, CREDIT = schemas.BRONZE_TABLES
 
 
 # ---- shaping -------------------------------------------------------------------------------------------------
@@ -342,6 +343,14 @@ def merge_facts(target: DataFrame, rows: DataFrame, last: int | None = None) ->
     )
 
 
+def append_new(
+    change: Change, table: str, rows: DataFrame, by: str, offsets: DataFrame
+) -> DataFrame:
+    """Append rows of files never seen, with keys by file; returns them as written."""
+    key, last = schemas.GENERATED_KEYS[table], change.last_key(table)
+    return change.append(table, new_rows(table, keys_by_file(rows, key, by, offsets, last), [], last))
+
+
 def upsert_by_file(
     change: Change, table: str, rows: DataFrame, by: str, known: DataFrame | None, offsets: DataFrame,
     merge: Callable[[DataFrame, DataFrame, int], DataFrame],
@@ -358,8 +367,7 @@ def upsert_by_file(
         rows = lookup(rows, known.select(by), [by], ["sourceRowNumber"], how="left_anti")
         if rows.isEmpty():
             return
-    key, last = schemas.GENERATED_KEYS[table], change.last_key(table)
-    change.append(table, new_rows(table, keys_by_file(rows, key, by, offsets, last), [], last))
+    append_new(change, table, rows, by, offsets)
 
 
 def unique_grain(staged: DataFrame) -> DataFrame:
@@ -392,25 +400,29 @@ def _load(store: Store, stage: Stage, fresh: bool) -> dict[str, DataFrame]:
     if fresh:
         for table in schemas.TABLES:
             change.drop(table)
-    one_per_row = (lambda rows: rows) if stage.numbered else unique_grain
-    metadata, checking, credit = together(
-        store.spark,
-        lambda: materialise(stage.metadata, "metadata"),
-        lambda: one_per_row(materialise(stage.checking, "checking")),
-        lambda: one_per_row(materialise(stage.credit, "credit")),
-    )
+    metadata = materialise(stage.metadata, "metadata")
     seen = current.table("dimSourceFile").filter(F.col("sourceFileKey") > 0)
     known = seen.join(metadata.select("sourceFileHash"), "sourceFileHash", "left_semi")
     known = materialise(known.select("sourceFileHash", "sourceFileKey"), "known")
     if known.isEmpty():
         known = None
-
-    def bronze(name: str, staged: DataFrame) -> None:
-        upsert_by_file(
-            change, name, staged.select(*GRAIN, *bronze_columns(name)), "sourceFileHash", known,
-            materialise(file_offsets(staged, "sourceFileHash"), "offsets"),
-            lambda old, new, last: load_bronze(name, old, new, last),
-        )
+    # New rows that are numbered go into Bronze as they are, and its new part is the copy that all else reads.
+    straight = known is None and stage.numbered
+    checking, credit = stage.checking, stage.credit
+    if not straight:
+        one_per_row = (lambda rows: rows) if stage.numbered else unique_grain
+        checking, credit = together(
+            store.spark, lambda: one_per_row(materialise(checking, "checking")), lambda: one_per_row(materialise(credit, "credit")))
+
+    def bronze(name: str, staged: DataFrame) -> DataFrame | None:
+        rows = staged.select(*GRAIN, *bronze_columns(name))
+        offsets = materialise(file_offsets(staged, "sourceFileHash"), "offsets")
+        if straight:
+            return append_new(change, name, rows, "sourceFileHash", offsets)
+        upsert_by_file(change, name, rows, "sourceFileHash", known, offsets, lambda old, new, last: load_bronze(name, old, new, last))
+
+    def prepared_from(checking: DataFrame, credit: DataFrame) -> DataFrame:
+        return materialise(prepare(unify_sources(checking, credit)), "prepared")
 
     def seeds() -> DataFrame:
         categories = change.put("dimSpendingCategory", insert_ignore(
@@ -422,14 +434,15 @@ def _load(store: Store, stage: Stage, fresh: bool) -> dict[str, DataFrame]:
         change.put("dimSourceFile", dim_source_file(current.table("dimSourceFile"), metadata))
         change.put("dimFinancialAccount", dim_account(current.table("dimFinancialAccount"), metadata))
 
-    prepared, rules, *_ = together(
-        store.spark,
-        lambda: materialise(prepare(unify_sources(checking, credit)), "prepared"),
-        seeds,
-        files,
-        lambda: bronze("rawChaseCheckingTransaction", checking),
-        lambda: bronze("rawChaseCreditTransaction", credit),
-    )
+    def transactions() -> DataFrame:
+        kinds = {CHECKING: schemas.CHECKING_TYPE, CREDIT: schemas.CREDIT_TYPE}
+        jobs = [lambda: bronze(CHECKING, checking), lambda: bronze(CREDIT, credit)]
+        if not straight:
+            return together(store.spark, lambda: prepared_from(checking, credit), *jobs)[0]
+        written = together(store.spark, *jobs)
+        return prepared_from(*[rows.withColumn("sourceFileType", F.lit(kind)) for rows, kind in zip(written, kinds.values())])
+
+    prepared, rules, _ = together(store.spark, transactions, seeds, files)
     _transform(change, current, prepared, metadata, known, rules)
     tables = change.tables()
     change.commit()
