@@ -3,13 +3,18 @@
 Files are streamed through the automaton word by word. The state and the match length are the matching statistics: the
 longest piece of any template that ends at this word. Phrases are templates too, so a phrase occurs where its state is on
 the suffix path of the current state. Matches of `LEAST_MATCH` words or more are anchors; anchors of one template that
-follow each other in file and template are chained, and a chain that covers enough of its template is a found licence.
+follow each other in file and template are chained, each to the chain before it that covers most of the template, and a
+chain that covers enough of its template is a found licence. Templates are single sentences, as files state their licence,
+and whole licences, so that a span may be a page.
 """
 
 from __future__ import annotations
 
+import os
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +43,36 @@ TEMPLATES = [
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
 ]
+# Whole licences, from their first line to the last, as published.
+TEMPLATES += [
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+]
+# Names of the longer licences' files, as systems keep them, with a label each.
+LICENSE_FILES = {
+    "Apache-2.0": "apache", "Artistic": "artistic", "CC0-1.0": "cc0", "GFDL-1.3": "gfdl", "GPL-2": "gpl", "GPL-3": "gpl", "LGPL-2.1": "lgpl",
+    "LGPL-3": "lgpl", "MPL-1.1": "mpl", "MPL-2.0": "mpl",
+}
+#: The driver's folder of those files; it reads the ones that are there.
+LICENSE_FOLDER = "/usr/share/common-licenses"
 #: Shortest match that anchors a chain, words between anchors of a chain, and the share of a template that counts as found.
 LEAST_MATCH, MOST_GAP, LEAST_COVER = 4, 20, 0.8
 
 _FOUND = "struct<n_words:bigint,phrases:array<struct<start:bigint,phrase:string>>,spans:array<struct<label:string,first:bigint,last:bigint,cover:double>>>"
 
 
+def templates_of(folder: str | None = LICENSE_FOLDER) -> list[tuple[str, str]]:
+    """TEMPLATES and the whole licences in the folder."""
+    found = list(TEMPLATES)
+    for name, label in LICENSE_FILES.items():
+        path = os.path.join(folder or "", name)
+        if folder and os.path.isfile(path):
+            with open(path, encoding="utf-8", errors="replace") as file:
+                found.append((label, file.read()))
+    return found
+
+
 class SuffixAutomaton:
     """Every piece of every added sequence leads to one state; a state knows one place where its longest piece ends."""
 
@@ -83,10 +112,10 @@ class SuffixAutomaton:
                 last = new
             self.ends[last].append((owner, k))
 
-    def spread(self) -> None:
-        """A state's places are those of all states below it on the suffix paths, too."""
+    def spread(self, least: int = 1) -> None:
+        """A state's places are those of all states below it on the suffix paths, too; asked for matches of `least` words."""
         for state in sorted(range(1, len(self.next)), key=self.length.__getitem__, reverse=True):
-            if self.link[state] > 0:
+            if self.link[state] > 0 and self.length[self.link[state]] >= least:
                 self.ends[self.link[state]] = sorted({*self.ends[self.link[state]], *self.ends[state]})
 
 
@@ -103,7 +132,7 @@ class Scanner:
             self.automaton.add([self.ids[w] for w in words], k)
         for _, words in phrase_words:
             self.automaton.add([self.ids[w] for w in words], -1)
-        self.automaton.spread()
+        self.automaton.spread(least_match)
         at_state: dict[int, list[tuple[str, int]]] = defaultdict(list)
         for phrase, words in phrase_words:
             state = 0
@@ -154,26 +183,54 @@ class Scanner:
     def _spans(self, anchors) -> list[tuple[str, int, int, float]]:
         spans = []
         for owner, found in anchors.items():
-            chain, covered = [], 0
-            for first, last, t_first, t_last in [*sorted(found), (1 << 60, 0, 0, 0)]:
-                if chain and first - chain[-1][1] <= self.most_gap and t_last > chain[-1][3] and last > chain[-1][1]:
-                    covered += t_last - max(t_first, chain[-1][3] + 1) + 1
-                    chain.append((first, last, t_first, t_last))
-                    continue
-                if chain and first <= chain[-1][1] and first < 1 << 60:
-                    continue  # another place in the template of words that the chain has already
-                if chain and (share := covered / self.sizes[owner]) >= self.least_cover:
-                    spans.append((self.labels[owner], chain[0][0], chain[-1][1], min(share, 1.0)))
-                chain, covered = [(first, last, t_first, t_last)], t_last - t_first + 1
+            taken: list[tuple[int, int]] = []
+            for covered, first, last in chains(found, self.most_gap):
+                share = covered / self.sizes[owner]
+                if share < self.least_cover:
+                    break
+                if all(last < a or first > b for a, b in taken):
+                    taken.append((first, last))
+                    spans.append((self.labels[owner], first, last, min(share, 1.0)))
         return sorted(set(spans), key=lambda s: (s[1], s[2], s[0]))
 
 
+def chains(anchors: list[tuple[int, int, int, int]], most_gap: int) -> list[tuple[int, int, int]]:
+    """(words covered, first, last) of the best chain that ends at each anchor, best first.
+
+    Anchors are places in the file and in the template (first, last each). In a chain both go on from anchor to anchor, by
+    `most_gap` words of the file at most; it covers the template's words that one of them has. What each anchor adds to the
+    best chain before it is looked up among those that end within reach.
+    """
+    found = sorted(set(anchors), key=lambda x: (x[1], x[3]))
+    ends = [x[1] for x in found]
+    best: list[tuple[int, int]] = []
+    for first, last, t_first, t_last in found:
+        most, start = t_last - t_first + 1, first
+        for k in range(bisect_left(ends, first - most_gap), bisect_left(ends, last)):
+            before = found[k]
+            if before[3] < t_last and before[0] <= first:
+                covered = best[k][0] + t_last - max(t_first, before[3] + 1) + 1
+                if covered > most:
+                    most, start = covered, best[k][1]
+        best.append((most, start))
+    return sorted(((n, start, x[1]) for (n, start), x in zip(best, found)), key=lambda c: (-c[0], c[1], c[2]))
+
+
+@lru_cache(maxsize=2)
+def _scanner(options: tuple) -> Scanner:
+    """One per worker, for all batches that it is given."""
+    return Scanner(**dict(options))
+
+
 def licenses(text: Column, **options) -> Column:
     """n_words, phrases (start, phrase) and spans (label, first and last word, share of the template) of each text."""
 
+    options.setdefault("templates", templates_of())
+    fixed = tuple(sorted((k, tuple(v.items()) if isinstance(v, dict) else tuple(v) if isinstance(v, list) else v) for k, v in options.items()))
+
     @F.arrow_udf(_FOUND)
     def scan(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scanner = Scanner(**options)
+        scanner = _scanner(fixed)
         phrase = pa.struct([("start", pa.int64()), ("phrase", pa.string())])
         span = pa.struct([("label", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("cover", pa.float64())])
         for column in columns:

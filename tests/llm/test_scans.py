@@ -5,10 +5,11 @@ from __future__ import annotations
 import base64
 import datetime as dt
 import hashlib
+import random
 import re
 
 from tallymill.llm.decontamination import contaminated_spans, cut, folded, summary
-from tallymill.llm.license_scan import PHRASES, TEMPLATES, scan_licenses
+from tallymill.llm.license_scan import PHRASES, TEMPLATES, Scanner, chains, scan_licenses, templates_of
 from tallymill.llm.queries import op2_decontamination, op3_license_scan, op9_warc
 from tallymill.llm.warc import archive_pages, headers, reconstruct
 
@@ -104,6 +105,53 @@ def test_license_templates(frame):
     assert scan_licenses(frame([])).count() == 0
 
 
+def test_chains_cover_most(spark):
+    """Against every chain of few anchors, with wrong places among them."""
+    rng = random.Random(12)
+    for _ in range(400):
+        anchors = []
+        for _ in range(rng.randrange(1, 8)):
+            first, t_first, n = rng.randrange(40), rng.randrange(25), rng.randrange(4, 12)
+            anchors.append((first, first + n - 1, t_first, t_first + n - 1))
+        most = {}
+
+        def grow(chain, covered):
+            key = chain[-1][1]
+            most[key] = max(most.get(key, 0), covered)
+            for x in anchors:
+                a = chain[-1]
+                if a[1] < x[1] and a[3] < x[3] and a[0] <= x[0] <= a[1] + 5:
+                    grow([*chain, x], covered + x[3] - max(x[2], a[3] + 1) + 1)
+
+        for x in anchors:
+            grow([x], x[3] - x[2] + 1)
+        got = {}
+        for n, _, last in chains(anchors, 5):
+            got[last] = max(got.get(last, 0), n)
+        assert got == most
+
+
+def test_a_wrong_place_does_not_spoil_a_chain(frame):
+    """The first words stand twice in the template; the file has the second place."""
+    template = "one two three four five six seven eight one two three four nine ten eleven twelve"
+    scanner = Scanner(templates=[("own", template)], phrases={}, least_cover=0.5)
+    assert scanner.scan(b"x one two three four nine ten eleven twelve y")[2] == [("own", 1, 8, 0.5)]
+    assert scanner.scan(f"{template} z {template}".encode())[2] == [("own", 0, 15, 1.0), ("own", 17, 32, 1.0)]
+
+
+def test_whole_licences_are_spans(frame, tmp_path):
+    whole = " ".join(f"clause{k} says that {k} and no more" for k in range(400))
+    (tmp_path / "MPL-2.0").write_text(whole)
+    pool = templates_of(str(tmp_path))
+    assert pool[-1] == ("mpl", whole) and templates_of(str(tmp_path / "none")) == TEMPLATES == templates_of(None)
+    mit = TEMPLATES[-3][1]
+    edited = whole.replace("clause77 says", "CLAUSE 77 reads").replace("clause200 says that", "")
+    got = {r.doc_id: r for r in scan_licenses(frame([(1, f"intro {edited} end"), (2, mit.upper())]), templates=pool).collect()}
+    span = max(got[1].spans, key=lambda s: s.last - s.first)
+    assert got[1].labels == "mpl" and span.cover > 0.99 and (span.first, span.last) == (1, len(words(edited)))
+    assert max(s.last - s.first for s in got[2].spans) == len(words(mit)) - 1 and got[2].score == 1.0
+
+
 def sha1_32(payload):
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
