@@ -17,7 +17,7 @@ from .literals import literal_rows
 from .records import broken_files, one_spelling, read_broken
 from .store import materialise
 
-CSV_GLOB = "*.[cC][sS][vV]"
+CSV_GLOB, CSV_NAME = "*.[cC][sS][vV]", r"\.[cC][sS][vV]$"
 # Bytes of a file that are in memory at once while it is profiled.
 CHUNK_BYTES = 8 << 20
 # Files that one scan is planned from.
@@ -40,33 +40,70 @@ class Stage:
     numbered: bool = False
 
 
-def _binary_files(spark: SparkSession, root: str | list[str]) -> DataFrame:
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if isinstance(root, str):
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-        if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            return literal_rows(spark, [], "path string, length long")
-        reader = reader.option("pathGlobFilter", CSV_GLOB)
-    return reader.load(root)
+def _system(path: str):
+    """The file system of a path as Spark writes it, and the path there."""
+    from pyarrow import fs
+
+    if path.startswith("file:/"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(quote(path, safe=":/@"))
+
+
+def _list_folders(batches):
+    """What the given folders hold, one level down. Names that start with . or _ are hidden, as in Spark's own scans."""
+    from pyarrow import fs
+
+    for batch in batches:
+        rows = []
+        for folder in batch["path"]:
+            system, name = _system(folder)
+            for found in system.get_file_info(fs.FileSelector(name)):
+                if not found.base_name.startswith((".", "_")):
+                    is_folder = found.type == fs.FileType.Directory
+                    rows.append((f"{folder.rstrip('/')}/{found.base_name}", 0 if is_folder else found.size, is_folder))
+        yield pd.DataFrame(rows, columns=["path", "length", "folder"]).astype({"length": "int64", "folder": "bool"})
+
+
+def list_files(spark: SparkSession, root: str | list[str]) -> DataFrame:
+    """(path, length) of every CSV with any bytes below the root, or of the given files.
+
+    Folders are listed by tasks, level by level, into written tables: the driver sees no path. A root that does not exist
+    holds nothing.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    if not isinstance(root, str):
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+        return reader.load(root).select("path", "length") if root else literal_rows(spark, [], "path string, length long")
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    system, found = path.getFileSystem(conf), literal_rows(spark, [], "path string, length long")
+    if not system.exists(path):
+        return found
+    top = system.getFileStatus(path)
+    if not top.isDirectory():
+        return literal_rows(spark, [(top.getPath().toString(), top.getLen())], "path string, length long")
+    folders = literal_rows(spark, [(top.getPath().toString(),)], "path string")
+    while True:
+        level = folders.mapInPandas(_list_folders, "path string, length long, folder boolean")
+        level = materialise(level, "listing")
+        found = found.unionByName(level.filter(~F.col("folder") & (F.col("length") > 0) & F.rlike("path", F.lit(CSV_NAME))).select("path", "length"))
+        folders = level.filter("folder").select("path")
+        if folders.isEmpty():
+            return found
+        folders = folders.repartition(F.col("path"))
 
 
 def discover_files(spark: SparkSession, root: str | list[str]) -> DataFrame:
     """(path, length) of every CSV below the root, or of the given files, by path."""
-    return _binary_files(spark, root).select("path", "length").orderBy("path")
+    return list_files(spark, root).orderBy("path")
 
 
 def _profile(chunk_bytes: int):
     """Profile of whole files, read in chunks: hash and first line."""
     def profile(batches):
-        from pyarrow import fs
-
         for batch in batches:
             rows = []
             for path in batch["path"]:
-                if path.startswith("file:/"):
-                    system, name = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
-                else:
-                    system, name = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+                system, name = _system(path)
                 digest, head, in_head = hashlib.sha256(), [], True
                 with system.open_input_stream(name) as stream:
                     while chunk := stream.read(chunk_bytes):
@@ -85,8 +122,10 @@ def _profile(chunk_bytes: int):
 def file_contents(spark: SparkSession, root: str | list[str], chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(path, sourceFileHash, head): SHA-256 of the bytes, and the header line. Files are streamed, so their size does
     not matter."""
-    paths = _binary_files(spark, root).select("path")
-    return paths.mapInPandas(_profile(chunk_bytes), "path string, sourceFileHash string, head string")
+    paths = list_files(spark, root).select("path")
+    # A listing is a few short rows; what they name is dealt out to all cores, and stays so whatever its size.
+    tasks = max(1, min(paths.count(), 4 * spark.sparkContext.defaultParallelism))
+    return paths.repartition(tasks, "path").mapInPandas(_profile(chunk_bytes), "path string, sourceFileHash string, head string")
 
 
 def header_names(head: Column) -> Column:

@@ -126,6 +126,18 @@ def test_files_are_listed_by_path(spark, tmp_path):
     assert found == sorted(found) and len(found) == 3
 
 
+def test_listing_equals_sparks(spark, tmp_path):
+    for name in ("a.csv", "b c/d é.CSV", "b c/e/f/g+h%20.csv", ".hidden/x.csv", "_tmp/y.csv", "b c/.z.csv", "n.csv.bak", "empty.csv"):
+        write(tmp_path / name, "" if name == "empty.csv" else f"{name}\n")
+    (tmp_path / "folder.csv").mkdir()
+    for root in (str(tmp_path), f"file://{tmp_path}", str(tmp_path / "a.csv"), [str(tmp_path / "a.csv")], []):
+        found = [tuple(r) for r in files.discover_files(spark, root).collect()]
+        want = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", files.CSV_GLOB)
+        assert found == ([tuple(r) for r in want.load(root).select("path", "length").orderBy("path").collect()] if root else [])
+    assert len(files.discover_files(spark, str(tmp_path)).collect()) == 3
+    assert files.file_contents(spark, str(tmp_path)).count() == 3
+
+
 def test_equal_bytes_are_read_once_under_the_lowest_name(spark, tmp_path):
     for name in ("b.csv", "a.csv"):
         write(tmp_path / name, f"{CHECKING}\n{checking_rows(5)}")
