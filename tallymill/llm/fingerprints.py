@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from tallymill.llm.common import SLICE, Texts, mixed, prefix_hash, span_hash, text_or_empty, tuned, word_spans
 
@@ -200,19 +201,31 @@ def _fingerprint_rows(size: int):
     return run
 
 
+def _cuts(rows: DataFrame, parts: int) -> list:
+    """Up to parts - 1 ids that split the rows about evenly: quantiles of numbers, of others those of a sample of the ids,
+    64 for each part at most."""
+    shares = [k / parts for k in range(1, parts)]
+    if not shares:
+        return []
+    if isinstance(rows.schema["_id"].dataType, NumericType):
+        return sorted(set(rows.agg(F.percentile_approx("_id", shares, 10_000)).first()[0] or []))
+    bucket = F.pmod(F.xxhash64("_id"), F.lit(64 * parts))
+    sample = rows.where(F.col("_id").isNotNull()).groupBy(bucket.alias("b")).agg(F.min("_id").alias("i")).orderBy("i").collect()
+    return [sample[k]["i"] for k in sorted({len(sample) * j // parts for j in range(1, parts)})] if sample else []
+
+
 def fingerprint_documents(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = SIZE,
                           parts: int | None = None) -> DataFrame:
     """One row per row of df: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The next document is the one after this in descending id, the first after the last. Rows with equal ids come in the
     order of their texts, null ids last. Null texts are empty; a single row is next to itself; further columns are
-    ignored; an empty table gives an empty one.
+    ignored; an empty table gives an empty one. Ids may be of any type that Spark orders.
     """
     spark = tuned(df.sparkSession)
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(f"`{id_column}`").alias("_id"), text_or_empty(text_column).alias("_text"))
-    shares = [k / parts for k in range(1, parts)]
-    cut = sorted(set(rows.agg(F.percentile_approx("_id", shares, 10_000)).first()[0] or [])) if shares else []
+    cut = _cuts(rows, parts)
     # Part 0 has the largest ids, the last but one the smallest, the last those without id.
     larger = F.size(F.filter(F.array(*map(F.lit, cut)), lambda c: c > F.col("_id"))) if cut else F.lit(0)
     placed = rows.withColumn("_part", F.when(F.col("_id").isNull(), len(cut) + 1).otherwise(larger))

@@ -240,6 +240,18 @@ def test_fingerprint_edges(frame):
     assert fingerprint_documents(frame([])).count() == 0
 
 
+def test_fingerprints_of_other_ids(spark):
+    """Text ids, in their own order, null ones last."""
+    rows = [(f"doc {k % 37:02d}{k}", f"words of text {k} " * (k % 5 + 1)) for k in range(60)] + [("", "x"), ("é", "y")]
+    for parts in (1, 4, 90):
+        got = fingerprint_documents(spark.createDataFrame(rows, "doc_id string, text string"), parts=parts).collect()
+        ordered = sorted(rows, reverse=True)
+        want = {i: hashlib.sha256((t[:len(t) - len(t) // 2] + ordered[(k + 1) % len(ordered)][1][:len(t) // 2]).encode()).hexdigest() for k, (i, t) in enumerate(ordered)}
+        assert {r.doc_id: r.edited_sha256 for r in got} == want and len(got) == len(rows)
+    odd = fingerprint_documents(spark.createDataFrame([(None, "a"), ("a", None), ("a", None), (None, "a")], "doc_id string, text string"), parts=3)
+    assert sorted(str(r.doc_id) for r in odd.collect()) == ["None", "None", "a", "a"]
+
+
 def test_sketches(spark):
     rng = random.Random(6)
     words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(6000)]
