@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallymill.operators import rules
 from tallymill.plans import silver
@@ -22,6 +23,18 @@ def plan(rows):
     return rows._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_fork_lists_the_same_parts_and_goes_its_own_way(spark, loaded, tmp_path):
+    _, store, tables = loaded
+    fork = store.fork(str(tmp_path / "fork"))
+    assert fork.parts("factTransaction") == store.parts("factTransaction") and fork.last_commit() == store.last_commit()
+    change = fork.begin()
+    change.alter("factTransaction", fork.table("factTransaction").limit(1).withColumn("spendingCategoryKey", F.lit(700).cast("long")).select(
+        "transactionKey", "spendingCategoryKey", "categoryRuleKey", "transactionEventType", "modifiedDatetime"))
+    change.commit()
+    assert content(store.refresh().tables()) == content(tables) != content(fork.tables())
+    assert Store(spark, str(tmp_path / "nothing")).fork(str(tmp_path / "empty")).last_commit() == 0
+
+
 def test_transactions_stay_in_place_when_few_texts_win(spark):
     rows = spark.createDataFrame([(f"r{i}", "checking", None, "A", f"SHOP {i}") for i in range(20)], TXN)
     known = rules.classifying_rules(spark.createDataFrame([rule(1, "contains", "shop 12")], RULE))
