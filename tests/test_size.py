@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tallymill.operators import rules
 from tallymill.plans import silver
-from tallymill.sources.files import stage_files
+from tallymill.sources.feed import checking_feed, credit_feed
+from tallymill.sources.files import Stage, stage_files
 from tallymill.sources.store import Store
 from test_load import content, fill, load
 from test_rules import RULE, TXN, rule
@@ -23,6 +24,22 @@ def plan(rows):
     return rows._jdf.queryExecution().executedPlan().toString()
 
 
+def test_facts_that_are_loaded_again_are_not_rewritten(spark, loaded, tmp_path):
+    folder, first, tables = loaded
+    store = first.fork(str(tmp_path / "again"))
+    again = silver.load(store, stage_files(spark, str(folder / "in")))
+    assert store.parts("factTransaction") == first.parts("factTransaction")
+    assert content(again, drop=()) == content(tables, drop=())
+
+
+def test_same_rows(spark):
+    rows = spark.createDataFrame([(1, "a", None), (1, "b", "c"), (2, "a", "b")], "file long, x string, y string")
+    assert silver.same_rows(rows, rows.filter("file = 1"), "file", ["x", "y"])
+    for other in ([(1, "a", None)], [(1, "a", "c"), (1, "b", None)], [(1, "a", None), (1, "b", "c"), (1, "b", "c")], [(3, "a", "b")],
+                  [(2, "b", "a")], [(2, "ab", "")]):
+        assert not silver.same_rows(rows, spark.createDataFrame(other, rows.schema), "file", ["x", "y"])
+
+
 def test_a_fork_lists_the_same_parts_and_goes_its_own_way(spark, loaded, tmp_path):
     _, store, tables = loaded
     fork = store.fork(str(tmp_path / "fork"))
@@ -41,3 +58,24 @@ def test_transactions_stay_in_place_when_few_texts_win(spark):
     found = rules.match_rules(rows, known)
     assert "SortMergeJoin" not in plan(found)
     assert {r.sourceRowIdentifier for r in found.filter("winner IS NOT NULL").collect()} == {"r12"}
+
+
+def test_written_rows_are_not_copied(spark, loaded, tmp_path, monkeypatch):
+    folder, _, tables = loaded
+    stage = stage_files(spark, str(folder / "in"))
+    named, write = [], silver.materialise
+    monkeypatch.setattr(silver, "materialise", lambda rows, what: named.append(what) or write(rows, what))
+    again = silver.load(Store(spark, str(tmp_path / "written")), Stage(stage.metadata, stage.checking, stage.credit, numbered=True, written=True))
+    assert not {"checking", "credit", "deduped"} & set(named) and "prepared" in named
+    assert content(again) == content(tables)
+
+
+def test_feeds_are_sorted_as_numbers(spark, monkeypatch):
+    from tallymill.sources import feed
+
+    sorted_columns, number = [], feed.number_rows
+    monkeypatch.setattr(feed, "number_rows", lambda rows, *more, **named: sorted_columns.append(rows.columns) or number(rows, *more, **named))
+    for build in (checking_feed, credit_feed):
+        rows = build(spark, "/root/testdata/sf0.001")
+        assert rows.filter("sourceFileHash IS NULL OR sourceRowNumber IS NULL").isEmpty()
+    assert not {"sourceFileHash", "sourceFileName", "description", "amount"} & {c for names in sorted_columns for c in names}
