@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from checks.fixtures import _writer
 from tallymill.operators import rules
 from tallymill.plans import silver
 from tallymill.sources.feed import checking_feed, credit_feed
@@ -79,3 +81,11 @@ def test_feeds_are_sorted_as_numbers(spark, monkeypatch):
         rows = build(spark, "/root/testdata/sf0.001")
         assert rows.filter("sourceFileHash IS NULL OR sourceRowNumber IS NULL").isEmpty()
     assert not {"sourceFileHash", "sourceFileName", "description", "amount"} & {c for names in sorted_columns for c in names}
+
+
+def test_landing_files_have_no_quoted_blanks(tmp_path):
+    rows = pa.table({"part": ["a.csv"] * 2, "sourceRowNumber": [2, 1], "x": ["1,5", None], "y": ["b", 'q"']})
+    written = _writer(str(tmp_path), {"X x": "x", "Y": "y"})(rows)
+    assert written.to_pylist() == [{"part": "a.csv", "n": 2}]
+    assert (tmp_path / "a.csv").read_text().splitlines() == ['"X x","Y"', ',"q"""', '"1,5",b'] or (
+        tmp_path / "a.csv").read_text().splitlines() == ['"X x","Y"', ',"q"""', '"1,5","b"']
