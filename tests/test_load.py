@@ -169,6 +169,32 @@ def test_stream_equals_batch_and_is_safe_to_repeat(spark, loaded, tmp_path):
     assert store.refresh().table("factTransaction").count() == 9
 
 
+def test_small_batches_are_loaded_together(spark, loaded, tmp_path):
+    landing = fill(tmp_path)
+    for k in range(3):
+        write(landing / "in" / f"Chase{k}333.csv", f"{CREDIT}\n" + card(description=f"Shop {k}"))
+    store = Store(spark, str(landing / "streamed"))
+    running = drain(store, str(landing / "in"), str(landing / "ck"), files_per_batch=1)
+    running.awaitTermination()
+    assert not running.isActive and len(running.recentProgress) >= 5
+    assert store.refresh().last_commit() == 1 and store.table("factTransaction").count() == 11
+    several = Store(spark, str(landing / "several"))
+    drain(several, str(landing / "in"), str(landing / "ck2"), files_per_batch=1, files_per_load=2).awaitTermination()
+    assert several.refresh().last_commit() == 3 and several.table("factTransaction").count() == 11
+
+
+def test_files_of_a_failed_load_are_left_to_the_next_drain(spark, tmp_path):
+    landing = fill(tmp_path)
+    write(landing / "in" / "Chase4444.csv", f"{CREDIT}\n" + card(amount="x"))
+    store = Store(spark, str(landing / "streamed"))
+    with pytest.raises(Exception, match="not an amount"):
+        drain(store, str(landing / "in"), str(landing / "ck")).awaitTermination()
+    assert store.refresh().last_commit() == 0
+    write(landing / "in" / "Chase4444.csv", f"{CREDIT}\n" + card(description="Mended"))
+    drain(store, str(landing / "in"), str(landing / "ck")).awaitTermination()
+    assert store.refresh().table("factTransaction").count() == 9
+
+
 # ---- approval ----------------------------------------------------------------------------------------------------
 
 REQUEST = (
