@@ -5,8 +5,11 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from checks import fixtures
 from checks.fixtures import _writer
-from tallymill.operators import rules
+from tallymill.functions.text import parse_date
+from tallymill.operators import numbering, rules
+from tallymill.operators.summaries import row_bits
 from tallymill.plans import silver
 from tallymill.sources.feed import checking_feed, credit_feed
 from tallymill.sources.files import Stage, stage_files
@@ -90,3 +93,60 @@ def test_landing_files(spark, tmp_path):
     assert sorted(map(tuple, written), key=str) == [("a.csv", 2), (None, 1)]
     read = spark.read.options(header=True, quote='"', escape='"').csv(str(tmp_path / "a.csv"))
     assert read.columns == ["X x", "Y"] and [tuple(r) for r in read.collect()] == [(None, 'q"'), ("1,5", "b")]
+
+
+def test_rows_are_numbered_without_columns_that_only_sort(spark, monkeypatch):
+    written, write = [], numbering.materialise
+    monkeypatch.setattr(numbering, "materialise", lambda rows, what: written.append(rows.columns) or write(rows, what))
+    rows = spark.createDataFrame([(2, "a", "x"), (1, "b", "x"), (1, "a", "y")], "v long, w string, g string")
+    numbered = numbering.number_rows(rows, ["v", "w"], ["g"], "n", ["w"])
+    assert sorted(map(tuple, numbered.collect())) == [("a", 1), ("a", 2), ("b", 1)] and numbered.columns == ["w", "n"]
+    assert written[0] == ["g", "w", "_slot"]
+
+
+def test_feeds_are_first_written_as_bronze(spark, monkeypatch):
+    named, write = [], fixtures.materialise
+    monkeypatch.setattr(fixtures, "materialise", lambda rows, what: named.append(what) or write(rows, what))
+    monkeypatch.setattr(fixtures, "once", lambda spark, folder, what, build: build())
+    stage = fixtures.staged(spark, "/root/testdata/sf0.001")
+    assert named == ["feed-files"] and stage.numbered and not stage.written
+
+
+def test_texts_of_the_feeds(spark):
+    from tallymill.sources import feed
+
+    days = spark.sql("SELECT d FROM VALUES (TIMESTAMP'2020-02-29 23:59:59'), (TIMESTAMP'0001-01-02'), (TIMESTAMP'12020-03-04'), (NULL) AS t(d)")
+    shown = [(r.a, r.b) for r in days.select(feed._us_date(F.col("d")).alias("a"), F.date_format("d", "MM/dd/yyyy").alias("b")).collect()]
+    assert all(a == b for a, b in shown) and shown[0][0] == "02/29/2020"
+    sources = spark.createDataFrame([(0,), (3,), (7,), (-1,), (None,)], "s long")
+    plain = F.sha2(F.concat(F.lit("x-"), F.col("s").cast("string")), 256)
+    assert all(r.a == r.b for r in sources.select(feed._file_hash("x-", F.col("s"), 4).alias("a"), plain.alias("b")).collect())
+
+
+def test_dates_are_read_as_by_pattern(column):
+    texts = ["01/31/2024", " 02/29/2024 ", "02/29/2023", "13/01/2024", "00/10/2024", "1/2/2024", "01/02/24",
+             "01-02-2024", "01/02/2024 10:00", "01/02/2024\n", "\u0661\u0662/01/2024", "", " ", None, "x", "+1/02/2024"]
+    slow = lambda c: F.to_date(F.try_to_timestamp(F.nullif(F.trim(c), F.lit("")), F.lit("M/d/y")))
+    assert column(parse_date, texts) == column(slow, texts)
+    assert "rlike" in parse_date(F.col("v"))._jc.toString().lower()
+
+
+def test_least_spelling_is_looked_for_among_distinct_ones(spark):
+    rows = spark.createDataFrame(
+        [("Shop", "SHOP"), ("SHOP", "SHOP"), ("shop", "SHOP"), ("", ""), (None, None), ("Cafe", "CAFE")],
+        "transactionDescription string, transactionDescriptionClean string")
+    found = silver.observed_merchants(rows)
+    assert sorted(map(tuple, found.collect())) == [("CAFE", "Cafe"), ("SHOP", "SHOP")]
+    assert "HashAggregate" in plan(found)
+
+
+def test_names_are_not_sorted_with_row_numbers(spark):
+    rows = spark.createDataFrame(
+        [(1, 1, "t:a:1"), (1, 2, "t:a:2"), (1, 40_000, "t:b:40000"), (2, 1, None), (2, 2, "none"), (2, 2, "a\nb:2"), (None, 5, ":5"), (2, None, "t:b:")],
+        "sourceFileKey long, sourceRowNumber long, sourceRowIdentifier string")
+    bits = row_bits("factTransaction", rows)
+    found = {(r.file, r.bucket): (r.n, r.lowName, r.highName, r.oddNames) for r in bits.collect()}
+    assert found == {("1", 1): (2, "t:a", "t:a", 0), ("1", 2): (1, "t:b", "t:b", 0), ("2", 1): (3, "", "a\nb", 2), (None, 1): (1, "", "", 0),
+                     ("2", None): (1, "t:b", "t:b", 1)}
+    assert bits.columns == [f.split()[0] for f in "file string, bucket long, n long, bits binary, lowName string, highName string, oddNames long".split(", ")]
+    assert "HashAggregate" in plan(bits)
