@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from checks import fixtures
 from checks.fixtures import _writer
 from tallymill.functions.text import parse_date
-from tallymill.operators import numbering, rules
+from tallymill.operators import numbering, rules, upsert
 from tallymill.operators.summaries import row_bits
-from tallymill.plans import silver
+from tallymill.plans import approval, silver
 from tallymill.sources.feed import checking_feed, credit_feed
 from tallymill.sources.files import Stage, stage_files
+from tallymill.sources import store as store_module
 from tallymill.sources.store import Store
-from test_load import content, fill, load
+from test_load import CREDIT, REQUEST, card, content, fill, load, recounted, write
 from test_rules import RULE, TXN, rule
 
 
@@ -150,3 +153,23 @@ def test_names_are_not_sorted_with_row_numbers(spark):
                      ("2", None): (1, "t:b", "t:b", 1)}
     assert bits.columns == [f.split()[0] for f in "file string, bucket long, n long, bits binary, lowName string, highName string, oddNames long".split(", ")]
     assert "HashAggregate" in plan(bits)
+
+
+def test_rows_without_a_change_do_not_move(spark, loaded, tmp_path, monkeypatch):
+    """Many changes are laid over as few ones are; the rows that they can't be about meet no shuffle."""
+    _, first, tables = loaded
+    requests = [(1, "checking", "DEBIT_CARD", "purchase", None, "shop", "Shopping"), (2, "creditCard", "Sale", "purchase", "exact", "cafe", "Dining")]
+    found, written, write = {}, {}, store_module.materialise
+    monkeypatch.setattr(store_module, "materialise", lambda rows, what, keep=False: written.setdefault(what, rows.schema) and write(rows, what, keep))
+    for many in (1 << 40, 1):
+        monkeypatch.setattr(store_module, "MANY_CHANGES", many)
+        store = first.fork(str(tmp_path / f"many{many}"))
+        approval.approve_rules(store, spark.createDataFrame(requests, REQUEST)).collect()
+        approved = content(store.tables(), drop=("createdDatetime", "modifiedDatetime"))
+        silver.reclassify(store)
+        found[many] = approved, content(store.tables(), drop=("createdDatetime", "modifiedDatetime")), recounted(store)
+    assert found[1] == found[1 << 40] and found[1][0] != content(tables, drop=("createdDatetime", "modifiedDatetime"))
+    rows = spark.createDataFrame([(100,), (150,), (200,), (3_276_900,), (-1,), (None,)], "transactionKey long")
+    told = store_module.marked(rows, rows.filter("transactionKey IN (100, 3276900)"), "transactionKey")
+    assert {r.transactionKey: r["_marked"] for r in told.collect()} == {100: True, 150: True, 200: False, 3_276_900: True, -1: False, None: False}
+    assert not {"SortMergeJoin", "ShuffledHashJoin"} & set(re.findall(r"\w+", plan(told.filter(~F.col("_marked")))))
