@@ -173,3 +173,37 @@ def test_rows_without_a_change_do_not_move(spark, loaded, tmp_path, monkeypatch)
     told = store_module.marked(rows, rows.filter("transactionKey IN (100, 3276900)"), "transactionKey")
     assert {r.transactionKey: r["_marked"] for r in told.collect()} == {100: True, 150: True, 200: False, 3_276_900: True, -1: False, None: False}
     assert not {"SortMergeJoin", "ShuffledHashJoin"} & set(re.findall(r"\w+", plan(told.filter(~F.col("_marked")))))
+
+
+def test_bronze_of_files_loaded_again_is_not_joined(spark, loaded, tmp_path, monkeypatch):
+    folder, first, tables = loaded
+    merged, merge = [], silver.load_bronze
+    monkeypatch.setattr(silver, "load_bronze", lambda table, *more: merged.append(table) or merge(table, *more))
+    named, write = [], silver.materialise
+    monkeypatch.setattr(silver, "materialise", lambda rows, what: named.append(what) or write(rows, what))
+    store = first.fork(str(tmp_path / "renewed"))
+    again = silver.load(store, stage_files(spark, str(folder / "in")))
+    assert not merged and not {"checking", "credit", "rows"} & set(named)
+    drop = ("modifiedDatetime",)
+    assert content(again, drop=drop) == content(tables, drop=drop)
+    moved = lambda rows: rows.agg(F.min("modifiedDatetime").alias("m")).first().m
+    assert all(moved(again[t]) > moved(tables[t]) for t in ("rawChaseCheckingTransaction", "rawChaseCreditTransaction"))
+    # A file with a row less, or a number that is not one of n, is merged row by row.
+    stage = stage_files(spark, str(folder / "in"))
+    for odd in (stage.checking.filter("sourceRowNumber > 1"), stage.checking.withColumn("sourceRowNumber", F.col("sourceRowNumber") + 1)):
+        merged.clear()
+        silver.load(first.fork(str(tmp_path / f"odd{odd.count()}")), Stage(stage.metadata, odd, stage.credit, numbered=True))
+        assert "rawChaseCheckingTransaction" in merged
+
+
+def test_only_narrow_facts_are_gathered(spark, loaded, tmp_path, monkeypatch):
+    """Lookups that fit everywhere come after facts are gathered by month; others before, with the same facts."""
+    folder, _, tables = loaded
+    moved, append = [], store_module.Change.append
+    monkeypatch.setattr(store_module.Change, "append", lambda self, table, df, *more: moved.append((table, df.columns)) or append(self, table, df, *more))
+    for fits in (True, False):
+        monkeypatch.setattr(silver, "fits_everywhere", lambda *dims: fits)
+        again = silver.load(Store(spark, str(tmp_path / f"fits{fits}")), stage_files(spark, str(folder / "in")))
+        assert content(again) == content(tables)
+    narrow, wide = [set(names) for table, names in moved if table == "factTransaction"]
+    assert not {"sourceFileHash", "merchantKey", "spendingCategoryKey", "sourceRowNumber"} & narrow and "merchantKey" in wide
