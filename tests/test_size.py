@@ -207,3 +207,16 @@ def test_only_narrow_facts_are_gathered(spark, loaded, tmp_path, monkeypatch):
         assert content(again) == content(tables)
     narrow, wide = [set(names) for table, names in moved if table == "factTransaction"]
     assert not {"sourceFileHash", "merchantKey", "spendingCategoryKey", "sourceRowNumber"} & narrow and "merchantKey" in wide
+
+
+def test_whole_landing_files_do_not_move(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(fixtures, "CHUNK", 3)
+    written = []
+    split = fixtures._whole_files(lambda rows: written.append((rows["part"][0].as_py(), rows["sourceRowNumber"].to_pylist())))
+    batch = lambda *rows: pa.RecordBatch.from_pylist([{"part": p, "sourceRowNumber": n} for p, n in rows], pa.schema([("part", pa.string()), ("sourceRowNumber", pa.int64())]))
+    batches = [batch(("a", 2), ("a", 3), ("b", 4)), batch(("b", 5), ("b", 6), ("c", 7), ("c", 9), ("c", 8)), batch(), batch(("d", 10), ("d", 11), ("d", 12), ("d", 12), (None, 1), (None, 2), (None, 3), ("e", 13))]
+    left = [(r["part"], r["sourceRowNumber"]) for b in split(batches) for r in b.to_pylist()]
+    assert written == [("b", [4, 5, 6])]
+    assert left == [("a", 2), ("a", 3), ("c", 7), ("c", 9), ("c", 8), ("d", 10), ("d", 11), ("d", 12), ("d", 12), (None, 1), (None, 2), (None, 3), ("e", 13)]
