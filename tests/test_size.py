@@ -220,3 +220,16 @@ def test_whole_landing_files_do_not_move(spark, tmp_path, monkeypatch):
     left = [(r["part"], r["sourceRowNumber"]) for b in split(batches) for r in b.to_pylist()]
     assert written == [("b", [4, 5, 6])]
     assert left == [("a", 2), ("a", 3), ("c", 7), ("c", 9), ("c", 8), ("d", 10), ("d", 11), ("d", 12), ("d", 12), (None, 1), (None, 2), (None, 3), ("e", 13)]
+
+
+def test_merge_moves_keys_alone_to_find_new_rows(spark, monkeypatch):
+    written, write = [], upsert.materialise
+    monkeypatch.setattr(upsert, "materialise", lambda rows, what: written.append(rows.columns) or write(rows, what))
+    ddl = silver.schemas.TABLES["rawChaseCreditTransaction"]
+    row = lambda **values: tuple(values.get(f.split()[0]) for f in ddl.split(", "))
+    old = spark.createDataFrame([row(recordKey=100, sourceFileHash="a", sourceRowNumber=1, memo="old")], ddl)
+    new = spark.createDataFrame([("a", 1, "new"), ("a", 2, "more"), (None, 1, "none"), ("b", None, "none")], "sourceFileHash string, sourceRowNumber long, memo string")
+    merged = upsert.merge_upsert("rawChaseCreditTransaction", old, new, ["sourceFileHash", "sourceRowNumber"], ["memo"])
+    assert sorted(r.memo for r in merged.collect()) == ["more", "new", "none", "none"]
+    assert sorted(r.recordKey for r in merged.collect()) == [100, 200, 300, 400]
+    assert ["sourceFileHash", "sourceRowNumber"] in written
