@@ -233,3 +233,14 @@ def test_merge_moves_keys_alone_to_find_new_rows(spark, monkeypatch):
     assert sorted(r.memo for r in merged.collect()) == ["more", "new", "none", "none"]
     assert sorted(r.recordKey for r in merged.collect()) == [100, 200, 300, 400]
     assert ["sourceFileHash", "sourceRowNumber"] in written
+
+
+def test_a_micro_batch_notes_its_files_without_a_job(spark, tmp_path):
+    from tallymill.streaming.drain import drain
+
+    write(tmp_path / "in" / "Chase4444.csv", f"{CREDIT}\n" + card(amount="x"))
+    with pytest.raises(Exception, match="not an amount"):
+        drain(Store(spark, str(tmp_path / "store")), str(tmp_path / "in"), str(tmp_path / "ck")).awaitTermination()
+    notes = [f for f in (tmp_path / "ck" / "noted").rglob("*") if f.is_file() and not f.name.startswith(".")]
+    assert [f.name for f in notes] == ["paths.parquet"]
+    assert [r.path.rsplit("/", 1)[1] for r in spark.read.schema("path string").parquet(str(tmp_path / "ck" / "noted")).collect()] == ["Chase4444.csv"]
